@@ -7,10 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash_dedup, quality_rules, secret_scan, source_mixing
+from . import (
+    decontamination,
+    html_text,
+    license_scan,
+    minhash_dedup,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    source_mixing,
+    url_filter,
+    warc,
+)
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    scored = quality_classifier.score_documents(docs, quality_classifier.train(docs, labels.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
 
@@ -19,6 +45,27 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
+         translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '(^|[^a-z0-9])(adult|porn|xxx|casino|poker|free-bets|betting|cheap-pills|viagra|spam-farm|spam|warez)([^a-z0-9]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
@@ -47,10 +94,19 @@ FROM f
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -60,6 +116,51 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+per AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM d GROUP BY source),
+tot AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, count(*) AS n FROM per WHERE tokens > 0),
+live AS (SELECT list(tokens / total ORDER BY tokens) AS p FROM per, tot WHERE tokens > 0),
+own AS (SELECT p, -list_sum(list_transform(p, lambda x: x * ln(x))) AS h FROM live),
+t AS (SELECT p, h, h + 0.5 * (ln(n) - h) - 1e-9 AS target FROM own, tot),
+b1 AS (
+  SELECT 0 AS step, 0 AS lo, 1048576 AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+  FROM (SELECT step, lo, hi, mid, ln(s) - l / s >= target AS ok
+        FROM (SELECT step, lo, hi, (lo + hi) // 2 AS mid, target, list_sum(list_transform(p, lambda x: pow(x, ((lo + hi) // 2) / 1048576.0::DOUBLE))) AS s,
+                     list_sum(list_transform(p, lambda x: pow(x, ((lo + hi) // 2) / 1048576.0::DOUBLE) * ln(pow(x, ((lo + hi) // 2) / 1048576.0::DOUBLE)))) AS l
+              FROM b1, t WHERE step < 20))),
+e AS (SELECT CASE WHEN h >= target THEN 1048576 ELSE lo END AS j FROM b1, t WHERE step = 20),
+b2 AS (
+  SELECT 0 AS step, 0 AS lo, 1048576 AS hi
+  UNION ALL
+  SELECT step + 1, CASE WHEN often THEN mid ELSE lo END, CASE WHEN often THEN hi ELSE mid END
+  FROM (SELECT step, lo, hi, (lo + hi) // 2 AS mid,
+               list_max(list_transform(p, lambda x: pow(x, ((lo + hi) // 2) / 1048576.0::DOUBLE) / x)) / list_sum(list_transform(p, lambda x: pow(x, ((lo + hi) // 2) / 1048576.0::DOUBLE))) > 4 AS often
+        FROM b2, t WHERE step < 20)),
+a AS (
+  SELECT CASE WHEN list_max(list_transform(p, lambda x: pow(x, e.j / 1048576.0::DOUBLE) / x)) / list_sum(list_transform(p, lambda x: pow(x, e.j / 1048576.0::DOUBLE))) > 4
+         THEN least(1048576, b2.lo + 1) ELSE e.j END / 1048576.0::DOUBLE AS a FROM e, t, b2 WHERE b2.step = 20),
+w AS (
+  SELECT source, tokens, total, CASE WHEN tokens > 0 THEN round(pow(tokens / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))), 9) ELSE 0 END AS source_weight,
+         CAST(ceil(docs / 1000) AS BIGINT) AS n_blocks FROM per, tot, t, a),
+plan AS (
+  SELECT source, source_weight, n_blocks, CASE WHEN tokens > 0 THEN CAST(floor(source_weight * total) AS BIGINT) // tokens ELSE 0 END AS passes,
+         CASE WHEN tokens > 0 THEN CAST(floor(source_weight * total) AS BIGINT) % tokens ELSE 0 END AS rest FROM w),
+x AS (
+  SELECT d.*, source_weight, passes, rest, CAST('0x' || substr(key, 1, 8) AS BIGINT) % n_blocks AS block
+  FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
+bl AS (
+  SELECT source, block, coalesce(sum(bt) OVER (PARTITION BY source ORDER BY md5('mix-1:b' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, block, sum(n_tokens) AS bt FROM x GROUP BY source, block))
+SELECT doc_id, x.source, n_tokens, source_weight, x.block,
+       CASE WHEN n_tokens > 0 THEN passes + CASE WHEN before + sum(n_tokens) OVER (PARTITION BY x.source, x.block ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END ELSE 0 END AS copies
+FROM x JOIN bl ON x.source IS NOT DISTINCT FROM bl.source AND x.block = bl.block
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -87,6 +188,17 @@ FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_secret_scans, op5_quality_rules, op7_minhash_near_dedup, op9_source_mixing, op10_benchmark_decontamination)
+    for f in (
+        op1_quality_classifier,
+        op2_license_scans,
+        op3_url_filters,
+        op4_secret_scans,
+        op5_quality_rules,
+        op6_html_extraction,
+        op7_minhash_near_dedup,
+        op8_warc,
+        op9_source_mixing,
+        op10_benchmark_decontamination,
+    )
 }
-SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op10_benchmark_decontamination": OP10_SQL}
+SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_source_mixing": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}
