@@ -1,6 +1,6 @@
-"""Registered queries of the corpus operators, and their SQL."""
+"""All registered queries of the corpus operators, their SQL, and the flagship query."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import relational  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
