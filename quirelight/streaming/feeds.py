@@ -6,8 +6,6 @@ availableNow into Parquet in the shared checkpoint folder, so nothing passes thr
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_folder
+
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table as a stream of files; timestamps without zone are read as UTC."""
@@ -23,15 +23,9 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def _folder(spark: SparkSession) -> str:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame) -> DataFrame:
     """All that an append-mode stream gives for what is there now."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/offsets").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
@@ -39,7 +33,7 @@ def drain(stream: DataFrame) -> DataFrame:
 
 def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The last row of each key that an update-mode stream gives for what is there now."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     rows = f"{folder}/rows"
     spark.createDataFrame([], stream.schema).withColumn("__batch", F.lit(0).cast("long")).write.parquet(rows)
 
