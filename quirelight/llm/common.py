@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import checkpointed, shared_folder
+
+__all__ = ["ROWS_AT_ONCE", "checkpointed", "per_text", "shared_folder", "table"]
+
 #: Rows of an Arrow batch that are decoded to Python objects at a time.
 ROWS_AT_ONCE = 256
 
@@ -20,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _set_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where there is none (tests, local runs)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path, not yet made, in the folder that driver and executors share."""
-    _set_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder."""
-    _set_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def per_text(
     df: DataFrame,
     keep: list[str],

@@ -6,7 +6,7 @@ over each chunk; responses are rectified and max-pooled per chunk; the pooled va
 by mean and by maximum, and a logistic unit gives one probability.
 
 The network is fitted on the driver to a bounded sample of labelled rows: at most SAMPLE_PER_LABEL rows of each
-label, chosen by hash, each reduced on the executors to at most TRAIN_CHUNKS chunks evenly spread over
+label, chosen by hash and weighted to the labels' shares over all rows, each reduced on the executors to at most TRAIN_CHUNKS chunks evenly spread over
 the whole document. Scoring runs on the executors over all chunks of every document.
 
 Defined cases: a null or empty text is one chunk of padding and gets the network's score for that; null labels
@@ -74,11 +74,11 @@ class ByteNetwork:
         return float(1 / (1 + np.exp(-np.clip(np.float64(features @ self.head + self.offset[0]), -30, 30))))
 
 
-def fit(documents: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> ByteNetwork:
-    """documents: (chunks, CHUNK + WIDTH - 1) byte values each. Adam on the weighted logistic loss."""
+def fit(documents: list[np.ndarray], labels: list[int], prior: float = 0.5, epochs: int = EPOCHS, seed: int = SEED) -> ByteNetwork:
+    """documents: (chunks, CHUNK + WIDTH - 1) byte values each. Adam on the logistic loss, weighted to the share `prior` of label 1."""
     net, rng = ByteNetwork(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float64)
-    share = np.array([len(y) / (2 * max(1, (y == v).sum())) for v in (0, 1)])
+    share = np.array([p * len(y) / max(1, (y == v).sum()) for v, p in ((0, 1 - prior), (1, prior))])
     moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in ("table", "bias", "head", "offset")}
     step = 0
     for _ in range(epochs):
@@ -127,23 +127,29 @@ def training_chunks(text: str, most: int = TRAIN_CHUNKS) -> list[int]:
     return np.concatenate([padded[s : s + length] for s in starts]).tolist()
 
 
-def sampled_labels(labels: DataFrame, doc_id: str, label: str, per_label: int) -> DataFrame:
-    """(id, y): at most per_label ids of each label, by hash."""
-    one = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).cast("int").alias("y"))
+def labelled_ids(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """(id, y) of each labelled id."""
+    return labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).cast("int").alias("y"))
+
+
+def sampled(one: DataFrame, per_label: int) -> DataFrame:
+    """At most per_label ids of each label, by hash."""
     parts = [one.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(per_label) for v in (0, 1)]
     return parts[0].union(parts[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", per_label: int = SAMPLE_PER_LABEL) -> ByteNetwork | float:
     """The network, or a constant score where there are fewer than two labels. labels: the rows to learn from."""
-    sample = sampled_labels(labels, doc_id, label, per_label)
+    one = labelled_ids(labels, doc_id, label)
+    prior = one.agg(F.avg("y")).first()[0]
+    sample = sampled(one, per_label)
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id")  # at most 2 * per_label rows
     chunks = per_text(picked, ["id", "y"], "t", [T.StructField("bytes", T.ArrayType(T.ShortType()))], lambda: lambda t: (training_chunks(t),))
     rows = chunks.dropDuplicates(["id"]).orderBy("id").toPandas()
     kinds = sorted(set(rows["y"]))
     if len(kinds) < 2:
         return float(kinds[0]) if kinds else 0.5
-    return fit([np.asarray(b, np.int64).reshape(-1, CHUNK + WIDTH - 1) for b in rows["bytes"]], rows["y"].tolist())
+    return fit([np.asarray(b, np.int64).reshape(-1, CHUNK + WIDTH - 1) for b in rows["bytes"]], rows["y"].tolist(), prior)
 
 
 def score_documents(docs: DataFrame, model: ByteNetwork | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
