@@ -30,13 +30,16 @@ WIDTH, FILTERS = 5, 12
 CHUNK, STEP = 512, 256
 #: The bound on what is learned from.
 SAMPLE_PER_LABEL, TRAIN_CHUNKS = 1500, 12
-EPOCHS, BATCH_DOCS, RATE, SEED = 8, 32, 0.01, 11
+STEPS, BATCH_DOCS, RATE, SEED = 800, 32, 0.01, 11
 PAD = 256
 
 
 def byte_values(text: str) -> np.ndarray:
+    """The text's bytes, padded so that its last chunk is whole."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
-    return data if len(data) >= WIDTH else np.concatenate((data, np.full(WIDTH - len(data), PAD)))
+    length = CHUNK + WIDTH - 1
+    n = max(1, -(-(len(data) - length) // STEP) + 1)
+    return np.concatenate((data, np.full((n - 1) * STEP + length - len(data), PAD)))
 
 
 class ByteNetwork:
@@ -74,16 +77,18 @@ class ByteNetwork:
         return float(1 / (1 + np.exp(-np.clip(np.float64(features @ self.head + self.offset[0]), -30, 30))))
 
 
-def fit(documents: list[np.ndarray], labels: list[int], prior: float = 0.5, epochs: int = EPOCHS, seed: int = SEED) -> ByteNetwork:
+def fit(documents: list[np.ndarray], labels: list[int], prior: float = 0.5, steps: int = STEPS, seed: int = SEED) -> ByteNetwork:
     """documents: (chunks, CHUNK + WIDTH - 1) byte values each. Adam on the logistic loss, weighted to the share `prior` of label 1."""
     net, rng = ByteNetwork(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float64)
     share = np.array([p * len(y) / max(1, (y == v).sum()) for v, p in ((0, 1 - prior), (1, prior))])
     moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in ("table", "bias", "head", "offset")}
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(documents))
         for at in range(0, len(order), BATCH_DOCS):
+            if step == steps:
+                break
             chosen = order[at : at + BATCH_DOCS]
             grads = {k: np.zeros_like(getattr(net, k)) for k in moments}
             for d in chosen:
@@ -118,13 +123,12 @@ def _add_gradient(net: ByteNetwork, chunks: np.ndarray, label: float, weight: fl
 
 
 def training_chunks(text: str, most: int = TRAIN_CHUNKS) -> list[int]:
-    """At most `most` chunks spread over the whole text, concatenated; short texts are padded."""
+    """At most `most` chunks spread over the whole text, concatenated."""
     data = byte_values(text)
     length = CHUNK + WIDTH - 1
-    n = max(1, -(-(len(data) - length) // STEP) + 1)
+    n = (len(data) - length) // STEP + 1
     starts = np.arange(n) * STEP if n <= most else np.linspace(0, n - 1, most).astype(int) * STEP
-    padded = np.concatenate((data, np.full(length, PAD)))
-    return np.concatenate([padded[s : s + length] for s in starts]).tolist()
+    return np.concatenate([data[s : s + length] for s in starts]).tolist()
 
 
 def labelled_ids(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
