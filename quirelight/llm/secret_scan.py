@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run of 18 or more from its first AKIA on
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CONTEXT = re.compile(r"passw|passphrase|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|bearer|auth", re.IGNORECASE | re.ASCII)
+_CONTEXT = re.compile(r"passw|passphrase|secret|token|api[ _-]?key|credential|private[ _-]?key|access[ _-]?key|bearer|auth", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Code points after a sensitive word in which a candidate may begin; text on either side that counts as surroundings.
 REACH, AROUND = 48, 256
