@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import fold_groups
 
 
 def dedup_prefer(df: DataFrame, keys: list[str], prefer: Column, order: list) -> DataFrame:
@@ -66,23 +69,24 @@ def pack_lines(df: DataFrame, text: str, budget: int = 2400, sep: str = "\n") ->
     return out.select(*df.columns, (F.col("__i") + 1).alias("page"), F.size("__page").alias("n_lines"), F.array_join("__page", "\n").alias("page_text"))
 
 
-def pack_pages(df: DataFrame, group: str, order: str, size: Column, budget: int = 1800) -> DataFrame:
-    """df with each block's page in its group, greedily filled in order.
+def _page_step(state: tuple[int, int], size: int, budget: int) -> tuple[tuple[int, int], int]:
+    used, page = state
+    size = size or 0
+    used, page = (size, page + 1) if used > 0 and used + size > budget else (used + size, page)
+    return (used, page), page
 
-    A group is a book or a collection: its (order, size) pairs, not its texts, are folded in one row.
-    """
-    sized = df.withColumn("__size", size)
-    packs = sized.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, "__size"))).alias("b"))
-    rows = packs.select(F.col(group).alias("__g"), F.explode(F.arrays_zip(F.col(f"b.{order}").alias("o"), packed(F.col("b.__size"), budget).alias("p"))).alias("x"))
-    return df.join(rows.select("__g", F.col("x.o").alias("__o"), F.col("x.p").alias("page")), (F.col(group) == F.col("__g")) & (F.col(order) == F.col("__o"))).drop("__g", "__o")
+
+def pack_pages(df: DataFrame, group: str, order: list[str], size: Column, budget: int = 1800) -> DataFrame:
+    """df with each block's page in its group, greedily filled in order. Blocks of unknown size take no room."""
+    sized = df.withColumn("__size", size.cast("long"))
+    return fold_groups(sized, [group], order, ["__size"], (0, 1), lambda state, n: _page_step(state, n, budget), "page", T.IntegerType()).drop("__size")
 
 
 def pack_paragraphs(df: DataFrame, group: str, order: str, text: str, budget: int = 1800, header: int = 0) -> DataFrame:
     """Paragraphs of a group's texts packed into pages: (group, order, pos, paragraph, page). header: size of a title before each text."""
     paras = df.select(group, order, F.posexplode(F.filter(F.split(text, "\n\n+"), lambda p: F.length(F.trim(p)) > 0)).alias("pos", "paragraph"))
-    keyed = paras.withColumn("__order", F.struct(order, "pos"))
     size = F.length("paragraph") + F.when(F.col("pos") == 0, header).otherwise(0)
-    return pack_pages(keyed, group, "__order", size, budget).drop("__order")
+    return pack_pages(paras, group, [order, "pos"], size, budget)
 
 
 def locate_page(pages: DataFrame, group: str, entry: str, wanted: DataFrame) -> DataFrame:

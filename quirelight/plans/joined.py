@@ -279,26 +279,34 @@ def w5_runs(spark, sf):
     return w.runs(t(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"], "event_type")
 
 
-@query()
+_PACK = """d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {order}) AS rn FROM x),
+p AS (SELECT *, size AS used, 1 AS page FROM d WHERE rn = 1
+UNION ALL SELECT d.*, CASE WHEN used > 0 AND used + d.size > {budget} THEN d.size ELSE used + d.size END, CASE WHEN used > 0 AND used + d.size > {budget} THEN page + 1 ELSE page END FROM p JOIN d ON d.g = p.g AND d.rn = p.rn + 1)"""
+
+
+@query("WITH RECURSIVE x AS (SELECT source AS g, doc_id, n_chars, n_chars + 20 AS size FROM documents), " + _PACK.format(order="doc_id", budget=1800) + " SELECT doc_id, g AS source, n_chars, page FROM p")
 def w6_pack_pages(spark, sf):
-    return w.pack_pages(t(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", F.col("n_chars") + 20)
+    return w.pack_pages(t(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], F.col("n_chars") + 20)
 
 
-@query()
+@query("WITH RECURSIVE s AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '\\n'), lambda q: length(trim(q)) > 0) AS a FROM documents), x AS (SELECT source AS g, doc_id, unnest(range(len(a))) AS pos, length(unnest(a)) + CASE WHEN unnest(range(len(a))) = 0 THEN 30 ELSE 0 END AS size FROM s), " + _PACK.format(order="doc_id, pos", budget=1800) + " SELECT g AS source, doc_id, pos, page FROM p")
 def w7_pack_paragraphs(spark, sf):
-    return w.pack_paragraphs(t(spark, sf, "conversations"), "conv_id", "turn", "text", header=30).select("conv_id", "turn", "pos", "page")
+    d = t(spark, sf, "documents").select("source", "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return w.pack_paragraphs(d, "source", "doc_id", "text", header=30).select("source", "doc_id", "pos", "page")
 
 
-@query()
+@query("WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), x AS (SELECT doc_id AS g, unnest(range(len(a))) AS pos, length(unnest(a)) AS size FROM s), " + _PACK.format(order="pos", budget=2400) + " SELECT g AS doc_id, page, count(*) AS n_lines, sum(size) + count(*) - 1 AS n_chars FROM p GROUP BY 1, 2")
 def w8_pack_lines(spark, sf):
     return w.pack_lines(t(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "page", "n_lines", F.length("page_text").alias("n_chars"))
 
 
-@query()
+@query("WITH RECURSIVE x AS (SELECT source AS g, doc_id, lang, n_chars AS size FROM documents), " + _PACK.format(order="doc_id", budget=1800) + " SELECT doc_id AS request, CASE doc_id % 3 WHEN 0 THEN page WHEN 1 THEN min(page) OVER (PARTITION BY g, lang) ELSE 2 END AS page FROM p")
 def w9_locate_page(spark, sf):
-    pages = w.pack_pages(t(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars"), "source", "doc_id", F.col("n_chars")).withColumn("unit", F.col("lang"))
-    wanted = t(spark, sf, "documents").select(F.col("doc_id").alias("request"), "source", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("want_entry"), F.when(F.col("doc_id") % 3 == 1, F.col("lang")).alias("want_unit"), F.lit(2).alias("want_page"))
-    return w.locate_page(pages.drop("lang", "n_chars").withColumnRenamed("source", "grp"), "grp", "doc_id", wanted.withColumnRenamed("source", "grp"))
+    d = t(spark, sf, "documents").select("doc_id", F.col("source").alias("grp"), F.col("lang").alias("unit"), "n_chars")
+    pages = w.pack_pages(d, "grp", ["doc_id"], F.col("n_chars")).drop("n_chars")
+    m = F.col("doc_id") % 3
+    wanted = d.select(F.col("doc_id").alias("request"), "grp", F.when(m == 0, F.col("doc_id")).alias("want_entry"), F.when(m == 1, F.col("unit")).alias("want_unit"), F.lit(2).alias("want_page"))
+    return w.locate_page(pages, "grp", "doc_id", wanted)
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 99 END AS place FROM orders ORDER BY 2, 1 LIMIT 200")

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import fold_groups
 from ..sources.shared import shared_folder
 
 
@@ -129,15 +131,12 @@ def ttl_dedup(stream: DataFrame, keys: list[str], ts: str, ttl: str = "300 secon
 
 
 def ttl_hits(events: DataFrame, key: str, ts: str, order: str, seconds: int = 300) -> DataFrame:
-    """Batch: each request with whether the cache served it. A hit does not refresh the entry's time; a fold over each key's times."""
-    rows = events.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-    folded = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__t", order))).alias("r"))
-    start = F.struct(F.lit(None).cast("long").alias("kept"), F.array().cast(f"array<struct<{order}:bigint,hit:boolean>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        hit = F.coalesce(x["__t"] - a["kept"] < seconds * 1_000_000, F.lit(False))
-        return F.struct(F.when(hit, a["kept"]).otherwise(x["__t"]).alias("kept"), F.concat(a["out"], F.array(F.struct(x[order].cast("long").alias(order), hit.alias("hit")))).alias("out"))
-
-    return folded.select(key, F.explode(F.aggregate("r", start, step, lambda a: a["out"])).alias("o")).select(key, "o.*")
+    """Batch: (key, order, hit) of each request: whether the cache served it. A hit does not refresh the entry's time."""
+    ttl = seconds * 1_000_000
 
+    def step(kept: int | None, t: int | None) -> tuple[int | None, bool]:
+        hit = kept is not None and t is not None and t - kept < ttl
+        return (kept, True) if hit else (t, False)
 
+    rows = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"))
+    return fold_groups(rows, [key], ["__t", order], ["__t"], None, step, "hit", T.BooleanType()).select(key, order, "hit")

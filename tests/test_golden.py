@@ -69,7 +69,7 @@ def test_cleaning_twice_changes_nothing_more(spark, value):
 
 def test_packing(spark):
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate((6, 6, 4, 12))], "g string, i int, n int")
-    assert [r.page for r in windows.pack_pages(df, "g", "i", F.col("n"), 10).orderBy("i").collect()] == [1, 2, 2, 3]
+    assert [r.page for r in windows.pack_pages(df, "g", ["i"], F.col("n"), 10).orderBy("i").collect()] == [1, 2, 2, 3]
     lines = spark.createDataFrame([(1, "aaaaaa\nbbbbbb\ncccc\ndddddddddddd"), (2, "")], "id int, t string")
     assert [(r.id, r.page, r.page_text) for r in windows.pack_lines(lines, "t", 10).orderBy("id", "page").collect()] == [(1, 1, "aaaaaa"), (1, 2, "bbbbbb\ncccc"), (1, 3, "dddddddddddd"), (2, 1, "")]
 
@@ -78,7 +78,7 @@ def test_packing(spark):
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=12))
 def test_packing_keeps_order_and_budget(spark, sizes):
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate(sizes)], "g string, i int, n int")
-    pages = [r.page for r in windows.pack_pages(df, "g", "i", F.col("n"), 20).orderBy("i").collect()]
+    pages = [r.page for r in windows.pack_pages(df, "g", ["i"], F.col("n"), 20).orderBy("i").collect()]
     assert pages == sorted(pages) and pages[0] == 1
     for p in set(pages):
         members = [n for n, q in zip(sizes, pages, strict=True) if q == p]
