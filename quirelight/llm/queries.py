@@ -20,6 +20,7 @@ from . import (
     warc,
 )
 from .common import table
+from .oracles import OP2_SQL, OP6_SQL, OP7_SQL, OP8_SQL
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,4 +202,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_benchmark_decontamination,
     )
 }
-SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_source_mixing": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}
+SQL: dict[str, str] = {
+    "op2_license_scans": OP2_SQL,
+    "op3_url_filters": OP3_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op6_html_extraction": OP6_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
+    "op8_warc": OP8_SQL,
+    "op9_source_mixing": OP9_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
+}

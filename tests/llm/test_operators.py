@@ -261,11 +261,16 @@ def test_mixing_meets_its_budgets(spark, sf_dir, odd, none):
     assert source_mixing.mix_sources(none).count() == 0
 
 
-def test_mixing_equals_its_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(name, spark, sf_dir):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    want = sorted(con.execute(queries.SQL["op9_source_mixing"]).fetchall(), key=repr)
-    assert rows(queries.op9_source_mixing(spark, sf_dir)) == want
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found = con.execute(queries.SQL[name])
+    names = [d[0] for d in found.description]
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(names) == sorted(df.columns)
+    assert rows(df, *sorted(names)) == sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall()), key=repr)
 
 
 # urls
