@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .udfs import stem_word, stemmed
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -52,8 +54,13 @@ def condition(toks: Column, query: str, mode: str = "websearch") -> Column:
     return reduce(Column.__and__, wanted) if wanted else F.lit(False)
 
 
-def text_search(df: DataFrame, text: str, query: str, mode: str = "websearch") -> DataFrame:
-    return df.where(condition(tokens(F.col(text)), query, mode))
+def text_search(df: DataFrame, text: str, query: str, mode: str = "websearch", lang: str | None = None) -> DataFrame:
+    """Rows whose text meets the query. lang: compare word stems of that language; by default, words as they are."""
+    toks = tokens(F.col(text))
+    if lang is None:
+        return df.where(condition(toks, query, mode))
+    asked = re.sub(r"[^\W\d_]+", lambda m: m[0] if m[0].lower() == "or" else stem_word(m[0].lower(), lang), query)
+    return df.withColumn("__toks", stemmed(toks, lang)).where(condition(F.col("__toks"), asked, mode)).drop("__toks")
 
 
 def token_table(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -47,6 +47,15 @@ def st4_presence_state(spark, sf):
     return feeds.drain_updates(feeds.presence_state(rows, "user_id", "ref", "action", "ts"), ["key"])
 
 
+@query()
+def st5_presence_pending(spark, sf):
+    """Presence that begins with a snapshot: changes wait for the first purchase, which lists refs 0 and 1."""
+    action = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in {**_PRESENCE, "purchase": "sync"}.items()])
+    ref = F.when(F.col("event_type") == "purchase", "0,1").otherwise((F.col("event_id") % 3).cast("string"))
+    rows = feeds.read_stream(spark, sf, "events").withColumn("action", action).where("action is not null").withColumn("ref", ref)
+    return feeds.drain_updates(feeds.presence_state(rows, "user_id", "ref", "action", "ts", synced=False), ["key"])
+
+
 @query("SELECT user_id, event_type, ts, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS place FROM (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY 1, 2)) WHERE place <= 3")
 def st6_recent_distinct(spark, sf):
     return feeds.recent_distinct(t(spark, sf, "events").select("user_id", "event_type", "ts"), "user_id", "event_type", "ts", 3)

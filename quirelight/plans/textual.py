@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import registry, search, structure, text, vectors
+from ..functions import registry, search, structure, text, udfs, vectors
 from ..operators import filters, joins, windows
 from .registry import query
 from .registry import table as t
@@ -251,6 +251,11 @@ def tx6_plain_search(spark, sf):
     return search.text_search(_docs(spark, sf, "text"), "text", "and OF", "plain").select("doc_id", F.split(F.lower("text"), r"[^\p{L}\p{N}]+")[0].alias("term"))
 
 
+@query(f"SELECT doc_id FROM documents WHERE len(list_filter({_W}, lambda w: regexp_full_match(w, 'onan(ingly|edly|ings|ing|ies|ed|ly|es|s)?'))) > 0")
+def tx6_stemmed_search(spark, sf):
+    return search.text_search(_docs(spark, sf, "text"), "text", "Onaning", "plain", lang="en").select("doc_id")
+
+
 @query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(" + _W + ") AS term FROM documents) WHERE term <> '' GROUP BY 1")
 def tx6_token_table(spark, sf):
     return search.token_table(_docs(spark, sf, "text"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
@@ -401,6 +406,11 @@ def fn1_count_only(spark, sf):
     return registry.call_function("documents_like", spark=spark, sf_dir=sf, needle="ing", count_only=True)
 
 
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
+def fn2_fold_all(spark, sf):
+    return _docs(spark, sf, udfs.fold_all("text").alias("folded"))
+
+
 @query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, line FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(line, '\\S')")
 def fn3_table_function(spark, sf):
     registry.register_table_functions(spark)

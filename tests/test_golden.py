@@ -190,11 +190,23 @@ def test_presence():
     assert feeds.apply_presence(["a"], [], True, [("join", "a"), ("join", "b"), ("leave", "a")])[0] == ["b"]
 
 
-def test_presence_stream_equals_batch_fold(spark, sf_dir):
-    from quirelight.plans.streamed import _PRESENCE, st4_presence_state
+@pytest.mark.parametrize("synced", [True, False])
+def test_presence_stream_equals_batch_fold(spark, sf_dir, synced):
+    from quirelight.plans import streamed
 
-    got = {r.key: r.refs for r in st4_presence_state(spark, sf_dir).collect()}
+    query = streamed.st4_presence_state if synced else streamed.st5_presence_pending
+    actions = streamed._PRESENCE if synced else {**streamed._PRESENCE, "purchase": "sync"}
+    got = {r.key: r.refs for r in query(spark, sf_dir).collect()}
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").toPandas()
-    rows = rows[rows.event_type.isin(list(_PRESENCE))].assign(ref=(rows.event_id % 3).astype(str)).sort_values(["ts", "ref"], kind="stable")
-    want = {str(u): ",".join(feeds.apply_presence([], [], True, [(_PRESENCE[t], r) for t, r in zip(g.event_type, g.ref, strict=True)])[0]) for u, g in rows.groupby("user_id")}
+    rows = rows[rows.event_type.isin(list(actions))]
+    rows = rows.assign(ref=(rows.event_id % 3).astype(str).where(rows.event_type != "purchase", "0,1")).sort_values(["ts", "ref"], kind="stable")
+    want = {str(u): ",".join(feeds.apply_presence([], [], synced, [(actions[t], r) for t, r in zip(g.event_type, g.ref, strict=True)])[0]) for u, g in rows.groupby("user_id")}
     assert got == want
+
+
+def test_stems():
+    from quirelight.functions import udfs
+
+    assert [udfs.stem_word(w, "en") for w in ("walking", "walks", "ring", "cities")] == ["walk", "walk", "ring", "cit"]
+    with pytest.raises(ValueError):
+        udfs.stemmed(F.lit(None), "xx")
