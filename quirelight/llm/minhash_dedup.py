@@ -19,8 +19,12 @@ components are compared; rounds end with the first that finds no link. No step g
 pairs are linear in the rows. Hot buckets meet partial aggregates, and joins with what these give; that is written
 before it is joined, because Spark splits a skewed join only where both sides come straight from a shuffle.
 
-What this can leave out: in a cloud of hundreds of copies that are mostly below the threshold to one
-another, a text whose only link is to a few that no round draws. Tests measure the recall against brute force.
+The rounds are a cheap first pass. The members of buckets that still hold more than one component are then compared
+exactly, by a prefix filter: with each text's unit regions in one order for all texts, rare ones first, texts that reach the
+threshold share a region among their first |x| - ceil(threshold |x|) + 1. Members of different components that share
+one, and pass the bounds on lengths and positions, are checked. A region shared by many is cut into salted blocks, and
+every two blocks meet in a cell of their own, so that no task holds a group; nothing is capped or left out. Only
+where hundreds of texts share their rare regions and yet stay apart do the pairs grow with the square of their number.
 
 Defined cases: rows that share a doc_id are one document; rows with a null doc_id have no class
 (null) and are never dropped; texts without words (null, empty, blank) are only like themselves,
@@ -39,11 +43,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, per_text, shared_folder
+from .common import ROWS_AT_ONCE, checkpointed, per_text, shared_folder
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with a probability of 1.5e-5
+BLOCK = 256  # holders of a region that are compared in one cell
+_SLOTS = 1 << 18  # counters of unit regions; regions that share one are only ordered less well
 
 _GOLD, _M1, _M2, _FOLD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
 
@@ -195,6 +201,122 @@ def more_pairs(shared: DataFrame, roots: DataFrame, compared: DataFrame, nth: in
     return apart.select("a", "b", "low").join(compared.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the nodes in buckets that hold more than one component. Buckets of two nodes are settled: the first round compares them."""
+    labelled = checkpointed(shared.select("k", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sizes = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    mixed = checkpointed(sizes.where("n > 2 and r1 <> r2").select("k"))
+    return checkpointed(labelled.join(mixed, "k", "left_semi").select("node", "root").distinct())
+
+
+def unit_counts(texts: DataFrame) -> np.ndarray:
+    """How many unit regions of the texts (t) fall into each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, n = Shingler(), np.zeros(_SLOTS, np.int64)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for t in batch.column(0):
+                    n += np.bincount(_slot(shingle(t.as_py())), minlength=_SLOTS)
+        slots = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n[slots])], names=["slot", "n"])
+
+    total = texts.select("t").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_SLOTS, np.int64)
+    counts[total["slot"].to_numpy()] = total["n"].to_numpy()
+    return counts
+
+
+def _slot(units: np.ndarray) -> np.ndarray:
+    return (units % np.uint64(_SLOTS)).astype(np.int64)
+
+
+def rare_prefixes(texts: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """(u, node, root, size, place) of the unit regions u of which texts (node, root, t) that reach the threshold share one."""
+    kind = texts.schema["node"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch, us, sizes, places, rows = whole.slice(at, ROWS_AT_ONCE), [], [], [], []
+                with np.errstate(over="ignore"):
+                    for i, t in enumerate(batch.column(2)):
+                        units = shingle(t.as_py())
+                        n = len(units)
+                        first = units[np.lexsort((units, counts[_slot(units)]))][: n - _least(threshold * n) + 1]
+                        us.append(first.astype(np.int64))
+                        places.append(np.arange(len(first)))
+                        sizes.append(np.full(len(first), n))
+                        rows.append(np.full(len(first), i))
+                if us:
+                    rows = pa.array(np.concatenate(rows))
+                    columns = [pa.array(np.concatenate(us)), batch.column(0).take(rows), batch.column(1).take(rows)]
+                    columns += [pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["u", "node", "root", "size", "place"])
+
+    long = T.LongType()
+    fields = [("u", long), ("node", kind), ("root", kind), ("size", long), ("place", long)]
+    return texts.select("node", "root", "t").mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in fields]))
+
+
+def _least(x: float | np.ndarray) -> int | np.ndarray:
+    """The smallest whole number that is not below x, but for the error of the product."""
+    up = np.ceil(x - 1e-6)
+    return int(up) if np.ndim(up) == 0 else up
+
+
+def sharing_pairs(prefixes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes of different components that share a region of their prefixes and may reach the threshold."""
+    prefixes = checkpointed(prefixes)
+    groups = prefixes.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    groups = checkpointed(groups.where("r1 <> r2").select("u", F.ceil(F.col("n") / block).alias("blocks")))
+    held = prefixes.join(groups, "u").withColumn("own", F.pmod(F.xxhash64("node", "u"), F.col("blocks")))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = [F.col("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    # a cell (i, j) of different blocks compares across them; (i, i) within the block
+    cells = held.select(*cell, "own", "node", "root", "size", "place").repartition("u", "i", "j").sortWithinPartitions("u", "i", "j")
+
+    def compared(rows: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+        rows = pa.Table.from_batches(rows)
+        own, size, place = (rows[c].to_numpy() for c in ("own", "size", "place"))
+        root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        within = rows["i"][0].as_py() == rows["j"][0].as_py()
+        x, y = np.triu_indices(len(own), 1)
+        ok = (root[x] != root[y]) & (within | (own[x] != own[y]))
+        x, y = x[ok], y[ok]
+        ok = np.minimum(size[x], size[y]) >= _least(threshold * np.maximum(size[x], size[y]))
+        x, y = x[ok], y[ok]
+        # the first region that two texts share in this order has all that they share at or behind it
+        ok = np.minimum(size[x] - place[x], size[y] - place[y]) >= _least(threshold / (1 + threshold) * (size[x] + size[y]))
+        node = rows["node"].combine_chunks()
+        return node.take(pa.array(x[ok])), node.take(pa.array(y[ok]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_back: list[pa.RecordBatch] = []
+        key = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sum(r.num_rows for r in held_back) > 1:
+                yield pa.RecordBatch.from_arrays([*compared(held_back)], names=["x", "y"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            starts = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+            for at, end in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+                if key != (now := tuple(keys[:, at].tolist())):
+                    yield from done()
+                    held_back, key = [], now
+                held_back.append(batch.slice(at, end - at))
+        yield from done()
+
+    kind = prefixes.schema["node"].dataType
+    met = cells.mapInArrow(run, T.StructType([T.StructField("x", kind), T.StructField("y", kind)]))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose texts' exact similarity reaches the threshold. texts: (node, t), one row per node."""
     one = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
@@ -270,6 +392,15 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
             break
         compared = compared.unionByName(pairs)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+    left = unsettled(shared, roots)
+    if not left.isEmpty():
+        folder = shared_folder(docs.sparkSession)
+        texts.join(left, "node").write.parquet(folder)
+        left = docs.sparkSession.read.parquet(folder)
+        pairs = sharing_pairs(rare_prefixes(left, unit_counts(left), threshold), threshold)
+        pairs = checkpointed(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").withColumn("low", F.lit(True)))
+        found = links_of(pairs)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
     known = member.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("class"))
     known = known.union(signed.where("h1 is null").select("id", F.col("id").alias("class")))
     out = known.select(F.col("id").alias(doc_id), F.col("class").alias("class_id"), (F.col("id") == F.col("class")).alias("is_first"))

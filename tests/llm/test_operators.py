@@ -138,6 +138,35 @@ def test_cloud_of_near_copies_is_found(spark):
     assert np.mean([want[i] == got[i] for i in want]) > 0.97
 
 
+def test_pairs_at_the_edge_of_a_cloud_are_found(spark):
+    rng = np.random.default_rng(7)
+
+    def filled(slots):
+        return " ".join(f"s{i}v{slots[i // 5]}" if i % 5 == 2 else f"w{i}" for i in range(140))
+
+    # a template with 28 slots: popular texts near its middle, and pairs off it that are alike only to each other
+    texts = [filled(rng.random(28) < 0.1) for _ in range(600)]
+    for _ in range(60):
+        one = np.zeros(28, bool)
+        one[rng.choice(28, 8, replace=False)] = True
+        two = one.copy()
+        two[rng.choice(np.flatnonzero(~one), 3, replace=False)] = True
+        texts += [filled(one), filled(two)]
+    texts = list(enumerate(texts))
+    want = brute_classes(texts)
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicate_classes(table).collect()}
+    lost = sum(want[i] != got[i] for i in want)
+    assert lost == 0
+
+
+def test_blocks_of_a_shared_region_leave_out_no_pair(spark):
+    rows = [(u, i, i % 40, 100, 0) for u in (1, 2) for i in range(u, 90)]
+    table = spark.createDataFrame(rows, "u bigint, node bigint, root bigint, size bigint, place bigint")
+    got = {tuple(r) for r in minhash_dedup.sharing_pairs(table, 0.8, block=16).collect()}
+    assert got == {(a, b) for a, b in combinations(range(1, 90), 2) if a % 40 != b % 40}
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     shingle, rng = minhash_dedup.Shingler(1), np.random.default_rng(3)
     a, b = (" ".join(f"w{x}" for x in rng.zipf(1.6, 400) % 60) for _ in range(2))
