@@ -1,7 +1,8 @@
 """Licence scan by sentence rules.
 
 A text is cut into sentences (at line ends, and at . ! ? ; : before white space), each normalised to lower-case
-words and numbers. Normalised sentences that are known get their identifier; the identifiers of a text, in
+words and numbers. Comment leaders are no words. Lines that follow one another, without a blank one between, are joined where
+together they are a known sentence, so that wrapped texts are found too. Normalised sentences that are known get their identifier; the identifiers of a text, in
 order, are its licence sequence. Ordered rules, each a sequence of identifiers, are matched against it: a rule
 fits where its identifiers follow one another in the sequence, and the first rule of each licence that fits
 names the evidence.
@@ -20,7 +21,8 @@ from pyspark.sql import types as T
 
 from .common import per_text
 
-_CUT = re.compile(r"[.!?;:](?=[ \t\r\n])|[.!?;:]$|\n")
+_CUT = re.compile(r"(?<!\bv)(?<!spdx-license-identifier)[.!?;:](?=[ \t\r\n])|[.!?;:]$")
+_LEADER = re.compile(r"(?m)^[^\S\n]*(?:(?:rem|dnl)\b|[^\w\s]+)")
 _WORD = re.compile(r"[a-z0-9]+")
 
 # Public licences' sentences, as normalised words. identifier -> sentence
@@ -78,6 +80,8 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("bsd-notice", "BSD", ("bsd-licensed",)),
     ("mpl2-notice", "MPL-2.0", ("mpl-2.0",)),
 ]
+#: Other wordings of known sentences.
+VARIANTS = {"apache-2.0-licensed": "licensed under the apache license version 2 0 the license"}
 #: Every known sentence has one of these; a text without any is not cut up.
 ANCHORS = ("licen", "permission", "warrant", "redistribut", "free software", "copyright")
 
@@ -88,7 +92,8 @@ def normalised(sentence: str) -> str:
 
 class SentenceRules:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, tuple[str, ...]]] = RULES):
-        self.known = {s: i for i, s in sentences.items()}
+        self.known = {s: i for i, s in sentences.items()} | {s: i for i, s in VARIANTS.items() if i in sentences}
+        self.begun = {" ".join(w[:n]) for s in self.known for w in [s.split()] for n in range(1, len(w))}
         self.rules = rules
         self.anchors = ANCHORS if all(any(a in s for a in ANCHORS) for s in self.known) else ("",)
 
@@ -96,7 +101,23 @@ class SentenceRules:
         text = text.lower()
         if not any(a in text for a in self.anchors):
             return []
-        return [i for s in _CUT.split(text) if (i := self.known.get(normalised(s)))]
+        ids = []
+        for sentence in _CUT.split(_LEADER.sub("", text)):
+            lines = [normalised(line) for line in sentence.split("\n")]
+            at = 0
+            while at < len(lines):
+                joined, end, found = lines[at], at + 1, None
+                after = end
+                while joined:
+                    if joined in self.known:
+                        found, after = self.known[joined], end
+                    if joined not in self.begun or end == len(lines) or not lines[end]:
+                        break
+                    joined, end = f"{joined} {lines[end]}", end + 1
+                if found:
+                    ids.append(found)
+                at = after
+        return ids
 
     def matches(self, ids: list[str]) -> list[tuple[str, str]]:
         """(licence, rule) of the first fitting rule of each licence, sorted by licence."""

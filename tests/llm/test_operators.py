@@ -343,6 +343,67 @@ def test_licences(spark, sf_dir, odd, none):
     assert license_scan.scan_documents(odd).where("n_sentences > 0").count() == 0 and license_scan.scan_documents(none).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("leader", ["", "# ", "// ", " * ", "; ", "REM "])
+def test_published_licence_texts_are_found(leader):
+    scan = license_scan.SentenceRules()
+    texts = {
+        MIT: ("MIT", "mit-full"),
+        APACHE: ("Apache-2.0", "apache-full"),
+        GPL.format(":", ",", 3): ("GPL-3.0", "gpl3-full"),
+        GPL.format(";", ";", 2).replace("Foundation;", "Foundation,"): ("GPL-2.0", "gpl2-full"),
+        BSD: ("BSD", "bsd-terms"),
+        MPL: ("MPL-2.0", "mpl2-notice"),
+        "SPDX-License-Identifier: MIT": ("MIT", "mit-spdx"),
+        "SPDX-License-Identifier: Apache-2.0": ("Apache-2.0", "apache-spdx"),
+    }
+    for text, found in texts.items():
+        wrapped = "int before;\n" + "\n".join((leader + line).rstrip() for line in text.split("\n")) + "\nint after;"
+        assert scan.matches(scan.sentence_ids(wrapped)) == [found]
+
+
 # html
 
 
