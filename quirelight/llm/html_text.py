@@ -3,8 +3,8 @@
 The standard library's parser streams a page's events into lines, one per block. Each line has its
 text-to-tag ratio: characters per tag met since the line before. The ratios of a page are smoothed with a
 Gaussian, and lines over a threshold (a share of the standard deviation) form the content clusters. A
-content cluster selects its region: the article or main element around it, or, where the page has
-none, the run of lines itself. From selected regions all lines stay but those of menus, page headers,
+content cluster selects its region: the nearest block around its lines. Where the page has article or main elements,
+these are the regions, all of them. From selected regions all lines stay but those of menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
+from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ _BLOCK = frozenset(
 )
 _CLOSES_P = _BLOCK - frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"))
 _ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",)}
+_LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr td th figcaption caption summary legend".split())
+_PAGE = frozenset(("html", "body"))
 _NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video menu dialog".split())
 _REGION = frozenset(("article", "main"))
 _NAMES = (
@@ -53,6 +56,9 @@ class LineParser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
+        self.blocks: list[tuple[int, ...]] = []  # of each line: the blocks around it, outermost first
+        self.path: list[int] = []  # per open tag: its number where it is a block that holds others, or -1
+        self.met = 0
         self.pieces: list[str] = []
         self.tags = self.regions = 0
         self.open: list[tuple[str, bool, int]] = [("", False, -1)]  # tag, inside boilerplate, region
@@ -62,6 +68,7 @@ class LineParser(HTMLParser):
         self.pieces.clear()
         if text:
             self.lines.append((text, self.tags, self.open[-1][2]))
+            self.blocks.append(tuple(n for n in self.path if n >= 0))
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -83,6 +90,8 @@ class LineParser(HTMLParser):
             if tag in _REGION and region < 0 and not out:
                 region, self.regions = self.regions, self.regions + 1
         self.open.append((tag, out, region))
+        self.met += 1
+        self.path.append(self.met if tag in _BLOCK - _LEAF - _PAGE else -1)
 
     def is_boilerplate(self, tag: str, attrs: dict[str, str | None], region: int) -> bool:
         if tag in _NEVER or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
@@ -99,7 +108,7 @@ class LineParser(HTMLParser):
     def close_through(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in tags:
-                del self.open[k:]
+                del self.open[k:], self.path[k - 1 :]
                 return
             if self.open[k][0] in stop:
                 return
@@ -110,7 +119,7 @@ class LineParser(HTMLParser):
             self.flush()
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                del self.open[k:], self.path[k - 1 :]
                 return
 
     def handle_data(self, data: str) -> None:
@@ -124,15 +133,17 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach), kernel / kernel.sum(), mode="valid")
 
 
-def clusters(content: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    """Runs of content lines, each from its first to its last line that is dense without its neighbours' help."""
-    keep = np.zeros(len(content), bool)
+def clusters(content: np.ndarray, dense: np.ndarray, blocks: list[tuple[int, ...]]) -> np.ndarray:
+    """Lines of the nearest blocks around runs of content lines, each run from its first to its last line that is dense without
+    its neighbours' help. Where only the page is around a run, the run and the lines that stand in no block of their own."""
+    keep, chosen = np.zeros(len(content), bool), set()
     ends = np.flatnonzero(np.diff(np.concatenate(([0], content.astype(int), [0]))))
     for start, end in zip(ends[::2], ends[1::2], strict=True):
         at = start + np.flatnonzero(dense[start:end])
         if len(at):
             keep[at[0] : at[-1] + 1] = True
-    return keep
+            chosen.add(tuple(commonprefix([blocks[k] for k in range(at[0], at[-1] + 1)])))
+    return keep | np.array([not b and b in chosen or any(b[:n] in chosen for n in range(1, len(b) + 1)) for b in blocks])
 
 
 def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) -> str:
@@ -148,10 +159,9 @@ def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD) ->
     content = ratio >= threshold * ratio.std()
     regions = np.array([region for _, _, region in lines])
     if parser.regions and (regions >= 0).any():
-        chosen = set(regions[content & (regions >= 0)].tolist()) or {int(regions[np.argmax(np.where(regions >= 0, ratio, -1.0))])}
-        keep = np.isin(regions, list(chosen))
+        keep = regions >= 0
     else:
-        keep = clusters(content, raw >= threshold * ratio.std()) if content.any() else np.ones(len(lines), bool)
+        keep = clusters(content, raw >= threshold * ratio.std(), parser.blocks) if content.any() else np.ones(len(lines), bool)
     return "\n".join(text for (text, _, _), k in zip(lines, keep, strict=True) if k)
 
 

@@ -421,6 +421,14 @@ def test_html_equals_brute_force(spark, sf_dir):
         assert got[p.page_id].n_chars == len(got[p.page_id].text)
 
 
+def test_html_keeps_the_edges_of_articles():
+    long = "many words " * 27
+    page = f"<html><body><div class=menu><p>Home</p></div><div><h1>Title</h1><p>{long}</p><p>{long}</p><p>Short end.</p></div><div><a>x</a><p>y</p></div></body></html>"
+    assert html_text.main_text(page).split("\n") == ["Title", long.strip(), long.strip(), "Short end."]
+    page = f"<body><article><h1>One</h1><p>{long}</p></article>" + "<p>x</p>" * 9 + "<article><h1>Two</h1><p>Brief.</p></article></body>"
+    assert html_text.main_text(page).split("\n") == ["One", long.strip(), "Two", "Brief."]
+
+
 def test_html_leaves_boilerplate_out(spark):
     page = (
         "<html><head><title>T</title></head><body><header>Site</header><div class='menu'>Home <a>x</a></div><main><h1>Head &amp; line</h1><p>First <b>bold</b>\n text<p>Second&nbsp;one &lt;"
