@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.shared import checkpointed, shared_folder
+from ..sources.shared import Scratch, checkpointed, shared_folder
 
-__all__ = ["ROWS_AT_ONCE", "checkpointed", "per_text", "shared_folder", "table"]
+__all__ = ["ROWS_AT_ONCE", "Scratch", "checkpointed", "per_text", "shared_folder", "table"]
 
 #: Rows of an Arrow batch that are decoded to Python objects at a time.
 ROWS_AT_ONCE = 256

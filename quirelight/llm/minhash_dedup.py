@@ -13,23 +13,26 @@ Signatures are cut into bands. Texts with equal weighted sets are one node from
 group of copies costs one row per member and never a pair. In a band bucket each node is compared
 with two centres only: the member whose buckets are the most populous (which is near the middle of a cloud
 of copies), and one nearly as popular, drawn by hash. Compared pairs are checked exactly (weighted Jaccard >= threshold), and checked
-pairs are linked into components by alternating large-star and small-star steps. Buckets that then hold
-more than one component go another round, with two newly drawn centres, against which only members of other
-components are compared; rounds end with the first that finds no link. No step gathers a group, and a round's
-pairs are linear in the rows. Hot buckets meet partial aggregates, and joins with what these give; that is written
-before it is joined, because Spark splits a skewed join only where both sides come straight from a shuffle.
+pairs are linked into components: tasks join the edges they hold, and alternating large-star and small-star steps join what
+tasks hold apart. No step gathers a group, and the pairs are linear in the rows. Hot buckets meet partial aggregates, and joins with
+what these give; that is written before it is joined, because Spark splits a skewed join only where both sides come straight from a shuffle.
 
-The rounds are a cheap first pass. The members of buckets that still hold more than one component are then compared
+The members of buckets that then still hold more than one component are compared
 exactly, by a prefix filter: with each text's unit regions in one order for all texts, rare ones first, texts that reach the
 threshold share a region among their first |x| - ceil(threshold |x|) + 1. Members of different components that share
 one, and pass the bounds on lengths and positions, are checked. A region shared by many is cut into salted blocks, and
 every two blocks meet in a cell of their own, so that no task holds a group; nothing is capped or left out. Only
 where hundreds of texts share their rare regions and yet stay apart do the pairs grow with the square of their number.
+So a pair that reaches the threshold is missed only if it shares no band at all.
 
-Defined cases: rows that share a doc_id are one document; rows with a null doc_id have no class
+Every table between two jobs is written to the shared folder, which cuts lineage and keeps plans small, and removed when
+nothing reads it any more; what the returned table reads stays.
+
+Defined cases: a row's class is that of its text, whatever its doc_id, so that rows that share a doc_id with different texts
+may be in different classes, and no text is lost; the class id is the smallest doc_id of the class (two classes may then bear the
+same one); of several rows that could stand for a class, one does; rows with a null doc_id have no class
 (null) and are never dropped; texts without words (null, empty, blank) are only like themselves,
-each its own class; the class id is the smallest doc_id of the group; an empty table gives an empty
-result. Columns other than the id and the text are not read.
+each its own class; an empty table gives an empty result. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -43,12 +46,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROWS_AT_ONCE, checkpointed, per_text, shared_folder
+from .common import ROWS_AT_ONCE, Scratch, per_text
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with a probability of 1.5e-5
 BLOCK = 256  # holders of a region that are compared in one cell
+FOREST = 500_000  # nodes of the forest that a task holds while it joins edges
 _SLOTS = 1 << 18  # counters of unit regions; regions that share one are only ordered less well
 
 _GOLD, _M1, _M2, _FOLD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
@@ -142,8 +146,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, h1, h2: content hash, null without words; bands: array of keys) of each row."""
+def signatures(rows: DataFrame, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
+    """(row, id, h1, h2: content hash, null without words; bands: array of keys) of each of rows (row, id, t)."""
 
     def make() -> Callable[[str], tuple]:
         shingle = Shingler()
@@ -153,23 +157,25 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int = BANDS, rows
             if not len(units):
                 return None, None, []
             with np.errstate(over="ignore"):
-                keys = band_keys(dart_signature(units, bands * rows), bands, rows)
-            data = units.tobytes()
-            h = xxhash.xxh3_128_intdigest(data)
-            return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), keys
+                keys = band_keys(dart_signature(units, bands * rows_per_band), bands, rows_per_band)
+            h = xxhash.xxh3_128_intdigest(units.tobytes())
+            return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), np.unique(keys)
 
         return fn
 
     fields = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return per_text(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t")), ["id"], "t", fields, make)
+    return per_text(rows, ["row", "id"], "t", fields, make)
 
 
-def shared_buckets(bands: DataFrame) -> DataFrame:
-    """(k, node, pop) of the buckets with more than one node. pop: sizes of all the node's buckets together. bands: (node, k)."""
-    counted = checkpointed(bands.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = bands.join(counted, "k")
+def shared_buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, node, pop) of the buckets with more than one node. pop: sizes of all the node's buckets together. nodes: (node, bands)."""
+    keyed = nodes.select("node", F.explode("bands").alias("k"))
+    counted = scratch.keep(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = scratch.keep(keyed.join(counted, "k"))
     popular = shared.groupBy("node").agg(F.sum("n").alias("pop"))
-    return checkpointed(shared.select("k", "node").join(popular, "node"))
+    out = scratch.keep(shared.select("k", "node").join(popular, "node"))
+    scratch.drop(counted, shared)
+    return out
 
 
 def _centre(nth: int) -> Column:
@@ -178,35 +184,24 @@ def _centre(nth: int) -> Column:
     return F.max(F.struct((F.col("pop") * (1 + noise)).alias("p"), "node"))["node"]
 
 
-def _with_centres(shared: DataFrame, centres: DataFrame) -> DataFrame:
-    """Distinct (a, b, low), a < b, of each bucket's members with its centres (k, cs); low: the centre is a."""
+def centre_pairs(shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (a, b, low), a < b, of each bucket's members with its two centres; low: the centre is a."""
+    centres = scratch.keep(shared.groupBy("k").agg(F.array_distinct(F.array(_centre(0), _centre(1))).alias("cs")))
     met = shared.join(centres, "k").select("node", F.explode("cs").alias("c")).where("node <> c")
     pairs = met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"), (F.col("c") < F.col("node")).alias("low"))
-    return pairs.groupBy("a", "b").agg(F.max("low").alias("low"))
-
-
-def first_pairs(shared: DataFrame) -> DataFrame:
-    """Each bucket's members with its first two centres."""
-    return _with_centres(shared, checkpointed(shared.groupBy("k").agg(F.array(_centre(0), _centre(1)).alias("cs"))))
-
+    out = scratch.keep(pairs.groupBy("a", "b").agg(F.max("low").alias("low")))
+    scratch.drop(centres)
+    return out
 
-def more_pairs(shared: DataFrame, roots: DataFrame, compared: DataFrame, nth: int) -> DataFrame:
-    """Pairs not compared yet, of members of different components with two newly drawn centres, in buckets that hold more than one component."""
-    labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    drawn = F.array(_centre(2 * nth), _centre(2 * nth + 1)).alias("cs")
-    mixed = labelled.groupBy("k").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), drawn).where("r1 <> r2")
-    pairs = _with_centres(shared, checkpointed(mixed.select("k", "cs")))
-    root = lambda n, out: roots.select(F.col("node").alias(n), F.col("root").alias(out))
-    apart = pairs.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    return apart.select("a", "b", "low").join(compared.select("a", "b"), ["a", "b"], "left_anti")
 
-
-def unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root) of the nodes in buckets that hold more than one component. Buckets of two nodes are settled: the first round compares them."""
-    labelled = checkpointed(shared.select("k", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+def unsettled(shared: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the nodes in buckets that hold more than one component. Buckets of two nodes are settled, since one is the other's centre."""
+    labelled = scratch.keep(shared.select("k", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    mixed = checkpointed(sizes.where("n > 2 and r1 <> r2").select("k"))
-    return checkpointed(labelled.join(mixed, "k", "left_semi").select("node", "root").distinct())
+    mixed = scratch.keep(sizes.where("n > 2 and r1 <> r2").select("k"))
+    out = scratch.keep(labelled.join(mixed, "k", "left_semi").select("node", "root").distinct())
+    scratch.drop(labelled, mixed)
+    return out
 
 
 def unit_counts(texts: DataFrame) -> np.ndarray:
@@ -266,11 +261,11 @@ def _least(x: float | np.ndarray) -> int | np.ndarray:
     return int(up) if np.ndim(up) == 0 else up
 
 
-def sharing_pairs(prefixes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def sharing_pairs(prefixes: DataFrame, threshold: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (a, b), a < b, of nodes of different components that share a region of their prefixes and may reach the threshold."""
-    prefixes = checkpointed(prefixes)
+    prefixes = scratch.keep(prefixes)
     groups = prefixes.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    groups = checkpointed(groups.where("r1 <> r2").select("u", F.ceil(F.col("n") / block).alias("blocks")))
+    groups = scratch.keep(groups.where("r1 <> r2").select("u", F.ceil(F.col("n") / block).alias("blocks")))
     held = prefixes.join(groups, "u").withColumn("own", F.pmod(F.xxhash64("node", "u"), F.col("blocks")))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = [F.col("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
@@ -321,9 +316,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     """The pairs (a, b) whose texts' exact similarity reaches the threshold. texts: (node, t), one row per node."""
     one = texts.select(F.col("node").alias("a"), F.col("t").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-    # the centre's text, which many pairs need, joins last
-    centre_low = pairs.where("low").join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
-    centre_high = pairs.where("not low").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    centre, member = F.when(F.col("low"), F.col("a")), F.when(F.col("low"), F.col("b"))
+    sides = pairs.select(centre.otherwise(F.col("b")).alias("b"), member.otherwise(F.col("a")).alias("a"))
+    met = sides.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")  # the centre's text, which many pairs need, joins last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last = Shingler(), {}
@@ -342,74 +337,104 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType
-    return centre_low.unionByName(centre_high).mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return met.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b) except the roots themselves; root: the smallest of its component."""
+def contracted(edges: DataFrame, most: int = FOREST) -> DataFrame:
+    """(node, root), root < node, with the same components as the edges (node, root): each task joins what its own edges link."""
+    kind = edges.schema["node"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "root"))).first())
+        def top(x: object) -> object:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
 
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root").distinct())
-    now = state(e)
-    while now[0]:
+        def forest() -> pa.RecordBatch:
+            named = [(x, top(x)) for x in list(parent)]
+            named = [n for n in named if n[0] != n[1]]
+            return pa.RecordBatch.from_arrays([pa.array([n[i] for n in named], batch.schema.field(0).type) for i in (0, 1)], names=["node", "root"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (x := top(a)) != (y := top(b)):
+                    parent[max(x, y)] = min(x, y)
+            if len(parent) > most:  # bounded memory; what is linked across forests is left to the steps between tasks
+                yield forest()
+                parent.clear()
+        if parent:
+            yield forest()
+
+    return edges.select("node", "root").mapInArrow(run, schema)
+
+
+def _is_settled(e: DataFrame) -> bool:
+    """Whether every node has one row, and no root is a node."""
+    ends = e.select(F.col("node").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("root", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").isEmpty()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) for every node of the edges (a, b) except the roots themselves; root: the smallest of its component."""
+    e = scratch.keep(contracted(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).where("node <> root")))
+    while not _is_settled(e):
         both = e.union(e.select("root", "node"))
-        least = checkpointed(both.groupBy("node").agg(F.min(F.least("node", "root")).alias("m")))
-        large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()
-        large = checkpointed(large)
-        least = checkpointed(large.groupBy("node").agg(F.min("root").alias("m")))
+        least = scratch.keep(both.groupBy("node").agg(F.min(F.least("node", "root")).alias("m")))
+        large = scratch.keep(contracted(both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root"))))
+        scratch.drop(e, least)
+        least = scratch.keep(large.groupBy("node").agg(F.min("root").alias("m")))
         small = large.join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).where("node <> root")
-        e = checkpointed(small.union(least.select("node", F.col("m").alias("root"))).distinct())
-        before, now = now, state(e)
-        if before == now:
-            break
+        e = scratch.keep(contracted(small.union(least.select("node", F.col("m").alias("root"))).distinct()))
+        scratch.drop(large, least)
     return e
 
 
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, most_rounds: int = 1000) -> DataFrame:
-    """Per row of docs: its doc_id, class_id and whether it is the document that stands for its class."""
-    signed = checkpointed(signatures(docs, doc_id, text, bands, rows))
-    first = checkpointed(signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("node")))
-    member = signed.join(first, ["h1", "h2"])
-    keyed = member.where("id = node").select("node", F.explode(F.array_distinct("bands")).alias("k")).distinct()
-    shared = shared_buckets(keyed)
-    # every round compares texts of these nodes alone
-    folder = shared_folder(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    texts.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).write.parquet(folder)
-    texts = docs.sparkSession.read.parquet(folder)
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, texts, threshold)
-
-    pairs = compared = checkpointed(first_pairs(shared))
-    roots = components(links_of(pairs))
-    for nth in range(1, most_rounds + 1):
-        pairs = checkpointed(more_pairs(shared, roots, compared, nth))
-        found = checkpointed(links_of(pairs)) if not pairs.isEmpty() else None
-        if found is None or found.isEmpty():
-            break
-        compared = compared.unionByName(pairs)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-    left = unsettled(shared, roots)
+def row_classes(rows: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
+    """(row, id, class_id, is_first) of each of rows (row, id, t). It reads tables that scratch keeps."""
+    signed = scratch.keep(signatures(rows, bands, rows_per_band))
+    first = F.min(F.struct("id", "row")).alias("first")
+    nodes = scratch.keep(signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("row").alias("node"), first, F.any_value("bands").alias("bands")))
+    shared = shared_buckets(nodes, scratch)
+    pairs = centre_pairs(shared, scratch)
+    texts = rows.select(F.col("row").alias("node"), F.coalesce("t", F.lit("")).alias("t"))
+    texts = scratch.keep(texts.join(shared.select("node").distinct(), "node", "left_semi"))
+    roots = components(verified(pairs, texts, threshold), scratch)
+    left = unsettled(shared, roots, scratch)
     if not left.isEmpty():
-        folder = shared_folder(docs.sparkSession)
-        texts.join(left, "node").write.parquet(folder)
-        left = docs.sparkSession.read.parquet(folder)
-        pairs = sharing_pairs(rare_prefixes(left, unit_counts(left), threshold), threshold)
-        pairs = checkpointed(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").withColumn("low", F.lit(True)))
-        found = links_of(pairs)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
-    known = member.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("class"))
-    known = known.union(signed.where("h1 is null").select("id", F.col("id").alias("class")))
-    out = known.select(F.col("id").alias(doc_id), F.col("class").alias("class_id"), (F.col("id") == F.col("class")).alias("is_first"))
-    nameless = docs.where(F.col(doc_id).isNull()).select(doc_id, F.col(doc_id).alias("class_id"), F.lit(True).alias("is_first"))
-    return out.unionByName(nameless)
+        # every pair of these texts that reaches the threshold is found here, whatever the centres missed
+        left = scratch.keep(texts.join(left, "node"))
+        more = sharing_pairs(rare_prefixes(left, unit_counts(left), threshold), threshold, scratch)
+        more = scratch.keep(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("low", F.lit(True)))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more, texts, threshold)), scratch)
+    linked = roots.union(roots.select("root", "root").distinct())
+    whole = scratch.keep(linked.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("of_class")))
+    named = linked.join(whole, "root").select("node", "of_class")
+    classes = scratch.keep(nodes.join(named, "node", "left").select("h1", "h2", F.coalesce("of_class", "first").alias("first")))
+    scratch.drop(nodes, shared, pairs, texts, left, roots, whole)
+    out = signed.select("row", "id", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    return out.select("row", "id", F.coalesce("first.id", "id").alias("class_id"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("is_first"))
+
+
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Per row of docs: its doc_id, class_id and whether it is the row that stands for its class. options: threshold, bands, rows_per_band."""
+    columns = [F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")]
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), *columns).where("id is not null"))
+    out = row_classes(rows, scratch, **options)
+    scratch.drop(rows)
+    nameless = docs.select(columns[0]).where("id is null")
+    return out.select("id", "class_id", "is_first").unionByName(nameless.select("id", F.col("id").alias("class_id"), F.lit(True).alias("is_first"))).withColumnRenamed("id", doc_id)
 
 
 def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of docs, with all its columns, for each class; rows with a null id all stay."""
-    stay = near_duplicate_classes(docs, doc_id, text, **options).where("is_first").select(F.col(doc_id).alias("__stays")).distinct()
-    kept = docs.join(stay, docs[doc_id] == F.col("__stays"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    scratch = Scratch(docs.sparkSession)
+    whole = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    rows = whole.select("row", F.col(f"doc.`{doc_id}`").alias("id"), F.col(f"doc.`{text}`").alias("t")).where("id is not null")
+    others = scratch.keep(row_classes(rows, scratch, **options).where("not is_first").select("row"))
+    scratch.drop_all_but(whole, others)
+    return whole.join(others, "row", "left_anti").select("doc.*")
