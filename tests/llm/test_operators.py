@@ -465,6 +465,47 @@ def test_html_keeps_the_edges_of_articles():
     assert html_text.main_text(page).split("\n") == ["One", long.strip(), "Two", "Brief."]
 
 
+def test_html_without_telling_tags_is_found_by_ratio(spark, sf_dir):
+    def plain(t, article):
+        for a, b in (("<article>", article[0]), ("</article>", article[1]), (' class="ad"', ""), ("nav>", "div>"), ("footer>", "div>")):
+            t = t.replace(a, b)
+        return t
+
+    pages = [(p.html, brute_article(p.html)) for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for article in (("<div>", "</div>"), ("", "")):
+        right = [html_text.main_text(plain(h, article)) == want for h, want in pages]
+        long = [r for r, (_, want) in zip(right, pages, strict=True) if len(want) >= 400]
+        assert np.mean(right) > 0.9 and np.mean(long) > 0.97
+    # where every line is dense, or ratios are smoothed over the whole page, the method can't tell
+    assert np.mean([html_text.main_text(plain(h, ("<div>", "</div>")), threshold=0.0) == want for h, want in pages]) < 0.1
+    assert np.mean([html_text.main_text(plain(h, ("<div>", "</div>")), sigma=8.0) == want for h, want in pages]) < 0.9
+
+
+def test_html_drops_nothing_of_the_article():
+    long = ("many words " * 27).strip()
+    body = f"<h1>Title</h1><p>{long}</p><p class='related-work'>Related work is <a href=x>elsewhere</a>.</p><div class='share-price'>12.5</div><h2>Part</h2><p>{long}</p><ul><li>one</li><li>two</li></ul><p>End.</p>"
+    want = ["Title", long, "Related work is elsewhere.", "12.5", "Part", long, "one", "two", "End."]
+    menu, foot = "<div><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></div>", "<div>About us</div>"
+    for page in (f"<article>{body}</article>", f"<div>{body}</div>", f"<div><div>{body}</div></div>", f"<section>{body}</section>"):
+        assert html_text.main_text(f"<html><body>{menu}{page}{foot}</body></html>").split("\n") == want, page
+    # a title in a block of its own, sections of unequal length, and share buttons
+    page = f"<body>{menu}<div class=wrap><div class=head><h1>Title</h1><span>By A. Writer</span></div><div><section><p>{long}</p><p>{long}</p></section><section><p>{long[:100]}</p><p>Short.</p></section></div><div class='share-buttons'>Share</div></div></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", "By A. Writer", long, long, long[:100].strip(), "Short."]
+    page = f"<body><header><h1>Site</h1></header>{menu}<div><p>{long}</p><p>{long}</p></div><div id=comments><p>{long}</p><p>{long}</p><p>{long}</p></div></body>"
+    assert html_text.main_text(page).split("\n") == [long, long]
+
+
+def test_html_of_odd_tables(spark):
+    schema = "page_id bigint, url string, html string, text string"
+    assert html_text.extract_pages(spark.createDataFrame([], schema)).count() == 0
+    long = "<div><p>" + "</p><p>".join(f"paragraph {i} of a very long page, with words enough" for i in range(20_000)) + "</p></div>"
+    deep = "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000
+    page = [(1, "u", long, "x"), (2, "u", "<p>same</p>", "x"), (2, "u", "<p>same</p>", "y"), (3, "u", deep, None), (4, "u", "plain", None), (5, "u", "<p>&amp;&#233;&bogus; <", None)]
+    got = rows(html_text.extract_pages(spark.createDataFrame(page, schema)), "page_id", "n_chars")
+    assert got[1:] == [(2, 4), (2, 4), (3, 4), (4, 5), (5, len("&é&bogus; <"))]
+    assert got[0][1] == sum(len(f"paragraph {i} of a very long page, with words enough") + 1 for i in range(20_000)) - 1
+
+
 def test_html_leaves_boilerplate_out(spark):
     page = (
         "<html><head><title>T</title></head><body><header>Site</header><div class='menu'>Home <a>x</a></div><main><h1>Head &amp; line</h1><p>First <b>bold</b>\n text<p>Second&nbsp;one &lt;"
