@@ -6,18 +6,18 @@ over each chunk; responses are rectified and max-pooled per chunk; the pooled va
 by mean and by maximum, and a logistic unit gives one probability.
 
 The network is fitted on the driver to a bounded sample of labelled rows: at most SAMPLE_PER_LABEL rows of each
-label, chosen by hash and weighted to the labels' shares over all rows, each reduced on the executors to at most TRAIN_CHUNKS chunks evenly spread over
-the whole document. Scoring runs on the executors over all chunks of every document.
+label, chosen by hash and weighted to the labels' shares over all rows, each with all chunks of its whole text; the driver holds their bytes.
+Scoring runs on the executors over all chunks of every document.
 
 Defined cases: a null or empty text is one chunk of padding and gets the network's score for that; null labels
-are not learned from, of several labels of an id the smallest counts; with labels of one kind only, every
+are not learned from; of several labels of an id the smallest counts, of several texts the first in order; with labels of one kind only, every
 score is that label, without any it is 0.5; equal rows get equal rows; an empty table gives an empty result;
 only the named columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,18 +28,23 @@ from .common import per_text
 
 WIDTH, FILTERS = 5, 12
 CHUNK, STEP = 512, 256
-#: The bound on what is learned from.
-SAMPLE_PER_LABEL, TRAIN_CHUNKS = 1500, 12
+#: The bound on what is learned from, in rows of each label.
+SAMPLE_PER_LABEL = 1500
 STEPS, BATCH_DOCS, RATE, SEED = 800, 32, 0.01, 11
 PAD = 256
+_SLICE = 64  # steps of positions that are worked on at a time, so that memory is bounded for any text
 
 
 def byte_values(text: str) -> np.ndarray:
     """The text's bytes, padded so that its last chunk is whole."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+    return padded(text.encode("utf-8", "surrogatepass"))
+
+
+def padded(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8).astype(np.int16)
     length = CHUNK + WIDTH - 1
     n = max(1, -(-(len(data) - length) // STEP) + 1)
-    return np.concatenate((data, np.full((n - 1) * STEP + length - len(data), PAD)))
+    return np.concatenate((data, np.full((n - 1) * STEP + length - len(data), PAD, np.int16)))
 
 
 class ByteNetwork:
@@ -50,24 +55,29 @@ class ByteNetwork:
         self.head = rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
         self.offset = np.zeros(1, np.float32)
 
-    def responses(self, data: np.ndarray) -> np.ndarray:
-        """(positions, filters); data: (..., positions + WIDTH - 1)."""
-        n = data.shape[-1] - WIDTH + 1
-        z = self.table[0][data[..., :n]]
-        for j in range(1, WIDTH):
-            z += self.table[j][data[..., j : j + n]]
-        return z
+    def responses(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """(steps, STEP, filters) for each slice of positions."""
+        for at in range(0, len(data) - WIDTH + 1, _SLICE * STEP):
+            part = data[at : at + _SLICE * STEP + WIDTH - 1]
+            n = len(part) - WIDTH + 1
+            z = self.table[0].take(part[:n], axis=0)
+            for j in range(1, WIDTH):
+                z += self.table[j].take(part[j : j + n], axis=0)
+            yield z.reshape(-1, STEP, FILTERS)
+
+    def peaks(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(steps, filters): the largest response in each STEP of positions, and its position."""
+        value, best = [], []
+        for z in self.responses(data):
+            best.append(z.argmax(axis=1))
+            value.append(np.take_along_axis(z, best[-1][:, None, :], axis=1)[:, 0, :])
+        place = np.concatenate(best)
+        return np.concatenate(value), place + np.arange(len(place))[:, None] * STEP
 
     def pooled_chunks(self, data: np.ndarray) -> np.ndarray:
         """(chunks, filters): maxima over chunks of CHUNK positions, one every STEP."""
-        n = len(data) - WIDTH + 1
-        halves = []
-        for at in range(0, n, 64 * STEP):  # positions in slices, so that memory is bounded for any text
-            part = self.responses(data[at : min(n, at + 64 * STEP) + WIDTH - 1])
-            halves.append(np.maximum.reduceat(part, np.arange(0, len(part), STEP), axis=0))
-        half = np.concatenate(halves)
-        whole = np.maximum(half[:-1], half[1:]) if len(half) > 1 else half
-        return np.maximum(whole + self.bias, 0)
+        value = np.concatenate([z.max(axis=1) for z in self.responses(data)])
+        return np.maximum(np.maximum(value[:-1], value[1:]) + self.bias, 0)
 
     def score(self, text: str) -> float:
         pooled = self.pooled_chunks(byte_values(text))
@@ -78,7 +88,7 @@ class ByteNetwork:
 
 
 def fit(documents: list[np.ndarray], labels: list[int], prior: float = 0.5, steps: int = STEPS, seed: int = SEED) -> ByteNetwork:
-    """documents: (chunks, CHUNK + WIDTH - 1) byte values each. Adam on the logistic loss, weighted to the share `prior` of label 1."""
+    """documents: byte_values() of each. Adam on the logistic loss, weighted to the share `prior` of label 1."""
     net, rng = ByteNetwork(seed), np.random.default_rng(seed)
     y = np.array(labels, np.float64)
     share = np.array([p * len(y) / max(1, (y == v).sum()) for v, p in ((0, 1 - prior), (1, prior))])
@@ -102,33 +112,24 @@ def fit(documents: list[np.ndarray], labels: list[int], prior: float = 0.5, step
     return net
 
 
-def _add_gradient(net: ByteNetwork, chunks: np.ndarray, label: float, weight: float, grads: dict[str, np.ndarray]) -> None:
-    z = net.responses(chunks)
-    best = z.argmax(axis=1)  # (chunks, filters)
-    value = np.take_along_axis(z, best[:, None, :], axis=1)[:, 0, :] + net.bias
+def _add_gradient(net: ByteNetwork, data: np.ndarray, label: float, weight: float, grads: dict[str, np.ndarray]) -> None:
+    value, place = net.peaks(data)
+    later = value[1:] > value[:-1]
+    best = np.where(later, place[1:], place[:-1])  # (chunks, filters)
+    value = np.maximum(value[:-1], value[1:]) + net.bias
     pooled = np.maximum(value, 0)
     top = pooled.argmax(axis=0)
     features = np.concatenate((pooled.mean(axis=0), pooled.max(axis=0)))
     off = (net.probability(features) - label) * weight
     grads["head"] += off * features
     grads["offset"] += off
-    each = np.repeat(off * net.head[None, :FILTERS] / len(chunks), len(chunks), axis=0)
+    each = np.repeat(off * net.head[None, :FILTERS] / len(best), len(best), axis=0)
     each[top, np.arange(FILTERS)] += off * net.head[FILTERS:]
     each *= value > 0
     grads["bias"] += each.sum(axis=0)
-    which = np.arange(len(chunks))[:, None]
     filters = np.broadcast_to(np.arange(FILTERS), best.shape)
     for j in range(WIDTH):
-        np.add.at(grads["table"], (j, chunks[which, best + j], filters), each)
-
-
-def training_chunks(text: str, most: int = TRAIN_CHUNKS) -> list[int]:
-    """At most `most` chunks spread over the whole text, concatenated."""
-    data = byte_values(text)
-    length = CHUNK + WIDTH - 1
-    n = (len(data) - length) // STEP + 1
-    starts = np.arange(n) * STEP if n <= most else np.linspace(0, n - 1, most).astype(int) * STEP
-    return np.concatenate([data[s : s + length] for s in starts]).tolist()
+        np.add.at(grads["table"], (j, data[best + j], filters), each)
 
 
 def labelled_ids(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
@@ -148,12 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     prior = one.agg(F.avg("y")).first()[0]
     sample = sampled(one, per_label)
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id")  # at most 2 * per_label rows
-    chunks = per_text(picked, ["id", "y"], "t", [T.StructField("bytes", T.ArrayType(T.ShortType()))], lambda: lambda t: (training_chunks(t),))
-    rows = chunks.dropDuplicates(["id"]).orderBy("id").toPandas()
+    rows = picked.groupBy("id", "y").agg(F.min(F.coalesce("t", F.lit(""))).alias("t")).select("id", "y", F.encode("t", "utf-8").alias("raw")).orderBy("id").toPandas()
     kinds = sorted(set(rows["y"]))
     if len(kinds) < 2:
         return float(kinds[0]) if kinds else 0.5
-    return fit([np.asarray(b, np.int64).reshape(-1, CHUNK + WIDTH - 1) for b in rows["bytes"]], rows["y"].tolist(), prior)
+    return fit([padded(raw) for raw in rows["raw"]], rows["y"].tolist(), prior)
 
 
 def score_documents(docs: DataFrame, model: ByteNetwork | float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -565,13 +565,40 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert (held.predicted == held.quality).mean() > 0.9
 
 
-def test_classifier_chunks_cover_the_whole_text():
+def brute_score(net, text):
+    raw = [*text.encode(), *[256] * 516]
+    n_chunks = max(1, -(-(len(text.encode()) - 516) // 256) + 1)
+    pooled = []
+    for c in range(n_chunks):
+        chunk = (raw + [256] * 256)[c * 256 : c * 256 + 516]
+        best = [max(sum(float(net.table[j][chunk[i + j]][f]) for j in range(5)) for i in range(512)) for f in range(12)]
+        pooled.append([max(0.0, b + float(net.bias[f])) for f, b in enumerate(best)])
+    features = [sum(p[f] for p in pooled) / n_chunks for f in range(12)] + [max(p[f] for p in pooled) for f in range(12)]
+    return 1 / (1 + np.exp(-(sum(x * float(h) for x, h in zip(features, net.head, strict=True)) + float(net.offset[0]))))
+
+
+def test_classifier_scores_equal_brute_force(spark):
+    texts = ["", "short", "é" * 300, "x" * 516, "word " * 260, "".join(chr(97 + i * i % 26) for i in range(1900))]
     net = quality_classifier.ByteNetwork()
-    for n in (0, 3, 5, 511, 517, 5000, 40_000):
-        data = quality_classifier.byte_values("ab" * (n // 2))
-        z = np.maximum(net.responses(data) + net.bias, 0)
-        want = [z[s : s + 512].max(axis=0) for s in range(0, max(1, len(z) - 256), 256)]
-        assert np.allclose(net.pooled_chunks(data), want)
+    net.bias += 0.1
+    got = quality_classifier.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), net).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], [brute_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_classifier_pools_long_texts_in_slices():
+    net = quality_classifier.ByteNetwork()
+    data = quality_classifier.byte_values("".join(chr(97 + i * i % 26) for i in range(40_000)))
+    value, place = net.peaks(data)
+    response = lambda i, f: sum(net.table[j][data[i + j]][f] for j in range(5))
+    assert np.allclose(value[:, 3], [response(i, 3) for i in place[:, 3]], atol=1e-5)
+    assert np.allclose(net.pooled_chunks(data), np.maximum(np.maximum(value[1:], value[:-1]) + net.bias, 0))
+
+
+def test_classifier_is_the_same_where_labelled_ids_repeat(spark):
+    docs = [(i, f"text {i} " + ("good " if i % 2 else "bad ") * 20, "c") for i in range(12)] + [(3, "another text of this id", "c"), (4, None, "c")]
+    labels = spark.createDataFrame([(i, i % 2, "t", 1) for i in range(12)] * 2, "doc_id bigint, quality int, text string, y int")
+    nets = [quality_classifier.train(spark.createDataFrame(order, "doc_id bigint, text string, id string").repartition(n), labels) for n, order in ((1, docs), (3, docs[::-1]))]
+    assert all((getattr(nets[0], k) == getattr(nets[1], k)).all() for k in ("table", "bias", "head", "offset"))
 
 
 def test_classifier_on_odd_rows(odd, none, spark):
