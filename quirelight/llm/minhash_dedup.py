@@ -167,13 +167,18 @@ def signatures(rows: DataFrame, bands: int = BANDS, rows_per_band: int = ROWS) -
     return per_text(rows, ["row", "id"], "t", fields, make)
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, so that the plan is the same at every size."""
+    return side.hint("merge")
+
+
 def shared_buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(k, node, pop) of the buckets with more than one node. pop: sizes of all the node's buckets together. nodes: (node, bands)."""
     keyed = nodes.select("node", F.explode("bands").alias("k"))
     counted = scratch.keep(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = scratch.keep(keyed.join(counted, "k"))
+    shared = scratch.keep(keyed.join(merged(counted), "k"))
     popular = shared.groupBy("node").agg(F.sum("n").alias("pop"))
-    out = scratch.keep(shared.select("k", "node").join(popular, "node"))
+    out = scratch.keep(shared.select("k", "node").join(merged(popular), "node"))
     scratch.drop(counted, shared)
     return out
 
@@ -187,7 +192,7 @@ def _centre(nth: int) -> Column:
 def centre_pairs(shared: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct (a, b, low), a < b, of each bucket's members with its two centres; low: the centre is a."""
     centres = scratch.keep(shared.groupBy("k").agg(F.array_distinct(F.array(_centre(0), _centre(1))).alias("cs")))
-    met = shared.join(centres, "k").select("node", F.explode("cs").alias("c")).where("node <> c")
+    met = shared.join(merged(centres), "k").select("node", F.explode("cs").alias("c")).where("node <> c")
     pairs = met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"), (F.col("c") < F.col("node")).alias("low"))
     out = scratch.keep(pairs.groupBy("a", "b").agg(F.max("low").alias("low")))
     scratch.drop(centres)
@@ -196,10 +201,10 @@ def centre_pairs(shared: DataFrame, scratch: Scratch) -> DataFrame:
 
 def unsettled(shared: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of the nodes in buckets that hold more than one component. Buckets of two nodes are settled, since one is the other's centre."""
-    labelled = scratch.keep(shared.select("k", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    labelled = scratch.keep(shared.select("k", "node").join(merged(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
     mixed = scratch.keep(sizes.where("n > 2 and r1 <> r2").select("k"))
-    out = scratch.keep(labelled.join(mixed, "k", "left_semi").select("node", "root").distinct())
+    out = scratch.keep(labelled.join(merged(mixed), "k", "left_semi").select("node", "root").distinct())
     scratch.drop(labelled, mixed)
     return out
 
@@ -266,7 +271,7 @@ def sharing_pairs(prefixes: DataFrame, threshold: float, scratch: Scratch, block
     prefixes = scratch.keep(prefixes)
     groups = prefixes.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"))
     groups = scratch.keep(groups.where("r1 <> r2").select("u", F.ceil(F.col("n") / block).alias("blocks")))
-    held = prefixes.join(groups, "u").withColumn("own", F.pmod(F.xxhash64("node", "u"), F.col("blocks")))
+    held = prefixes.join(merged(groups), "u").withColumn("own", F.pmod(F.xxhash64("node", "u"), F.col("blocks")))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = [F.col("u"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
     # a cell (i, j) of different blocks compares across them; (i, i) within the block
@@ -318,7 +323,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     two = texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
     centre, member = F.when(F.col("low"), F.col("a")), F.when(F.col("low"), F.col("b"))
     sides = pairs.select(centre.otherwise(F.col("b")).alias("b"), member.otherwise(F.col("a")).alias("a"))
-    met = sides.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")  # the centre's text, which many pairs need, joins last
+    met = sides.join(merged(one), "a").join(merged(two), "b").select("a", "b", "ta", "tb")  # the centre's text, which many pairs need, joins last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last = Shingler(), {}
@@ -384,10 +389,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while not _is_settled(e):
         both = e.union(e.select("root", "node"))
         least = scratch.keep(both.groupBy("node").agg(F.min(F.least("node", "root")).alias("m")))
-        large = scratch.keep(contracted(both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root"))))
+        large = scratch.keep(contracted(both.join(merged(least), "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root"))))
         scratch.drop(e, least)
         least = scratch.keep(large.groupBy("node").agg(F.min("root").alias("m")))
-        small = large.join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).where("node <> root")
+        small = large.join(merged(least), "node").select(F.col("root").alias("node"), F.col("m").alias("root")).where("node <> root")
         e = scratch.keep(contracted(small.union(least.select("node", F.col("m").alias("root"))).distinct()))
         scratch.drop(large, least)
     return e
@@ -401,21 +406,21 @@ def row_classes(rows: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     shared = shared_buckets(nodes, scratch)
     pairs = centre_pairs(shared, scratch)
     texts = rows.select(F.col("row").alias("node"), F.coalesce("t", F.lit("")).alias("t"))
-    texts = scratch.keep(texts.join(shared.select("node").distinct(), "node", "left_semi"))
+    texts = scratch.keep(texts.join(merged(shared.select("node").distinct()), "node", "left_semi"))
     roots = components(verified(pairs, texts, threshold), scratch)
     left = unsettled(shared, roots, scratch)
     if not left.isEmpty():
         # every pair of these texts that reaches the threshold is found here, whatever the centres missed
-        left = scratch.keep(texts.join(left, "node"))
+        left = scratch.keep(texts.join(merged(left), "node"))
         more = sharing_pairs(rare_prefixes(left, unit_counts(left), threshold), threshold, scratch)
-        more = scratch.keep(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("low", F.lit(True)))
+        more = scratch.keep(more.join(merged(pairs.select("a", "b")), ["a", "b"], "left_anti").withColumn("low", F.lit(True)))
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(more, texts, threshold)), scratch)
     linked = roots.union(roots.select("root", "root").distinct())
-    whole = scratch.keep(linked.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("of_class")))
-    named = linked.join(whole, "root").select("node", "of_class")
-    classes = scratch.keep(nodes.join(named, "node", "left").select("h1", "h2", F.coalesce("of_class", "first").alias("first")))
+    whole = scratch.keep(linked.join(merged(nodes.select("node", "first")), "node").groupBy("root").agg(F.min("first").alias("of_class")))
+    named = linked.join(merged(whole), "root").select("node", "of_class")
+    classes = scratch.keep(nodes.join(merged(named), "node", "left").select("h1", "h2", F.coalesce("of_class", "first").alias("first")))
     scratch.drop(nodes, shared, pairs, texts, left, roots, whole)
-    out = signed.select("row", "id", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    out = signed.select("row", "id", "h1", "h2").join(merged(classes), ["h1", "h2"], "left")
     return out.select("row", "id", F.coalesce("first.id", "id").alias("class_id"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("is_first"))
 
 
@@ -437,4 +442,4 @@ def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = whole.select("row", F.col(f"doc.`{doc_id}`").alias("id"), F.col(f"doc.`{text}`").alias("t")).where("id is not null")
     others = scratch.keep(row_classes(rows, scratch, **options).where("not is_first").select("row"))
     scratch.drop_all_but(whole, others)
-    return whole.join(others, "row", "left_anti").select("doc.*")
+    return whole.join(merged(others), "row", "left_anti").select("doc.*")
