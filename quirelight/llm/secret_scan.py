@@ -1,10 +1,16 @@
 """Secret scan: fixed patterns, and zstandard novelty of strings in sensitive context.
 
-Three patterns give the base spans (assign, access, hex). Besides them, every long mixed string that
-follows a sensitive word is a candidate. Its novelty is what it adds to the compressed size of the
+Three patterns give the base spans (assign, access, hex). Besides them, every mixed run of letters, digits and +/_=- in sensitive context is a
+candidate. Its novelty is what it adds to the compressed size of the
 text around it, with a compressor primed by a dictionary of common identifiers: words, names and
-repeated strings add little, random strings add nearly their whole length and are reported as
-"novel". Candidates that touch a base span are not reported twice.
+strings like those around add little, random strings add nearly their whole length and are reported as
+"novel". Other copies of the candidate itself are taken out of the surroundings; each distinct string of a text is measured
+once, at its first place, and reported at every place in sensitive context. Runs are found once, from left to right, so that candidates never overlap and
+the work is linear in the text.
+
+Parameters of the method, all in code points but the last: a candidate has `shortest` or more; a sensitive word that begins before its end, and ends at most
+`reach` before its start, puts it into context (so a candidate further behind the word is not in its context); `around` on either side are its surroundings; from
+`novelty` marginal bytes per character on it is reported. Candidates that touch a base span are not reported twice.
 
 Spans count code points, end exclusive, over the whole text. Defined cases: a null or empty text has
 no spans; equal rows get equal rows; an empty table gives an empty result; only the id and the text
@@ -30,11 +36,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run of 18 or more from its first AKIA on
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(r"passw|passphrase|secret|token|api[ _-]?key|credential|private[ _-]?key|access[ _-]?key|bearer|auth", re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Code points after a sensitive word in which a candidate may begin; text on either side that counts as surroundings.
-REACH, AROUND = 48, 256
-#: Marginal compressed bytes per character from which a candidate counts as random.
-NOVELTY = 0.55
+_RUN = r"[A-Za-z0-9+/_=-]"
+SHORTEST, REACH, AROUND, NOVELTY = 16, 48, 256, 0.55
 
 # Identifiers and words that code and configuration files are full of.
 IDENTIFIERS = (
@@ -61,44 +64,59 @@ def in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 class Novelty:
     """Marginal compressed bytes under a compressor primed with identifiers."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS):
+    def __init__(self, identifiers: str = IDENTIFIERS, shortest: int = SHORTEST, reach: int = REACH, around: int = AROUND, novelty: float = NOVELTY):
         primer = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_dict_id=False)
+        self.candidate = re.compile(f"{_RUN}{{{shortest},}}")
+        self.reach, self.around, self.novelty = reach, around, novelty
 
     def marginal_bytes(self, before: str, candidate: str, after: str) -> int:
         size = lambda s: len(self.compressor.compress(s.encode("utf-8", "surrogatepass")))
         return size(before + after + candidate) - size(before + after)
 
+    def is_random(self, text: str, s: int, e: int) -> bool:
+        c, far = text[s:e], self.around + e - s
+        before = text[max(0, s - far) : s].replace(c, "")[-self.around :]
+        after = text[e : e + far].replace(c, "")[: self.around]
+        return self.marginal_bytes(before, c, after) >= self.novelty * len(c)
+
     def spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        found: dict[int, int] = {}
-        for word in _CONTEXT.finditer(text):
-            for m in _CANDIDATE.finditer(text, word.start()):
-                s, e = m.span()
-                if s > word.end() + REACH:
-                    break
-                c = m.group()
-                if s in found or not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)) or any(s < y and x < e for x, y, _ in base):
-                    continue
-                if self.marginal_bytes(text[max(0, s - AROUND) : s], c, text[e : e + AROUND]) >= NOVELTY * len(c):
-                    found[s] = e
-        return [(s, e, "novel") for s, e in found.items()]
+        """base: in order of their starts."""
+        words = [m.span() for m in _CONTEXT.finditer(text)]
+        found, judged = [], {}
+        w = b = 0
+        word_end = base_end = -1 << 62  # of the words and base spans that begin before the candidate's end
+        for m in self.candidate.finditer(text) if words else ():
+            s, e = m.span()
+            while w < len(words) and words[w][0] < e:
+                word_end, w = max(word_end, words[w][1]), w + 1
+            while b < len(base) and base[b][0] < e:
+                base_end, b = max(base_end, base[b][1]), b + 1
+            c = m.group()
+            if word_end + self.reach < s or base_end > s or not (re.search("[0-9]", c) and re.search("[A-Za-z]", c)):
+                continue
+            if c not in judged:
+                judged[c] = self.is_random(text, s, e)
+            if judged[c]:
+                found.append((s, e, "novel"))
+        return found
 
 
 def all_spans(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     base = base_spans(text)
-    return base, in_order(base + novelty.spans(text, base)) if _CONTEXT.search(text) else base
+    return base, in_order(base + novelty.spans(text, base))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind in spans)
 
 
-def scan_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, base and all spans (arrays of start, end, kind), and the secrets' strings."""
+def scan_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Per row: the id, base and all spans (arrays of start, end, kind), and the secrets' strings. options: the parameters of Novelty."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 
     def make() -> Callable[[str], tuple]:
-        novelty = Novelty()
+        novelty = Novelty(**options)
 
         def fn(t: str) -> tuple:
             base, spans = all_spans(t, novelty)
@@ -128,12 +146,12 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def redacted_column(text: str = "text") -> Column:
+def redacted_column(text: str = "text", **options) -> Column:
     """The text without its secrets; null stays null."""
 
     @F.pandas_udf(T.StringType())
     def redacted(texts: pd.Series) -> pd.Series:
-        novelty = Novelty()
+        novelty = Novelty(**options)
         return texts.map(lambda t: t if t is None else redact(t, all_spans(t, novelty)[1]), na_action="ignore")
 
     return redacted(F.col(text))
