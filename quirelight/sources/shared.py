@@ -45,12 +45,13 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for _, path in [k for k in self.kept if any(k[0] is t for t in tables)]:
-            self._remove(path)
+            self.remove(path)
         self.kept = [k for k in self.kept if not any(k[0] is t for t in tables)]
 
     def drop_all_but(self, *tables: DataFrame) -> None:
         self.drop(*[t for t, _ in self.kept if not any(t is x for x in tables)])
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
+        """Delete a folder that a job wrote."""
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
