@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions and on odd rows."""
 
 import base64
+import gzip
 import hashlib
 import re
 import time
@@ -607,10 +608,43 @@ def test_archives_round_trip(spark, sf_dir):
 
 def test_both_arc_versions_are_read(spark, tmp_path):
     df = spark.range(10).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat('x', int(id)) as html").coalesce(1)
-    warc.write_arc(df, str(tmp_path / "arc"), records_per_file=3)
+    warc.write_arc(df, str(tmp_path / "arc"), file_bytes=400)
     got = warc.read_arc(spark, str(tmp_path / "arc")).orderBy("page_id").collect()
     assert [(r.page_id, r.url, r.payload) for r in got] == [(i, f"http://h/{i}", b"x" * i) for i in range(10)]
-    assert len(list((tmp_path / "arc").glob("*.gz"))) == 4
+    files = list((tmp_path / "arc").glob("*.txt"))
+    heads = {gzip.decompress(f.read_bytes()).split(b"\n")[1][:1] for f in files}
+    assert len(files) > 2 and heads == {b"1", b"2"} and all(f.stat().st_size < 700 for f in files)
+
+
+def test_archives_are_whole_gzip_files_of_one_member_per_record(spark, tmp_path):
+    pages = [(1, "http://x/a b\nc", "same"), (2, "", "same"), (2, "", "same"), (None, None, "same"), (3, "u", "x" * (17 << 20)), (4, "u", None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_arc(df, str(tmp_path / "arc"))
+    scratch = Scratch(spark)
+    heads = warc.read_arc(spark, str(tmp_path / "arc"), payloads=False)
+    warc.convert(spark, str(tmp_path / "arc"), warc.revisits_by_file(heads, 0, scratch), str(tmp_path / "warc"))
+    got = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert len({r.record_id for r in got}) == len(pages)
+    assert sorted((r.page_id or 0, r.url, r.record_type, r.refers_to) for r in got if r.payload_bytes == 4) == [(0, "unknown:", "response", None), (1, "http://x/a b%0Ac", "response", None), (2, "unknown:", "revisit", 1), (2, "unknown:", "revisit", 1)]
+    by_id = {r.record_id: r for r in got}
+    for folder, first in (("arc", b"filedesc:"), ("warc", b"WARC/1.1\r\nWARC-Type: warcinfo")):
+        for file in (tmp_path / folder).glob("*.txt"):
+            content = file.read_bytes()
+            members = list(warc.members_of(content))
+            assert gzip.decompress(content) == b"".join(members) and members[0].startswith(first)
+            if folder == "warc":
+                assert all(len(list(warc.warc_records([m]))) == 1 for m in members)
+                refers = [f["warc-refers-to"] for f, _ in warc.warc_records(members) if f["warc-type"] == "revisit"]
+                assert all(by_id[x].page_id == 1 for x in refers)
+
+
+def test_archives_shuffle_no_payload_by_digest(spark, tmp_path):
+    df = spark.range(40).selectExpr("id as page_id", "'u' as url", "repeat('x', int(id % 3)) as html")
+    warc.write_arc(df, str(tmp_path / "arc"))
+    heads = warc.read_arc(spark, str(tmp_path / "arc"), payloads=False).drop("payload")
+    listed = warc.revisits_by_file(heads, 0, Scratch(spark))
+    assert listed.selectExpr("sum(size(revisits))").first()[0] == 37
+    assert rows(warc.archive_pages(df, min_revisit_bytes=1).groupBy("record_type", "payload_bytes").count()) == sorted([("response", 0, 14), ("response", 1, 1), ("response", 2, 1), ("revisit", 1, 12), ("revisit", 2, 12)], key=repr)
 
 
 # classifier
