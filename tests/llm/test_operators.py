@@ -248,21 +248,34 @@ def brute_hits(text, items, window=10):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-def test_decontamination_equals_brute_force_in_any_blocks(spark):
-    items = [(1, "Alpha beta, gamma"), (10, " ".join(f"q{i % 7}" for i in range(25))), (2, None), (3, "!!"), (None, "alpha"), (1, "Alpha beta, gamma"), (4, "ÄÖ ß")]
-    docs = [(1, "x ALPHA beta gamma alpha-beta gamma"), (2, " ".join(f"q{i % 7}" for i in range(40))), (3, None), (4, ""), (5, "äö ÄÖ ß"), (5, "äö ÄÖ ß"), (6, "q0 q1 q2 q3 q4 q5 q6 q0 q1")]
+def test_decontamination_equals_brute_force(spark):
+    items = [(1, "Alpha beta, gamma"), (10, " ".join(f"q{i % 7}" for i in range(25))), (2, None), (3, "!!"), (None, "alpha"), (1, "Alpha beta, gamma"), (4, "ÄÖ ß"), (5, "single"), (6, "q0 q1"), (7, " ".join(f"r{i}" for i in range(12)))]
+    docs = [(1, "x ALPHA beta gamma alpha-beta gamma"), (2, " ".join(f"q{i % 7}" for i in range(40))), (3, None), (4, ""), (5, "äö ÄÖ ß"), (5, "äö ÄÖ ß"), (6, "q0 q1 q2 q3 q4 q5 q6 q0 q1"), (None, "a Single one"), (7, "q1 q0 q1"), (8, " ".join(f"r{i}" for i in range(11))), (9, " ".join(f"r{i}" for i in range(1, 10)))]
     b = spark.createDataFrame(items, "item_id bigint, text string")
-    d = spark.createDataFrame([(*r, "extra") for r in docs], "doc_id bigint, text string, n_hit string")
+    d = spark.createDataFrame([(*r, "extra") for r in docs], "doc_id bigint, text string, row string")
     known = [(i, t) for i, t in set(items) if i is not None and t]
     want = sorted(((i, *brute_hits(t or "", known)) for i, t in docs), key=repr)
-    for size in (1 << 20, 20):
-        assert rows(decontamination.mark_documents(d, b, block_bytes=size), "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == want
-        clean = decontamination.filter_documents(d, b, block_bytes=size)
-        assert clean.columns == d.columns and rows(clean, "doc_id") == sorted(((r[0],) for r in want if not r[2]), key=repr)
+    assert rows(decontamination.mark_documents(d, b), "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == want
+    clean = decontamination.filter_documents(d, b)
+    assert clean.columns == d.columns and rows(clean, "doc_id") == sorted(((r[0],) for r in want if not r[2]), key=repr)
     assert decontamination.mark_documents(d, b.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.mark_documents(d.limit(0), b).count() == 0
 
 
+def test_decontamination_finds_all_where_its_filter_lets_all_through(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(decontamination.Bloom, "has", lambda self, h: np.ones(len(h), bool))
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = decontamination.mark_documents(docs.limit(40), items).where("n_hit > 0").select("doc_id", "n_hit", "items")
+    monkeypatch.undo()
+    assert rows(got) == rows(decontamination.mark_documents(docs.limit(40), items).where("n_hit > 0").select("doc_id", "n_hit", "items"))
+
+
+def test_decontamination_broadcasts_no_index(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = decontamination.mark_documents(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 # secrets
 
 
