@@ -10,13 +10,14 @@ tokens) times, and the rest from a permutation of the source's blocks, within th
 ends in from a permutation of its documents, as long as the tokens fit.
 
 Blocks hold about block_docs documents of one source, chosen by hash, so a source with a third of
-all rows is many blocks; only a block's documents and a source's block totals are ever ordered together.
+all rows is many blocks. Sums over a source's blocks go in two steps, over 4,096 ranges of blocks and over the blocks of a range, so that
+only a block's documents, a range's blocks and a source's ranges are ever ordered together.
 The bisection runs as aggregates over the per-source table, five halvings to a job; no source list
 comes to the driver.
 
 Defined cases: a null source is a source of its own; null or wordless texts have no tokens and are used 0
 times, as are all documents of a source without tokens; rows that repeat a doc_id are each used by
-themselves; ties in the permutation are broken by id; an empty table gives an empty result. Only the id,
+themselves; ties in the permutation are broken by id, tokens and a hash of the text; an empty table gives an empty result. Only the id,
 the text and the source are read.
 """
 
@@ -105,7 +106,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     budget_x: the mixture's tokens as a multiple of the corpus' own.
     """
     key = order_key(doc_id)
-    d = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("src"), token_count(text).alias("n_tokens"), key.alias("key"))
+    d = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("src"), token_count(text).alias("n_tokens"), key.alias("key"), F.xxhash64(text).alias("th"))
     d = checkpointed(d)
     per = checkpointed(d.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     live = per.where("tokens > 0")
@@ -117,14 +118,18 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     budget = F.floor(F.col("source_weight") * F.lit(int(total * budget_x))).cast("long")
     plan = plan.withColumn("budget", budget)
     plan = plan.select("src", "source_weight", "n_blocks", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("passes"), F.when(F.col("tokens") > 0, F.pmod("budget", "tokens")).otherwise(0).cast("long").alias("rest"))
-    x = d.join(plan, d["src"].eqNullSafe(plan["src"])).select(d["src"], "id", "n_tokens", "key", "source_weight", "passes", "rest", F.pmod(_number(F.col("key"), 1), F.col("n_blocks")).alias("block"))
+    x = d.join(plan, d["src"].eqNullSafe(plan["src"])).select(d["src"], "id", "n_tokens", "key", "th", "source_weight", "passes", "rest", F.pmod(_number(F.col("key"), 1), F.col("n_blocks")).alias("block"))
     x = x.withColumn("block_key", F.md5(F.concat(F.lit(SEED + ":b"), F.col("block").cast("string"))))
 
-    blocks = x.groupBy("src", "block", "block_key").agg(F.sum("n_tokens").alias("block_tokens"))
-    in_source = Window.partitionBy("src").orderBy("block_key", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("src").alias("bs"), F.col("block").alias("bb"), F.coalesce(F.sum("block_tokens").over(in_source), F.lit(0)).alias("before"))
+    blocks = checkpointed(x.groupBy("src", "block", "block_key").agg(F.sum("n_tokens").alias("block_tokens")).withColumn("range", F.substring("block_key", 1, 3)))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy("src", "range").agg(F.sum("block_tokens").alias("range_tokens"))
+    ranges = ranges.select(F.col("src").alias("rs"), F.col("range").alias("rr"), F.coalesce(F.sum("range_tokens").over(before("src").orderBy("range")), F.lit(0)).alias("before_range"))
+    in_range = F.coalesce(F.sum("block_tokens").over(before("src", "range").orderBy("block_key", "block")), F.lit(0))
+    blocks = blocks.withColumn("in_range", in_range).join(ranges, blocks["src"].eqNullSafe(ranges["rs"]) & (blocks["range"] == ranges["rr"]))
+    blocks = blocks.select(F.col("src").alias("bs"), F.col("block").alias("bb"), (F.col("before_range") + F.col("in_range")).alias("before"))
     y = x.join(blocks, x["src"].eqNullSafe(blocks["bs"]) & (x["block"] == blocks["bb"]))
-    in_block = Window.partitionBy("src", "block").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
+    in_block = Window.partitionBy("src", "block").orderBy("key", "id", "n_tokens", "th").rowsBetween(Window.unboundedPreceding, 0)
     fits = F.col("before") + F.sum("n_tokens").over(in_block) <= F.col("rest")
     copies = F.when(F.col("n_tokens") > 0, F.col("passes") + F.when(fits, 1).otherwise(0)).otherwise(0).cast("long")
     return y.select(F.col("id").alias(doc_id), F.col("src").alias(source), "n_tokens", "source_weight", "block", copies.alias("copies"))

@@ -399,6 +399,22 @@ def test_mixing_meets_its_budgets(spark, sf_dir, odd, none):
     assert source_mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_orders_blocks_and_ties_alike_however_rows_lie(spark):
+    texts = [(i % 90, " ".join(["w"] * (1 + i % 13)), "big" if i % 3 else "small") for i in range(300)] + [(5, "w w", None), (5, None, "big")]
+    got = [rows(source_mixing.mix_sources(spark.createDataFrame(t, "doc_id bigint, text string, source string").repartition(n), block_docs=4)) for n, t in ((1, texts), (4, texts[::-1]))]
+    assert got[0] == got[1]
+    # of each source, blocks are used up in the order of their keys: a block with a document left out is the last with one used
+    md5 = lambda b: hashlib.md5(f"mix-1:b{b}".encode()).hexdigest()  # noqa: E731, S324
+    for source in ("big", "small"):
+        own = [r for r in got[0] if r[1] == source and r[2]]
+        low = min(r[5] for r in own)
+        blocks = sorted({r[4] for r in own}, key=md5)
+        used = [[r[5] > low for r in own if r[4] == b] for b in blocks]
+        if any(map(any, used)):
+            last = max(i for i, u in enumerate(used) if any(u))
+            assert len(blocks) > 5 and all(all(u) for u in used[:last])
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(name, spark, sf_dir):
     con = duckdb.connect()
