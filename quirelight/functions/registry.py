@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +23,13 @@ def call_function(name: str, *, count_only: bool = False, **args) -> DataFrame:
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    """text_lines(text): rows (pos, line), for LATERAL joins in SQL."""
-
-    @F.udtf(returnType="pos int, line string")
-    class TextLines:
-        def eval(self, text: str) -> Iterator[tuple[int, str]]:
-            for i, line in enumerate(x for x in (text or "").split("\n") if x.strip()):
-                yield i, line
-
-    spark.udtf.register("text_lines", TextLines)
+    """For LATERAL joins in SQL: text_lines(text): rows (pos, line); text_paragraphs(text): rows (pos, para), as structure.paragraphs() gives them. Both are SQL alone."""
+    blank = "regexp_replace(x, '^[\\\\s]+|[\\\\s]+$', '')"
+    some = lambda a: f"filter(transform({a}, x -> {blank}), x -> x <> '')"
+    trimmed = blank.replace("(x,", "(text,")
+    blocks, lines = some(f"split({trimmed}, '\\\\n[ \\\\t]*\\\\n\\\\s*')"), some(f"split({trimmed}, '\\\\n')")
+    pieces = some(f"regexp_extract_all({trimmed}, '(?s).{{249,499}}[.!?](?=\\\\s|$)|.{{1,500}}', 0)")
+    paras = f"CASE WHEN size({blocks}) > 1 THEN {blocks} WHEN size({lines}) > 1 THEN {lines} WHEN length({trimmed}) >= 600 THEN {pieces} ELSE {some(f'array({trimmed})')} END"
+    kept = "filter(split(text, '\\\\n'), x -> trim(x) <> '')"
+    for name, column, array in (("text_lines", "line", kept), ("text_paragraphs", "para", paras)):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS TABLE (pos INT, {column} STRING) RETURN SELECT * FROM posexplode({array})")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import bound
 from .udfs import stem_word, stemmed
 
 
@@ -35,7 +36,11 @@ def condition(toks: Column, query: str, mode: str = "websearch") -> Column:
         raise ValueError(f"unknown mode {mode!r}")
     if mode != "websearch":
         words = _words(query)
-        return F.lit(False) if not words else _phrase(toks, words) if mode == "phrase" else reduce(Column.__and__, [_phrase(toks, [w]) for w in words])
+        return F.lit(False) if not words else bound(toks, lambda t: _phrase(t, words) if mode == "phrase" else reduce(Column.__and__, [_phrase(t, [w]) for w in words]))
+    return bound(toks, lambda t: _websearch(t, query))
+
+
+def _websearch(toks: Column, query: str) -> Column:
     wanted: list[Column] = []
     either = False
     for minus, quoted, bare in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):

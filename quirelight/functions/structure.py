@@ -9,19 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import fold, trim_all
+from .text import SPACE, bound, clean_text, fold, trim_all
 
-_BOOK = r"((?:[1-3]\s*)?\p{L}+(?:\s\p{L}+)*)"
-_TO = r"(?:tot\s+en\s+met|tot|t/m|[-–]|m)"
-#: Reference patterns in the order in which they are tried: (pattern, whole chapter).
+# The forms of a reference, in the order in which they are tried, after white space is collapsed. Groups: book, chapter, first verse, last verse.
+# The fifth is compact: its book is an alias without blanks. The last is a whole chapter.
 REF_PATTERNS = [
-    (rf"(?i)^{_BOOK}\s+(\d+)\s+(?:vers|vs\.?|v\.?)\s*(\d+)(?:\s*{_TO}\s*(\d+))?$", False),
-    (rf"(?i)^{_BOOK}\s+(\d+)\s+(\d+)\s*(?:tot\s+en\s+met|tot|t/m|m)\s*(\d+)$", False),
-    (rf"(?i)^{_BOOK}\s+(\d+)\s*[:.,]\s*(\d+)(?:\s*[-–]\s*(\d+))?$", False),
-    (rf"(?i)^{_BOOK}\s+(\d+)\s+(\d+)()$", False),
-    (r"(?i)^([1-3]?\p{L}+)(\d+):(\d+)(?:[-–](\d+))?$", False),
-    (rf"(?i)^{_BOOK}\s+(\d+)()()$", True),
+    r"(?iu)^(.+?)\s+(\d+)\s+(?:vers|vs\.?|v\.?)\s*(\d+)(?:\s*(?:tot(?:\s+en\s+met)?|[-–]|t/m)\s*(\d+))?$",
+    r"(?iu)^(.+?)\s+(\d+)\s+(\d+)\s+(?:tot(?:\s+en\s+met)?|t/m)\s+(\d+)$",
+    r"(?iu)^(.+?)\s+(\d+)\s*[:.,]\s*(\d+)(?:\s*[-–]\s*(\d+))?$",
+    r"(?iu)^(.+?)\s+(\d+)\s+(\d+)$",
+    r"(?iu)^(\d?\s*[a-zA-ZëüïéàÀ]+)\.?\s*(\d+)\s*[:.,]\s*(\d+)(?:\s*[-–]\s*(\d+))?$",
+    r"(?iu)^(.+?)\s+(\d+)$",
 ]
+_COMPACT, _CHAPTER, _NO_LAST = 4, 5, (3, 5)
 
 
 def load_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -30,7 +30,7 @@ def load_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def alias_keys(aliases: DataFrame) -> DataFrame:
-    """(key, tier, name): the best name of each key. Tier 1 canonical names, 2 aliases without blanks, 3 aliases, 4 prefixes of two characters or more."""
+    """(key, tier, name, own): the best name of each key, and that of the aliases alone. Tier 1 canonical names, 2 aliases without blanks, 3 aliases, 4 prefixes of two characters or more."""
     low = aliases.select("ord", "name", F.lower("alias").alias("a"))
     tiers = (
         low.select(F.lower("name").alias("key"), F.lit(1).alias("tier"), "ord", "name")
@@ -38,15 +38,22 @@ def alias_keys(aliases: DataFrame) -> DataFrame:
         .union(low.select("a", F.lit(3), "ord", "name"))
         .union(low.where(F.length("a") >= 2).select(F.explode(F.transform(F.sequence(F.lit(2), F.length("a")), lambda n: F.substring("a", F.lit(1), n))), F.lit(4), "ord", "name"))
     )
-    best = tiers.groupBy("key").agg(F.min(F.struct("tier", "ord", "name")).alias("b"))
-    return best.select("key", F.col("b.tier").alias("tier"), F.col("b.name").alias("name"))
+    found = F.struct("tier", "ord", "name")
+    best = tiers.groupBy("key").agg(F.min(found).alias("b"), F.min(F.when(F.col("tier").isin(2, 3), found)).alias("x"))
+    return best.select("key", F.col("b.tier").alias("tier"), F.col("b.name").alias("name"), F.col("x.name").alias("own"))
+
+
+def _named(keys: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
+    """(key, exact, name) of the distinct keys that resolve. keys: (key, exact); exact ones must be an alias, not a name or the beginning of one."""
+    wanted = F.lower(trim_all(F.col(key)))
+    ids = keys.distinct().select(key, "exact", F.explode(F.array_distinct(F.array(wanted, F.regexp_replace(wanted, SPACE + "+", "")))).alias("__key"))
+    found = ids.join(alias_keys(aliases).withColumnRenamed("key", "__key"), "__key").withColumn("name", F.when(F.col("exact"), F.col("own")).otherwise(F.col("name"))).where("name is not null")
+    return found.groupBy(key, "exact").agg(F.min_by("name", F.struct("tier", "name")).alias("name"))
 
 
 def resolve_alias(df: DataFrame, key: str, aliases: DataFrame, out: str = "name") -> DataFrame:
     """df with the canonical name of its key, or null. One equi-join: prefixes are rows of the alias table."""
-    wanted = F.lower(trim_all(F.col(key)))
-    ids = df.select(key).distinct().select(key, F.explode(F.array_distinct(F.array(wanted, F.regexp_replace(wanted, r"\s+", "")))).alias("__key"))
-    found = ids.join(alias_keys(aliases).withColumnRenamed("key", "__key"), "__key").groupBy(F.col(key).alias("__k")).agg(F.min_by("name", F.struct("tier", "name")).alias(out))
+    found = _named(df.select(key, F.lit(False).alias("exact")), key, aliases).select(F.col(key).alias("__k"), F.col("name").alias(out))
     return df.join(found, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
 
 
@@ -55,23 +62,24 @@ def parse_refs(df: DataFrame, text: str, aliases: DataFrame, out: str = "ref") -
 
     A pattern whose book does not resolve falls through to the next.
     """
-    t = trim_all(F.col(text))
-    part = lambda p, i: F.regexp_extract(t, p, i)
+    flat = trim_all(F.regexp_replace(F.col(text), SPACE + "+", " "))
+    texts = df.select(text).distinct().select(text, flat.alias("__flat"))
+    part = lambda p, i: F.regexp_extract("__flat", p, i)
     cands = []
-    for i, (p, whole) in enumerate(REF_PATTERNS):
-        start = F.lit("1") if whole else part(p, 3)
-        end = F.lit("999") if whole else F.coalesce(F.nullif(part(p, 4), F.lit("")), part(p, 3))
+    for i, p in enumerate(REF_PATTERNS):
+        start = F.lit("1") if i == _CHAPTER else part(p, 3)
+        end = F.lit("999") if i == _CHAPTER else start if i in _NO_LAST else F.coalesce(F.nullif(part(p, 4), F.lit("")), start)
         ints = [x.try_cast("int").alias(n) for x, n in ((part(p, 2), "chapter"), (start, "start"), (end, "end"))]
-        cands.append(F.when(t.rlike(p), F.struct(F.lit(i).alias("n"), part(p, 1).alias("raw"), *ints)))
-    texts = df.select(text).distinct().select(text, F.explode(F.filter(F.array(*cands), lambda c: c.isNotNull())).alias("c"))
-    named = resolve_alias(texts.select(text, "c.*"), "raw", aliases, "book").where(F.col("book").isNotNull())
+        cands.append(F.when(F.col("__flat").rlike(p), F.struct(F.lit(i).alias("n"), part(p, 1).alias("raw"), *ints)))
+    found = texts.select(text, F.explode(F.filter(F.array(*cands), lambda c: c.isNotNull())).alias("c")).select(text, "c.*", (F.col("c.n") == _COMPACT).alias("exact"))
+    named = found.join(_named(found.select("raw", "exact"), "raw", aliases).withColumnRenamed("name", "book"), ["raw", "exact"])
     best = named.groupBy(F.col(text).alias("__t")).agg(F.min_by(F.struct("book", "chapter", "start", "end"), "n").alias(out))
     return df.join(best, F.col(text).eqNullSafe(F.col("__t")), "left").drop("__t")
 
 
 def complete(prefixes: DataFrame, prefix: str, names: DataFrame, aliases: DataFrame, n: int = 7) -> DataFrame:
     """(prefix, value, place): names, then aliases' names, that begin with the prefix; none once it looks like a whole reference. names: (name, ord)."""
-    typed = prefixes.select(prefix).distinct().where(~F.col(prefix).rlike(r"\d+\s*[:.,]\s*\d+\s*$") & (F.length(F.trim(prefix)) > 0))
+    typed = prefixes.select(prefix).distinct().where(~F.col(prefix).rlike(r"[0-9]+\s*[:.,]\s*[0-9]+|(?i:\s+[0-9]+\s+(?:vers|v)\s)") & (F.length(F.trim(prefix)) > 0))
     keys = names.select("name", "ord", F.lower("name").alias("k"), F.lit(0).alias("kind")).union(aliases.select("name", "ord", F.lower("alias"), F.lit(1)))
     grams = keys.select("name", "ord", "kind", F.explode(F.transform(F.sequence(F.lit(1), F.length("k")), lambda i: F.substring("k", F.lit(1), i))).alias("__k"))
     hits = typed.join(grams, F.lower(F.trim(prefix)) == F.col("__k")).groupBy(prefix, "name").agg(F.min(F.struct("kind", "ord")).alias("o"))
@@ -136,13 +144,24 @@ def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def merge_dropcaps(paras: Column) -> Column:
     """A paragraph of one to three letters joined to a following one that begins in lower case."""
+    lone = lambda x: x.rlike(r"^\p{L}{1,3}$")
+    small = lambda x: x.rlike(r"^\p{Ll}")
+
+    def marked(a: Column) -> Column:
+        return F.transform(a, lambda x, i: F.struct(x.alias("x"), F.coalesce((i > 0) & lone(F.get(a, i - 1)) & small(x), F.lit(False)).alias("joins"), i.alias("i")))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(last.rlike(r"^\p{L}{1,3}$") & x.rlike(r"^\p{Ll}"), F.lit(False))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, x)))).otherwise(F.concat(acc, F.array(x)))
+    def step(acc: Column, m: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.when(lone(last), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, m["x"])))).otherwise(F.concat(acc, F.array(m["x"])))
 
-    return F.aggregate(paras, F.array().cast("array<string>"), step)
+    # only runs of such short paragraphs are folded, whose last one may be long; everything else is copied once
+    def merged(ms: Column) -> Column:
+        starts = F.filter(ms, lambda m: ~m["joins"])
+        stop = lambda k: F.coalesce(F.get(starts, k + 1)["i"], F.size(ms))
+        run = lambda m, k: F.aggregate(F.slice(ms, m["i"] + 2, stop(k) - m["i"] - 1), F.array(m["x"]), step)
+        return F.flatten(F.transform(starts, lambda m, k: F.when(stop(k) == m["i"] + 1, F.array(m["x"])).otherwise(run(m, k))))
+
+    return bound(bound(paras, marked), merged)
 
 
 def numbered_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -159,41 +178,68 @@ def extract_range(text: Column, s: Column, e: Column, least: int = 40) -> Column
     Headings: "Vs. a", "Vs. a-b" or "n." at a line's start. If less than `least` characters remain, the whole text.
     """
     heading = r"^\s*(?:[Vv]s\.\s*(\d+)(?:\s*[-–]\s*(\d+))?|(\d+)\.)"
-    start = F.struct(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))
-
-    def step(a: Column, line: Column) -> Column:
-        is_head = line.rlike(heading)
-        g = lambda i: F.nullif(F.regexp_extract(line, heading, i), F.lit("")).try_cast("int")
-        lo = F.when(is_head, F.coalesce(g(1), g(3))).otherwise(a["lo"])
-        hi = F.when(is_head, F.coalesce(g(2), g(1), g(3))).otherwise(a["hi"])
-        over = a["over"] | F.coalesce(is_head & (lo > e), F.lit(False))
-        keep = ~over & (lo.isNull() | ((lo >= s) & (hi <= e)))
-        return F.struct(lo.alias("lo"), hi.alias("hi"), over.alias("over"), F.when(keep, F.concat(a["kept"], F.array(line))).otherwise(a["kept"]).alias("kept"))
-
-    cut = trim_all(F.array_join(F.aggregate(F.split(text, "\n"), start, step)["kept"], "\n"))
-    return F.when(F.length(cut) >= least, cut).otherwise(text)
-
-
-def split_sections(text: Column, title_word: str) -> Column:
-    """struct(title, quote, body): a first line with the title word and up to three lines in capitals after it; the "Tekst:" block; the rest."""
-    caps = lambda c: (c == F.upper(c)) & (c != F.lower(c))
-    lines = F.split(trim_all(text), "\n")
-    has = F.contains(F.lower(F.get(lines, F.lit(0))), F.lit(title_word.lower()))
-    n = F.when(has, F.lit(1))
-    for k in (1, 2, 3):
-        n = F.when((n == k) & F.coalesce(caps(F.get(lines, F.lit(k))), F.lit(False)), k + 1).otherwise(n)
-    n = F.coalesce(n, F.lit(0))
-    rest = F.array_join(F.slice(lines, n + 1, F.greatest(F.size(lines) - n, F.lit(0))), "\n")
-    block = r"(?s)(?:^|\n)Tekst:\s*(.*?)(?:\n\s*\n|\z)"
-    quote = F.regexp_extract(rest, block, 1)
-    return F.struct(F.array_join(F.slice(lines, F.lit(1), n), " ").alias("title"), trim_all(quote).alias("quote"), trim_all(F.regexp_replace(rest, block, "\n")).alias("body"))
+    g = lambda line, i: F.nullif(F.regexp_extract(line, heading, i), F.lit("")).try_cast("int")
+
+    # sections: where each heading stands, and its verses; -1 for what stands before the first
+    def head(line: Column, at: Column) -> Column:
+        lo = F.coalesce(g(line, 1), g(line, 3))
+        return F.when(line.rlike(heading), F.struct(at.alias("at"), lo.alias("lo"), F.coalesce(g(line, 2), lo).alias("hi")))
+
+    def cut(lines: Column) -> Column:
+        heads = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))), F.filter(F.transform(lines, head), lambda h: h.isNotNull()))
+        return bound(heads, lambda h: kept(lines, h))
+
+    def kept(lines: Column, heads: Column) -> Column:
+        stop = F.coalesce(F.array_min(F.filter(F.transform(heads, lambda h, i: F.when(h["lo"] > e, i)), lambda i: i.isNotNull())), F.size(heads))
+        ends = lambda i: F.coalesce(F.get(heads, i + 1)["at"], F.size(lines))
+        section = lambda h, i: F.when((i < stop) & (h["lo"].isNull() | ((h["lo"] >= s) & (h["hi"] <= e))), F.slice(lines, h["at"] + 1, ends(i) - h["at"]))
+        return F.array_join(F.flatten(F.filter(F.transform(heads, section), lambda x: x.isNotNull())), "\n")
+
+    out = trim_all(bound(F.split(text, "\n"), cut))
+    return bound(F.struct(text.alias("whole"), out.alias("cut")), lambda c: F.when(F.length(c["cut"]) >= least, c["cut"]).otherwise(c["whole"]))
+
+
+# Title words at the beginning of a text, what ends its quoted block, and the letters and delimiters of markers.
+TITLE = r"\A[^\S\n]*(?:[0-9]+\.\s+)?(?i:LEERREDE|PREDIKATIE|PREDICATIE|PREEK|VERKLARING|OVERDENKING)\b[^\n]*"
+CAPITAL_LINES = r"(?:\n[^a-z\n]*[A-Z][^a-z\n]*(?=\n|\z)){0,3}"
+QUOTE_WORD = "tekst:"
+QUESTION = r"^[0-9]+\.\s+(?:Vraag|Antwoord)\b"
+MARKERS, DELIMITERS = "abcdefghijklmnopqrstuvwxyz", ",;:."
+
+
+def split_sections(text: Column) -> Column:
+    """struct(title, quote, body) of a cleaned text.
+
+    The title is a first line with a title word at its start, and up to three lines after it whose Latin letters are capitals; the quote are the lines after a line
+    "Tekst:", up to a blank line or a numbered question; the body is the rest. Without a title or quote, these are null.
+    """
+    blank = lambda x: trim_all(x) == ""
+
+    def parts(t: Column) -> Column:
+        title = F.regexp_extract(t, TITLE + CAPITAL_LINES, 0)
+        rest = F.regexp_replace(F.substring(t, F.length(title) + 1, F.length(t)), rf"\A(?:{SPACE}*\n)?", "")
+        return F.struct(F.nullif(trim_all(F.replace(title, F.lit("\n"), F.lit(" "))), F.lit("")).alias("title"), F.regexp_replace(rest, r"\A(?:[^\S\n]*\n)+", "").alias("rest"))
+
+    def quoted(p: Column) -> Column:
+        lines = F.split(p["rest"], "\n")
+        has = F.lower(F.regexp_replace(F.get(lines, F.lit(0)), SPACE + "+", "")) == QUOTE_WORD
+        stops = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & (blank(x) | trim_all(x).rlike(QUESTION)), i)), lambda i: i.isNotNull())
+        stop = F.when(has, F.coalesce(F.array_min(stops), F.size(lines))).otherwise(0)
+        return F.struct(p["title"].alias("title"), lines.alias("lines"), stop.alias("stop"))
+
+    def whole(q: Column) -> Column:
+        quote = F.when(q["stop"] > 0, F.nullif(trim_all(F.array_join(F.slice(q["lines"], F.lit(2), F.greatest(q["stop"] - 1, F.lit(0))), " ")), F.lit("")))
+        body = trim_all(F.array_join(F.slice(q["lines"], q["stop"] + 1, F.greatest(F.size(q["lines"]) - q["stop"], F.lit(0))), "\n"))
+        return F.struct(q["title"].alias("title"), quote.alias("quote"), body.alias("body"))
+
+    return bound(bound(bound(clean_text(text), parts), quoted), whole)
 
 
 def find_markers(text: str) -> list[dict]:
-    """Letters a, b, c … in order, each alone between non-letters; after three letters in a row are missing, no more."""
+    """Letters a, b, c … in order, each between two delimiters or spaces, which must both exist; after three letters in a row are missing, no more."""
     found, at, missed = [], 0, 0
-    for letter in "abcdefghijklmnopqrstuvwxyz":
-        m = re.compile(rf"(?<![^\W\d_]){letter}(?![^\W\d_])").search(text, at)
+    for letter in MARKERS:
+        m = re.compile(rf"(?<=[{DELIMITERS}]|{SPACE}){letter}(?=[{DELIMITERS}]|{SPACE})").search(text, at)
         if m:
             found.append({"marker": letter, "pos": m.start()})
             at, missed = m.end(), 0

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-#: White space as browsers understand it: Java's \s lacks these two.
-SPACE = "[\\s ﻿]"
+#: White space as browsers understand it, as a class of literal characters: Java's \s and RE2's lack some of them.
+SPACE = "[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 #: Latin letters with marks, and what they are without; composed form.
 _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
@@ -35,15 +36,20 @@ def truncate_words(col: Column, n: int) -> Column:
 
 def snippet(col: Column, needle: str, width: int = 140) -> Column:
     """About `width` characters around the first hit of the needle, in any case; without a hit, of the beginning."""
-    flat = trim_all(F.regexp_replace(col, f"{SPACE}+", " "))
-    at = F.locate(needle.lower(), F.lower(flat)) - 1
     spare = max(0, width - len(needle))
-    latest = F.greatest(F.length(flat) - width, F.lit(0))
-    start = F.when(at < 0, 0).otherwise(F.greatest(F.lit(0), F.least(at - int(spare * 0.35), latest)))
-    window = F.substring(flat, start + 1, F.lit(width))
-    left = F.when(start > 0, F.regexp_replace(window, "^[^ ]* ", "")).otherwise(window)
-    right = F.when(start + width < F.length(flat), F.regexp_replace(left, " [^ ]*$", "")).otherwise(left)
-    return F.concat(F.when(start > 0, "…").otherwise(""), right, F.when(start + width < F.length(flat), "…").otherwise(""))
+
+    def cut(flat: Column) -> Column:
+        at = F.locate(needle.lower(), F.lower(flat)) - 1
+        latest = F.greatest(F.length(flat) - width, F.lit(0))
+        start = F.when(at < 0, 0).otherwise(F.greatest(F.lit(0), F.least(at - int(spare * 0.35), latest)))
+        return F.struct(start.alias("start"), F.substring(flat, start + 1, F.lit(width)).alias("window"), (start + width < F.length(flat)).alias("more"))
+
+    def shown(c: Column) -> Column:
+        left = F.when(c["start"] > 0, F.regexp_replace(c["window"], "^[^ ]* ", "")).otherwise(c["window"])
+        right = F.when(c["more"], F.regexp_replace(left, " [^ ]*$", "")).otherwise(left)
+        return F.concat(F.when(c["start"] > 0, "…").otherwise(""), right, F.when(c["more"], "…").otherwise(""))
+
+    return bound(bound(trim_all(F.regexp_replace(col, f"{SPACE}+", " ")), cut), shown)
 
 
 def apply_rules(col: Column, rules: list[Rule]) -> Column:
@@ -51,28 +57,47 @@ def apply_rules(col: Column, rules: list[Rule]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), rules, col)
 
 
-# Debris that web and OCR texts carry.
-DEBRIS: list[Rule] = [
-    ("\U0001f517", ""),
-    ("(?i)return to top of page", ""),
-    ("(?i)back to top", ""),
-    ("(?i)top of page", ""),
-    (r"(?i)pagina\s+\d+\s+van\s+\d+", ""),
-    (r"\(\s*\n\s*", "("),
-    ("([Ͱ-Ͽ֐-׿])([A-Za-z])", "$1 $2"),
-    ("([A-Za-z])([Ͱ-Ͽ֐-׿])", "$1 $2"),
-    (r"[ \t]+\n", "\n"),
-    (r"\n{3,}", "\n\n"),
+def bound(col: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(col), with col evaluated once however often fn names it."""
+    return F.transform(F.array(col), fn)[0]
+
+
+def where_has(col: Column, needles: tuple[str, ...], rules: list[Rule]) -> Column:
+    """The rules, where the text in lower case has any of the needles, one of which every match of theirs has."""
+    has = lambda c: reduce(Column.__or__, [F.contains(F.lower(c), F.lit(n)) for n in needles])
+    return bound(col, lambda c: F.when(has(c), apply_rules(c, rules)).otherwise(c))
+
+
+# Debris that web and OCR texts carry. All rules replace every match.
+LINK_MARK: list[Rule] = [("\U0001f517\ufe0f?", "")]
+TOP_LINKS: list[Rule] = [
+    (rf"(?i)Return{SPACE}+to{SPACE}+top{SPACE}+of{SPACE}+page{SPACE}*", ""),
+    (rf"(?i)Back{SPACE}+to{SPACE}+top{SPACE}*", ""),
+    (rf"(?i)Top{SPACE}+of{SPACE}+page{SPACE}*", ""),
+]
+PAGE_MARKS: list[Rule] = [(rf"(?im)(^|{SPACE})Pagina{SPACE}+[0-9]+{SPACE}+van{SPACE}+[0-9]+{SPACE}*", "$1")]
+SPLIT_PARENTHESES: list[Rule] = [(rf"\({SPACE}*\n{SPACE}*([^()\n]{{1,60}}?){SPACE}*\n", "($1)\n")]
+SCRIPTS: list[Rule] = [
+    ("([\u0590-\u05ff\u0370-\u03ff])([A-Za-z])", "$1 $2"),
+    ("([A-Za-z])([\u0590-\u05ff\u0370-\u03ff])", "$1 $2"),
 ]
-FRONT_MATTER: list[Rule] = [
-    (r"(?is)\A\s*legend:.*?\n\n", ""),
-    (r"(?im)^published by [^\n]*$", ""),
-    (r"(?im)^printed (?:in|by) [^\n]*$", ""),
-    (r"(?im)^all rights reserved[^\n]*$", ""),
-    (r"(?im)^\[?(?:page|pagina|p\.)\s*\d+\]?$", ""),
-    ("\U0001f517", ""),
+TRAILING_BLANKS: list[Rule] = [(r"[ \t]+\n", "\n")]
+BLANK_LINES: list[Rule] = [(r"\n{3,}", "\n\n")]
+DEBRIS = LINK_MARK + TOP_LINKS + PAGE_MARKS + SPLIT_PARENTHESES + SCRIPTS + TRAILING_BLANKS + BLANK_LINES
+# Front matter. The first two go once, up to their own end; a legend ends before a line that begins with a capital and a small letter.
+LEGEND = rf"Legenda{SPACE}+Blauw[\s\S]*?"
+COLOPHONS = (
+    r"(?:DE GROOT GOUDRIAAN[\s\S]*?(?:NUR [0-9]+)"
+    r"|Ongewijzigde fotografische herdruk[\s\S]*?(?:NUR [0-9]+)"
+    r"|Uit het Latijn vertaald[\s\S]*?(?:NUR [0-9]+))\n*"
+)
+FRONT_LINKS: list[Rule] = [(f"\U0001f517\ufe0f?{SPACE}*", "")]
+FRONT_TOPS: list[Rule] = [(rf"(?i)Return{SPACE}+to{SPACE}+top{SPACE}+of{SPACE}+page", "")]
+# Marks within a paragraph; the first is the whole paragraph.
+PARAGRAPH_MARKS: list[Rule] = [
+    (rf"(?i)^Pagina{SPACE}+[0-9]+{SPACE}+van{SPACE}+[0-9]+{SPACE}*$", ""),
+    (rf"(?i)(^|{SPACE})Pagina{SPACE}+[0-9]+{SPACE}+van{SPACE}+[0-9]+(?={SPACE}|$)", "$1"),
 ]
-PARAGRAPH: list[Rule] = [(r"[ \t]*\n[ \t]*", " "), (r"[ \t]{2,}", " ")]
 CORRECTIONS: dict[str, Rule] = {
     "hyphens": (r"(\p{L})-\n(\p{L})", "$1$2"),
     "spaces": (r"[ \t]{2,}", " "),
@@ -81,16 +106,28 @@ CORRECTIONS: dict[str, Rule] = {
 }
 
 
+def _spaced_scripts(col: Column) -> Column:
+    return bound(col, lambda c: F.when(F.octet_length(c) > F.length(c), apply_rules(c, SCRIPTS)).otherwise(c))
+
+
 def clean_text(col: Column) -> Column:
-    return trim_all(apply_rules(col, DEBRIS))
+    """Without link marks, top links, page marks, parentheses split over lines, trailing blanks and runs of blank lines; DEBRIS in its order."""
+    out = where_has(where_has(where_has(col, ("\U0001f517",), LINK_MARK), ("top",), TOP_LINKS), ("pagina",), PAGE_MARKS)
+    out = _spaced_scripts(where_has(out, ("(",), SPLIT_PARENTHESES))
+    return trim_all(where_has(where_has(out, (" \n", "\t\n"), TRAILING_BLANKS), ("\n\n\n",), BLANK_LINES))
 
 
 def strip_front_matter(col: Column) -> Column:
-    return trim_all(apply_rules(col, FRONT_MATTER))
+    """Without the first legend, the first colophon, page marks, link marks and top links."""
+    out = where_has(col, ("legenda",), [(rf"(?s)\A(.*?)(?m:^){LEGEND}(?=\n[A-Z][a-z])", "$1")])
+    out = where_has(out, ("nur ",), [(rf"(?s)\A(.*?)(?m:^)(?i:{COLOPHONS})", "$1")])
+    return trim_all(where_has(where_has(where_has(out, ("pagina",), PAGE_MARKS), ("\U0001f517",), FRONT_LINKS), ("top",), FRONT_TOPS))
 
 
 def clean_paragraph(col: Column) -> Column:
-    return trim_all(apply_rules(col, PARAGRAPH))
+    """Without link marks, top links and page marks; script borders spaced."""
+    out = where_has(where_has(where_has(col, ("\U0001f517",), LINK_MARK), ("top",), FRONT_TOPS), ("pagina",), PARAGRAPH_MARKS)
+    return trim_all(_spaced_scripts(out))
 
 
 def map_value(col: Column, values: dict[str, str]) -> Column:

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
 from ..sources.tables import delete_keys, upsert
 
 METRICS = ("cosine", "dot", "l2")
-#: Queries that are compared with a batch of vectors at a time.
-QUERY_BLOCK = 4096
+#: Queries that are sent to the tasks at a time, and vectors that they are compared with at a time.
+QUERY_BLOCK, ROWS_AT_ONCE = 4096, 1024
 
 
 def put_vectors(index: DataFrame, rows: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -35,53 +37,92 @@ def delete_vectors(index: DataFrame, keys: DataFrame, key: str = "vec_id") -> Da
     return delete_keys(index, keys, [key])
 
 
-def query_vectors(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def query_vectors(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, score, rank): the k best vectors of each query; larger scores are better, l2 is negated.
 
-    The queries are a stated set, sent to the tasks in blocks of QUERY_BLOCK. A task keeps its k best of each query, so
-    that k rows per query and batch are shuffled, not all pairs. Ties go to the smaller key; vectors of another length or
-    null do not take part.
+    The queries are a stated set, dealt by hash into blocks of about `block`; one block at a time is sent to the tasks, and its best are written before the next. A
+    task keeps its k best of each query over all its rows, so that k rows per query and task are shuffled, not all pairs. Ties go to the smaller key. Each query meets
+    the vectors of its own length; null vectors, and those with null or NaN elements, do not take part.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     rows = (index if where is None else index.where(where)).select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     asked = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).dropna()
-    parts, block = [], []
-    for r in asked.toLocalIterator():
-        block.append((r.q, r.v))
-        if len(block) == QUERY_BLOCK:
-            parts.append(_nearest(rows, block, k, metric))
-            block = []
-    parts.append(_nearest(rows, block, k, metric))
+    n_blocks = max(1, -(-asked.count() // block))
+    scratch = Scratch(index.sparkSession)
+    parts = []
+    for b in range(n_blocks):
+        found = _nearest(rows, asked.where(F.pmod(F.xxhash64("q", "v"), F.lit(n_blocks)) == b).toArrow(), k, metric)
+        parts.append(found if n_blocks == 1 else scratch.keep(_ranked(found, k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key"))).where(F.col("rank") <= k)
+    ranked = _ranked(out, k) if n_blocks == 1 else out
     return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
 
 
-def _nearest(rows: DataFrame, block: list[tuple[int, list[float]]], k: int, metric: str) -> DataFrame:
-    ids = np.array([q for q, _ in block], np.int64)
-    width = max((len(v) for _, v in block), default=0)
-    asked = np.array([v if len(v) == width else [np.nan] * width for _, v in block], np.float64).reshape(len(block), width)
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key"))).where(F.col("rank") <= k)
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+def _by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix) of the vectors of each length."""
+    lengths = pc.list_value_length(vectors)
+    for n in pc.unique(lengths).to_pylist():
+        same = pc.equal(lengths, n)
+        values = pc.list_flatten(vectors.filter(same)).to_numpy(zero_copy_only=False).astype(np.float64)
+        own = ids.filter(same).to_numpy(zero_copy_only=False)
+        yield n, own, values.reshape(len(own), n)
+
+
+class _Best:
+    """The k best vectors seen so far of some queries of one length."""
+
+    def __init__(self, ids: np.ndarray, asked: np.ndarray, k: int, metric: str):
+        self.ids, self.k, self.metric = ids, k, metric
+        self.asked = _unit(asked) if metric == "cosine" else asked
+        self.least = np.full(len(ids), -np.inf)  # a score that is lower is none of the k best
+        self.query, self.key, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def see(self, keys: np.ndarray, m: np.ndarray) -> None:
+        at, step = 0, max(64, 2 * self.k)  # the first few give the bounds for the rest
+        while at < len(keys):
+            self._see(keys[at : at + step], m[at : at + step])
+            at, step = at + step, ROWS_AT_ONCE
+
+    def _see(self, keys: np.ndarray, m: np.ndarray) -> None:
+        a = self.asked
+        if self.metric == "l2":
+            score = -np.sqrt(np.maximum((a**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * a @ m.T, 0))
+        else:
+            score = a @ (_unit(m) if self.metric == "cosine" else m).T
+        q, v = np.nonzero(score >= self.least[:, None])
+        query, key, score = (np.concatenate(x) for x in ((self.query, q), (self.key, keys[v]), (self.score, score[q, v])))
+        order = np.lexsort((key, -score, query))
+        query = query[order]
+        first = np.searchsorted(query, query)
+        kept = np.arange(len(query)) - first < self.k
+        self.query, self.key, self.score = query[kept], key[order][kept], score[order][kept]
+        n = np.bincount(self.query, minlength=len(self.ids))
+        full = np.flatnonzero(n >= self.k)
+        self.least[full] = self.score[np.cumsum(n)[full] - 1]
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(rows: DataFrame, asked: pa.Table, k: int, metric: str) -> DataFrame:
+    """(query_id, key, score): of each task, the k best for each of the asked (q, v)."""
+    blocks = {n: (ids, m) for n, ids, m in _by_length(asked["q"].combine_chunks(), asked["v"].combine_chunks())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {n: _Best(ids, m, k, metric) for n, (ids, m) in blocks.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                pairs = [(i, v) for i, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if len(v) == width]
-                if not pairs or not len(ids):
-                    continue
-                keys, m = np.array([i for i, _ in pairs], np.int64), np.array([v for _, v in pairs], np.float64)
-                if metric == "l2":
-                    score = -np.sqrt(np.maximum((asked**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * asked @ m.T, 0))
-                else:
-                    score = unit(asked) @ unit(m).T if metric == "cosine" else asked @ m.T
-                best = np.stack([np.lexsort((keys, -row))[:k] for row in score])
-                got = np.take_along_axis(score, best, axis=1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(keys[best].ravel()), pa.array(got)], names=["query_id", "key", "score"])
+            for n, keys, m in _by_length(batch.column(0), batch.column(1)):
+                if n in best:
+                    best[n].see(keys, m)
+        for b in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids[b.query]), pa.array(b.key), pa.array(b.score)], names=["query_id", "key", "score"])
 
     return rows.mapInArrow(run, "query_id bigint, key bigint, score double")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import bound
 from .folds import fold_groups
 
 
@@ -35,8 +36,19 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int = 3) ->
     return first.join(sizes, same).drop(*[f"__{g}" for g in group])
 
 
-def ordinal(df: DataFrame, group: str, order: str, out: str = "ordinal") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(order)))
+def ordinal(df: DataFrame, group: str, order: str, out: str = "ordinal", width: int = 1 << 16) -> DataFrame:
+    """df with each row's number in its group, from 1.
+
+    Where order is a whole number, groups are numbered by buckets of `width` values, shifted by the sizes of the buckets before them, so that no task sorts a group.
+    """
+    if df.schema[order].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    bucket = F.floor(F.col(order) / F.lit(width))
+    numbered = df.withColumn("__b", bucket).withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__b").orderBy(order)))
+    sizes = df.groupBy(F.col(group).alias("__g"), bucket.alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__g", "__c", (F.sum("__n").over(Window.partitionBy("__g").orderBy("__c")) - F.col("__n")).alias("__before"))
+    met = numbered.join(before, F.col(group).eqNullSafe(F.col("__g")) & F.col("__b").eqNullSafe(F.col("__c")))
+    return met.withColumn(out, (F.col("__rn") + F.col("__before")).cast("long")).select(*df.columns, out)
 
 
 def runs(df: DataFrame, part: str, order: list[str], key: str) -> DataFrame:
@@ -47,25 +59,29 @@ def runs(df: DataFrame, part: str, order: list[str], key: str) -> DataFrame:
     return numbered.groupBy(part, "run", key).agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
-def packed(sizes: Column, budget: int) -> Column:
-    """Page number of each item: a new page begins when the page is not empty and the item would not fit."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(1).alias("page"), F.array().cast("array<int>").alias("pages"))
+def page_starts(sizes: Column, budget: int) -> Column:
+    """Where each page begins: a new one when the page is not empty and the item would not fit. Only pages are collected, so that the work is linear in the items."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("starts"))
 
     def step(acc: Column, size: Column) -> Column:
         turn = (acc["used"] > 0) & (acc["used"] + size > budget)
-        page = F.when(turn, acc["page"] + 1).otherwise(acc["page"])
         used = F.when(turn, size.cast("long")).otherwise(acc["used"] + size)
-        return F.struct(used.alias("used"), page.alias("page"), F.concat(acc["pages"], F.array(page)).alias("pages"))
+        starts = F.when(turn, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"])
+        return F.struct(used.alias("used"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["pages"])
+    return F.aggregate(sizes, start, step, lambda acc: acc["starts"])
 
 
 def pack_lines(df: DataFrame, text: str, budget: int = 2400, sep: str = "\n") -> DataFrame:
     """df exploded to pages of one text's lines: (…, page, n_lines, page_text). Works inside the row, without a shuffle."""
+
+    def pages(p: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(p["starts"], i + 1), F.size(p["lines"]))
+        return F.transform(p["starts"], lambda s, i: F.slice(p["lines"], s + 1, end(i) - s))
+
     lines = F.split(F.col(text), sep)
-    numbered = df.withColumn("__l", lines).withColumn("__p", packed(F.transform("__l", lambda x: F.length(x)), budget))
-    pages = F.transform(F.sequence(F.lit(1), F.coalesce(F.array_max("__p"), F.lit(1))), lambda p: F.filter("__l", lambda x, i: F.get(F.col("__p"), i) == p))
-    out = numbered.select(*df.columns, F.posexplode(pages).alias("__i", "__page"))
+    cut = bound(lines, lambda a: F.struct(a.alias("lines"), page_starts(F.transform(a, lambda x: F.length(x)), budget).alias("starts")))
+    out = df.select(*df.columns, F.posexplode(bound(cut, pages)).alias("__i", "__page"))
     return out.select(*df.columns, (F.col("__i") + 1).alias("page"), F.size("__page").alias("n_lines"), F.array_join("__page", "\n").alias("page_text"))
 
 

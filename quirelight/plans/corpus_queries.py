@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search, text
 from ..operators import windows
+from ..sources.shared import Scratch
 from . import joined, relational, streamed, textual  # noqa: F401
 from .registry import QUERIES, SQL, query
 from .registry import table as t
@@ -24,8 +25,10 @@ w AS (SELECT *, CASE WHEN start > 0 THEN regexp_replace(substr(flat, start + 1,
 SELECT source, doc_id, quality, rank, group_size, CASE WHEN start > 0 THEN '…' ELSE '' END || CASE WHEN more THEN regexp_replace(l, ' [^ ]*$', '') ELSE l END || CASE WHEN more THEN '…' ELSE '' END AS snippet FROM w""")
 def keyword_search(spark, sf):
     """Cleaned documents with both words, the first three of each source, with label, number of hits and a snippet."""
-    docs = t(spark, sf, "documents").select("doc_id", "source", text.clean_text(F.col("text")).alias("clean"))
-    hits = docs.where(search.condition(search.tokens(F.col("clean")), "the with", "plain"))
-    first = windows.top_n_per_group(hits, ["source"], ["doc_id"], 3)
-    labelled = first.join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    hit = text.bound(text.clean_text(F.col("text")), lambda c: search.condition(search.tokens(c), "the with", "plain"))
+    found = t(spark, sf, "documents").select("doc_id", "source", F.explode(F.array(hit)).alias("hit")).where("hit").drop("hit")  # a generated column is computed once
+    found = Scratch(spark).keep(found)  # the one pass over all texts; sizes and ranks come from ids alone
+    first = windows.top_n_per_group(found, ["source"], ["doc_id"], 3).drop("source")
+    shown = t(spark, sf, "documents").join(first, "doc_id").select("source", "doc_id", "rank", "group_size", text.clean_text(F.col("text")).alias("clean"))
+    labelled = shown.join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     return labelled.select("source", "doc_id", "quality", "rank", "group_size", text.snippet(F.col("clean"), "with").alias("snippet"))

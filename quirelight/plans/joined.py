@@ -108,10 +108,10 @@ def j14_count_children(spark, sf):
     return j.count_children(by_nation, "s_nationkey", {"n_customers": (t(spark, sf, "customer"), "c_nationkey")}).select("s_suppkey", "n_lines", "n_customers")
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(p_size, 0) AS lookup FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey ORDER BY lookup, l_orderkey, l_linenumber LIMIT 300")
+@query("SELECT l_orderkey, l_linenumber, coalesce(p_size, 0) AS lookup FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey ORDER BY lookup, l_orderkey, l_linenumber")
 def j15_order_by_lookup(spark, sf):
     li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return j.order_by_lookup(li, t(spark, sf, "part").where("p_size > 10"), ("l_partkey", "p_partkey"), "p_size", ["l_orderkey", "l_linenumber"]).limit(300).select("l_orderkey", "l_linenumber", "lookup")
+    return j.order_by_lookup(li, t(spark, sf, "part").where("p_size > 10"), ("l_partkey", "p_partkey"), "p_size", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "lookup")
 
 
 @query("SELECT o_orderkey, coalesce((SELECT string_agg(l_linenumber, ',' ORDER BY l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45), '') AS items FROM orders")
@@ -120,10 +120,10 @@ def j16_grouped_left(spark, sf):
     return g.select("o_orderkey", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
-@query("WITH plan AS (SELECT o_orderkey AS plan_id, n_name AS name, o_orderkey AS ch, 1 + o_orderkey % 2 AS lo, 3 AS hi FROM orders JOIN nation ON n_nationkey = o_orderkey % 30 WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'nowhere', o_orderkey, 1, 3 FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 30 >= 25) SELECT plan_id, string_agg(l_partkey, ' ' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS texts FROM plan LEFT JOIN nation ON n_name = name LEFT JOIN lineitem ON l_orderkey = ch AND n_nationkey = l_orderkey % 30 AND l_linenumber BETWEEN lo AND hi GROUP BY plan_id")
+@query("WITH plan AS (SELECT o_orderkey AS plan_id, n_name AS name, o_orderkey AS ch, 1 + o_orderkey % 2 AS lo, 3 AS hi FROM orders JOIN nation ON n_nationkey = o_orderkey % 30 UNION ALL SELECT o_orderkey, 'nowhere', o_orderkey, 1, 3 FROM orders WHERE o_orderkey % 30 >= 25) SELECT plan_id, string_agg(l_partkey, ' ' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS texts FROM plan LEFT JOIN nation ON n_name = name LEFT JOIN lineitem ON l_orderkey = ch AND n_nationkey = l_orderkey % 30 AND l_linenumber BETWEEN lo AND hi GROUP BY plan_id")
 def j17_plan_join(spark, sf):
     n = t(spark, sf, "nation")
-    o = t(spark, sf, "orders").where("o_orderkey % 5 = 0").join(n, F.col("n_nationkey") == F.col("o_orderkey") % 30, "left")
+    o = t(spark, sf, "orders").join(n, F.col("n_nationkey") == F.col("o_orderkey") % 30, "left")
     plan = o.select(F.col("o_orderkey").alias("plan_id"), F.coalesce("n_name", F.lit("nowhere")).alias("name"), F.col("o_orderkey").alias("plan_chapter"), (1 + F.col("o_orderkey") % 2).alias("lo"), F.lit(3).alias("hi"))
     units = t(spark, sf, "lineitem").select((F.col("l_orderkey") % 30).cast("int").alias("n_nationkey"), "l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("t"))
     return j.plan_join(plan, n, units, "name", "n_nationkey", "n_name", "l_orderkey", "l_linenumber", "t").select("plan_id", "texts")
@@ -309,10 +309,10 @@ def w9_locate_page(spark, sf):
     return w.locate_page(pages, "grp", "doc_id", wanted)
 
 
-@query("SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 99 END AS place FROM orders ORDER BY 2, 1 LIMIT 200")
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 99 END AS place FROM orders ORDER BY 2, 1")
 def w10_order_by_list(spark, sf):
     o = t(spark, sf, "orders").select("o_orderkey", w.list_rank(F.col("o_orderpriority"), ["5-LOW", "1-URGENT"]).alias("place"))
-    return o.orderBy("place", "o_orderkey").limit(200)
+    return o.orderBy("place", "o_orderkey")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN doc_id % 97 = 0 THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END, doc_id) AS rn FROM documents) WHERE rn = 1")

@@ -236,10 +236,10 @@ def f22_flag_range(spark, sf):
 # orders
 
 
-@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders ORDER BY price DESC NULLS LAST, o_orderkey LIMIT 500")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders")
 def s1_order(spark, sf):
     o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"))
-    return s.order(o, [("price", False, "last"), ("o_orderkey", True, None)]).limit(500)
+    return s.order(o, [("price", False, "last"), ("o_orderkey", True, None)])
 
 
 @query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey), ',') AS keys, array_to_string(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1:3], ',') AS first FROM orders GROUP BY o_custkey")
@@ -275,17 +275,17 @@ def s7_top_k(spark, sf):
     return s.top_k(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", 20, ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT c_custkey FROM customer ORDER BY CASE WHEN c_custkey % 3 = 0 THEN 9999 ELSE c_acctbal END, c_custkey LIMIT 100")
+@query("SELECT c_custkey FROM customer ORDER BY CASE WHEN c_custkey % 3 = 0 THEN 9999 ELSE c_acctbal END, c_custkey")
 def s8_order_with_default(spark, sf):
     c = t(spark, sf, "customer").withColumn("b", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")))
-    return s.order_with_default(c, "b", 9999.0, ["c_custkey"]).limit(100).select("c_custkey")
+    return s.order_with_default(c, "b", 9999.0, ["c_custkey"]).select("c_custkey")
 
 
-@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id LIMIT 100")
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id")
 def s9_recent(spark, sf):
-    return s.recent(t(spark, sf, "events"), "ts", ["event_id"]).limit(100).select("event_id", "user_id")
+    return s.recent(t(spark, sf, "events"), "ts", ["event_id"]).select("event_id", "user_id")
 
 
-@query("SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem ORDER BY l_suppkey, l_orderkey, l_linenumber LIMIT 200")
+@query("SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem ORDER BY l_suppkey, l_orderkey, l_linenumber")
 def s10_canonical_order(spark, sf):
-    return s.canonical_order(t(spark, sf, "lineitem"), "l_suppkey", "l_orderkey", "l_linenumber").limit(200).select("l_suppkey", "l_orderkey", "l_linenumber")
+    return s.canonical_order(t(spark, sf, "lineitem"), "l_suppkey", "l_orderkey", "l_linenumber").select("l_suppkey", "l_orderkey", "l_linenumber")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import registry, search, structure, text, udfs, vectors
-from ..operators import filters, joins, windows
+from ..operators import filters, joins, setops, windows
 from .registry import query
 from .registry import table as t
 
@@ -14,9 +14,9 @@ def _docs(spark, sf, *cols):
     return t(spark, sf, "documents").select("doc_id", *cols)
 
 
-@query("SELECT doc_id, strip_accents(lower(substr(text, 1, 300))) AS folded FROM documents")
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
 def t1_fold(spark, sf):
-    return _docs(spark, sf, text.fold(F.substring("text", 1, 300)).alias("folded"))
+    return _docs(spark, sf, text.fold(F.col("text")).alias("folded"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE coalesce(nullif(regexp_extract(substr(text, 1, 81), '(?s)^(.+) [^ ]*$', 1), ''), substr(text, 1, 80)) || '…' END AS cut FROM documents")
@@ -34,7 +34,7 @@ def t3_snippet(spark, sf):
     return _docs(spark, sf, text.snippet(F.col("text"), "with").alias("snippet"))
 
 
-_DIRTY = "text || '   \n\n\n\nBack to top \U0001f517 Pagina 3 van 10 (\n x) αβγabc'"
+_DIRT = "   \n\n\n\nBack \t to\u00a0top \U0001f517\ufe0f Pagina 3 van 10\n(\n x y \nz) Return to\ntop of page αβγabc \U0001f517"
 
 
 def _sql_rules(col: str, rules: list[text.Rule]) -> str:
@@ -44,28 +44,37 @@ def _sql_rules(col: str, rules: list[text.Rule]) -> str:
     return col
 
 
-@query(f"SELECT doc_id, regexp_replace({_sql_rules(_DIRTY, text.DEBRIS)}, '^[\\s ]+|[\\s ]+$', '', 'g') AS clean FROM documents".replace("[Ͱ-Ͽ֐-׿]", "[Ͱ-Ͽ֐-׿]"))
+def _sql_trim(col: str) -> str:
+    return f"regexp_replace({col}, '^{text.SPACE}+|{text.SPACE}+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_sql_trim(_sql_rules(f"text || '{_DIRT}'", text.DEBRIS))} AS clean FROM documents")
 def t4_clean_text(spark, sf):
-    return _docs(spark, sf, text.clean_text(F.expr("text || '   \\n\\n\\n\\nBack to top \U0001f517 Pagina 3 van 10 (\\n x) αβγabc'")).alias("clean"))
+    return _docs(spark, sf, text.clean_text(F.concat("text", F.lit(_DIRT))).alias("clean"))
+
+
+_FRONT = "Legenda  Blauw: a, b\nc d\nDe titel\nUit het Latijn vertaald\ndoor X, NUR 700\n\nPagina 1 van 9 \U0001f517\ufe0f "
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?im)^all rights reserved[^\n]*$', '', 'g'), '(?im)^printed (?:in|by) [^\n]*$', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM documents""")
+@query(f"""SELECT doc_id, {_sql_trim(_sql_rules(f"regexp_replace(regexp_replace('{_FRONT}' || text, '(?m)^{text.LEGEND}(\n[A-Z][a-z])', '\\1'), '(?im)^{text.COLOPHONS}', '')", text.PAGE_MARKS + text.FRONT_LINKS + text.FRONT_TOPS))} AS body FROM documents""")
 def t5_strip_front_matter(spark, sf):
-    dirty = F.concat(F.lit("Legend: a, b\n\nPublished by X\nPrinted in Y\nAll rights reserved.\n[page 3]\n"), F.col("text"))
-    return _docs(spark, sf, text.strip_front_matter(dirty).alias("body"))
+    return _docs(spark, sf, text.strip_front_matter(F.concat(F.lit(_FRONT), "text")).alias("body"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \t]*\n[ \t]*', ' ', 'g'), '[ \t]{2,}', ' ', 'g')) AS para FROM documents")
+_MARKED_PARAGRAPH = "' Pagina 3 van 4 αb \U0001f517\ufe0f Return to top of page' || text"
+
+
+@query(f"""SELECT doc_id, {_sql_trim(_sql_rules(_MARKED_PARAGRAPH, [*text.LINK_MARK, *text.FRONT_TOPS, (text.PARAGRAPH_MARKS[1][0].replace("(?=", "("), "$1$2"), *text.SCRIPTS]))} AS para FROM documents""")
 def t6_clean_paragraph(spark, sf):
-    return _docs(spark, sf, text.clean_paragraph(F.col("text")).alias("para"))
+    return _docs(spark, sf, text.clean_paragraph(F.concat(F.lit(" Pagina 3 van 4 αb \U0001f517\ufe0f Return to top of page"), "text")).alias("para"))
 
 
-_ABBREVIATIONS: list[text.Rule] = [(r"(?i)\bre\b", "RE"), (r"\bof (\w)", "OF-$1"), (r"\b(\d+)\.(\d+)", "$1:$2")]
+_ABBREVIATIONS: list[text.Rule] = [("(^|[^A-Za-zÀ-ÿ])[Rr]e([^A-Za-zÀ-ÿ]|$)", "$1RE$2"), ("(^|[^A-Za-zÀ-ÿ])of ([A-Za-zÀ-ÿ])", "$1OF-$2"), ("([0-9]+)[.]([0-9]+)", "$1:$2")]
 
 
-@query(f"SELECT doc_id, {_sql_rules('text', _ABBREVIATIONS)} AS expanded FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(f"SELECT doc_id, {_sql_rules('text', _ABBREVIATIONS)} AS expanded FROM documents")
 def t7_apply_rules(spark, sf):
-    return t(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", text.apply_rules(F.col("text"), _ABBREVIATIONS).alias("expanded"))
+    return _docs(spark, sf, text.apply_rules(F.col("text"), _ABBREVIATIONS).alias("expanded"))
 
 
 @query("SELECT n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'Frankrijk' WHEN 'GERMANY' THEN 'Duitsland' ELSE n_name END AS display FROM nation")
@@ -140,9 +149,12 @@ def t18_replace_text(spark, sf):
     return _docs(spark, sf, text.replace_text(F.col("text"), ".", "!").alias("literal"), text.replace_text(F.col("text"), "th(e|a)", "TH", True).alias("regex"))
 
 
-@query("SELECT doc_id, list_extract(regexp_extract_all(text, '(\\w+)ing\\b', 1), -1) AS last FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+_LAST = "([A-Za-zÀ-ÿ]+)ing(?:[^A-Za-zÀ-ÿ]|$)"
+
+
+@query(f"SELECT doc_id, list_extract(regexp_extract_all(text, '{_LAST}', 1), -1) AS last FROM documents")
 def t19_last_match(spark, sf):
-    return t(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", text.last_match(F.col("text"), r"(\w+)ing\b").alias("last"))
+    return _docs(spark, sf, text.last_match(F.col("text"), _LAST).alias("last"))
 
 
 @query("SELECT event_id, greatest(1, least(52, CAST(ceil((floor(epoch(ts)) - epoch(date_trunc('year', ts))) / 604800) AS INTEGER))) AS week, isodow(ts) - 1 AS weekday, dayofyear(ts) AS yearday FROM events")
@@ -200,15 +212,17 @@ def _aliases(spark, sf):
     return t(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.lower(F.substring("n_name", 1, 4)).alias("alias"), F.col("n_name").alias("name"))
 
 
-@query("SELECT l_orderkey, l_linenumber, 'Boek' || chr(CAST(65 + l_suppkey % 25 AS INTEGER)) AS book, l_orderkey % 50 + 1 AS chapter, CASE WHEN l_orderkey % 3 = 2 THEN 1 ELSE l_linenumber END AS start, CASE l_orderkey % 3 WHEN 0 THEN l_linenumber + 2 WHEN 1 THEN l_linenumber ELSE 999 END AS \"end\" FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN k < 6 THEN 'Boek' || chr(CAST(65 + l_suppkey % 25 AS INTEGER)) END AS book, CASE WHEN k < 6 THEN l_orderkey % 50 + 1 END AS chapter,
+CASE WHEN k = 2 THEN 1 WHEN k < 6 THEN l_linenumber END AS start, CASE WHEN k IN (0, 5) THEN l_linenumber + 2 WHEN k = 2 THEN 999 WHEN k < 6 THEN l_linenumber END AS "end" FROM (SELECT *, l_orderkey % 7 AS k FROM lineitem)""")
 def tx1_parse_refs(spark, sf):
     name = F.concat(F.lit("Boek"), F.char(65 + F.col("n_nationkey")))
     aliases = t(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.lower(name).alias("alias"), name.alias("name"))
-    c, v, k = (F.col("l_orderkey") % 50 + 1).cast("string"), F.col("l_linenumber"), F.col("l_orderkey") % 3
     book = F.concat(F.lit("Boek"), F.char(65 + F.col("l_suppkey") % 25))
-    ref = F.when(k == 0, F.concat(book, F.lit(" "), c, F.lit(":"), v.cast("string"), F.lit("-"), (v + 2).cast("string"))).when(k == 1, F.concat(F.lower(book), F.lit(" "), c, F.lit(" vers "), v.cast("string"))).otherwise(F.concat(book, F.lit(" "), c))
-    out = structure.parse_refs(t(spark, sf, "lineitem").withColumn("q", ref), "q", aliases)
-    return out.select("l_orderkey", "l_linenumber", "ref.*")
+    c, v, w = ((x).cast("string") for x in (F.col("l_orderkey") % 50 + 1, F.col("l_linenumber"), F.col("l_linenumber") + 2))
+    forms = [F.concat(book, F.lit(" "), c, F.lit(":"), v, F.lit("-"), w), F.concat(F.lower(book), F.lit(" "), c, F.lit(" vers "), v), F.concat(book, F.lit("\u00a0 "), c), F.concat(book, F.lit(". "), c, F.lit(":"), v), F.concat(F.lower(book), c, F.lit(","), v)]
+    forms += [F.concat(book, F.lit(" "), c, F.lit(" "), v, F.lit(" t/m "), w), F.concat(F.lit("Geen "), c, F.lit(":"), v)]
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.get(F.array(*forms), (F.col("l_orderkey") % 7).cast("int")).alias("q"))
+    return structure.parse_refs(li, "q", aliases).select("l_orderkey", "l_linenumber", "ref.*")
 
 
 @query("WITH a AS (SELECT n_nationkey AS ord, lower(substr(n_name, 1, 4)) AS alias, n_name AS name FROM nation), q AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(substr(n_name, 1, 4)) WHEN 2 THEN lower(substr(n_name, 1, 2)) ELSE 'zz' || n_name END AS k FROM part JOIN nation ON n_nationkey = p_partkey % 25) SELECT p_partkey, coalesce((SELECT max(name) FROM a WHERE lower(name) = lower(k)), (SELECT arg_min(name, ord) FROM a WHERE alias = lower(k)), (SELECT arg_min(name, ord) FROM a WHERE starts_with(alias, lower(k)))) AS name FROM q")
@@ -219,14 +233,31 @@ def tx2_resolve_alias(spark, sf):
     return structure.resolve_alias(p, "k", _aliases(spark, sf)).select("p_partkey", "name")
 
 
-@query("WITH q AS (SELECT DISTINCT lower(substr(p_name, 1, 3)) AS prefix FROM part), h AS (SELECT prefix, p_name, min(p_partkey) AS ord FROM q JOIN part ON starts_with(lower(p_name), prefix) GROUP BY 1, 2), r AS (SELECT prefix, p_name AS value, row_number() OVER (PARTITION BY prefix ORDER BY ord, p_name) - 1 AS place FROM h) SELECT prefix, value, place FROM r WHERE place < 7")
+@query("""WITH q AS (SELECT lower(substr(p_name, 1, 3)) AS prefix FROM part UNION SELECT lower(substr(n_name, 1, 2)) FROM nation),
+k AS (SELECT p_name AS name, lower(p_name) AS key, 0 AS kind, p_partkey AS ord FROM part UNION ALL SELECT n_name, lower(substr(n_name, 1, 4)), 1, n_nationkey FROM nation),
+h AS (SELECT prefix, name, min(kind * 1000000000 + ord) AS ord FROM q JOIN k ON starts_with(key, prefix) GROUP BY 1, 2), r AS (SELECT prefix, name AS value, row_number() OVER (PARTITION BY prefix ORDER BY ord, name) - 1 AS place FROM h) SELECT prefix, value, place FROM r WHERE place < 7""")
 def tx3_complete(spark, sf):
     p = t(spark, sf, "part")
     names = p.select(F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("ord"))
-    return structure.complete(p.select(F.lower(F.substring("p_name", 1, 3)).alias("prefix")), "prefix", names, _aliases(spark, sf).limit(0))
-
-
-@query()
+    typed = p.select(F.lower(F.substring("p_name", 1, 3)).alias("prefix")).union(t(spark, sf, "nation").select(F.lower(F.substring("n_name", 1, 2))))
+    return structure.complete(typed, "prefix", names, _aliases(spark, sf).withColumn("ord", F.col("ord").cast("int")))
+
+
+@query(r"""WITH e AS (SELECT item_id AS id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name FROM benchmark),
+n AS (SELECT id, name, list_filter(regexp_split_to_array(strip_accents(lower(name)), '\s+'), lambda x: x <> '') AS w FROM e),
+key AS (SELECT key, min(id) AS id FROM (SELECT id, array_to_string(w, ' ') AS key FROM n UNION ALL SELECT id, list_filter(w, lambda x: length(x) >= 3)[-1] FROM n UNION ALL SELECT id, array_to_string(w[-2:], ' ') FROM n WHERE len(w) >= 2) WHERE length(key) >= 3 GROUP BY key),
+q AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, w, list_transform(w, lambda x: strip_accents(lower(x))) AS f FROM q),
+two AS (SELECT doc_id, i, id FROM (SELECT doc_id, i, f[i] || ' ' || f[i + 1] AS key FROM (SELECT doc_id, f, unnest(range(1, len(f))) AS i FROM f)) JOIN key USING (key)),
+isle AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM two),
+took AS (SELECT doc_id, i, id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i - rn ORDER BY i) AS nth FROM isle) WHERE nth % 2 = 1),
+used AS (SELECT doc_id, i FROM took UNION ALL SELECT doc_id, i + 1 FROM took),
+one AS (SELECT doc_id, i, id FROM (SELECT doc_id, unnest(f) AS key, generate_subscripts(f, 1) AS i FROM f) JOIN key USING (key) ANTI JOIN used USING (doc_id, i)),
+hit AS (SELECT doc_id, id, min(o) AS o FROM (SELECT doc_id, id, i - 1000000000 AS o FROM took UNION ALL SELECT doc_id, id, i FROM one) GROUP BY 1, 2),
+ids AS (SELECT doc_id, string_agg(CAST(hit.id AS VARCHAR), ',' ORDER BY o) AS ids, string_agg(name, ',' ORDER BY o) AS names FROM hit JOIN e ON e.id = hit.id GROUP BY 1),
+gone AS (SELECT doc_id, list(i) AS g FROM (SELECT doc_id, i FROM used UNION SELECT doc_id, i FROM one) GROUP BY 1)
+SELECT doc_id, coalesce(ids, '') AS ids, coalesce(names, '') AS names, length(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS n_rest
+FROM f LEFT JOIN ids USING (doc_id) LEFT JOIN gone USING (doc_id)""")
 def tx4_extract_entities(spark, sf):
     e = t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("name"), F.col("item_id").alias("ord"))
     x = structure.extract_entities(_docs(spark, sf, "text"), "doc_id", "text", e)
@@ -261,24 +292,36 @@ def tx6_token_table(spark, sf):
     return search.token_table(_docs(spark, sf, "text"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
-p AS (SELECT doc_id, t, list_filter(list_transform(regexp_split_to_array(t, '\n[ \t]*\n\s*'), lambda p: trim(p)), lambda p: p <> '') AS b, list_filter(list_transform(string_split(t, chr(10)), lambda p: trim(p)), lambda p: p <> '') AS l FROM x)
-SELECT doc_id, unnest(range(len(c))) AS pos, unnest(c) AS para FROM (SELECT doc_id, CASE WHEN len(b) > 1 THEN b ELSE l END AS c FROM p WHERE len(b) > 1 OR len(l) > 1)""")
+def _paragraph_sql(source: str, shown: str) -> str:
+    some = lambda a: f"list_filter(list_transform({a}, lambda p: {_sql_trim('p')}), lambda p: p <> '')"
+    return rf"""WITH RECURSIVE x AS (SELECT doc_id, {_sql_trim(source)} AS t FROM documents),
+p AS (SELECT doc_id, t, {some(r"regexp_split_to_array(t, '\n[ \t]*\n\s*')")} AS b, {some("string_split(t, chr(10))")} AS l FROM x),
+c AS (SELECT doc_id, t AS rest, 0 AS n, '' AS piece FROM p WHERE len(b) < 2 AND len(l) < 2 AND length(t) >= 600
+UNION ALL SELECT doc_id, substr(rest, length(piece) + 1), n, piece FROM (SELECT doc_id, rest, n + 1 AS n, coalesce(nullif(regexp_extract(substr(rest, 1, 501), '(?s)^(.{{249,499}}[.!?])(?:\s|$)', 1), ''), substr(rest, 1, 500)) AS piece FROM c WHERE rest <> '')),
+d AS (SELECT doc_id, list({_sql_trim("piece")} ORDER BY n) AS pieces FROM c WHERE n > 0 GROUP BY doc_id),
+a AS (SELECT doc_id, CASE WHEN len(b) > 1 THEN b WHEN len(l) > 1 THEN l WHEN pieces IS NOT NULL THEN list_filter(pieces, lambda p: p <> '') ELSE list_filter([t], lambda p: p <> '') END AS paras FROM p LEFT JOIN d USING (doc_id))
+SELECT doc_id, pos, {shown} FROM (SELECT doc_id, unnest(range(len(paras))) AS pos, unnest(paras) AS para FROM a)"""
+
+
+@query(_paragraph_sql("text", "para"))
 def tx7_paragraphs(spark, sf):
-    many = F.size(F.filter(F.split(F.trim("text"), "\n"), lambda x: F.trim(x) != "")) > 1
-    return structure.paragraphs(t(spark, sf, "documents").where(many), "doc_id", "text")
+    return structure.paragraphs(t(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
+@query(_paragraph_sql("replace(text, chr(10), ' ')", "length(para) AS n"))
 def tx7_pieces(spark, sf):
     flat = _docs(spark, sf, F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     return structure.paragraphs(flat, "doc_id", "text").select("doc_id", "pos", F.length("para").alias("n"))
 
 
-@query()
+@query(r"""WITH RECURSIVE a AS (SELECT doc_id, [substr(text, 1, 1), substr(text, 2)] || string_split(text, chr(10)) AS p FROM documents),
+f AS (SELECT doc_id, p, 1 AS i, p[1] AS last, 1 AS n, p[1] AS first FROM a
+UNION ALL SELECT doc_id, p, i + 1, CASE WHEN j THEN last || x ELSE x END, CASE WHEN j THEN n ELSE n + 1 END, CASE WHEN j AND n = 1 THEN last || x ELSE first END
+FROM (SELECT *, p[i + 1] AS x, regexp_full_match(last, '\p{L}{1,3}') AND regexp_matches(p[i + 1], '^\p{Ll}') AS j FROM f WHERE i < len(p)))
+SELECT doc_id, n, first FROM f WHERE i = len(p)""")
 def tx8_merge_dropcaps(spark, sf):
     cut = F.concat(F.array(F.substring("text", 1, 1), F.substring("text", F.lit(2), F.length("text"))), F.split("text", "\n"))
-    return _docs(spark, sf, F.size(structure.merge_dropcaps(cut)).alias("n"), F.get(structure.merge_dropcaps(cut), F.lit(0)).alias("first"))
+    return _docs(spark, sf, structure.merge_dropcaps(cut).alias("m")).select("doc_id", F.size("m").alias("n"), F.get("m", F.lit(0)).alias("first"))
 
 
 @query("SELECT conv_id, n - 1 AS pos, n AS number, trim(regexp_replace(regexp_replace(text, '[.!?;:0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) || '.' AS line FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
@@ -290,7 +333,9 @@ def tx9_numbered_lines(spark, sf):
     return structure.numbered_lines(joined, "conv_id", "text")
 
 
-@query()
+@query(f"""WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, 'Vs. ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ' ' || replace(text, chr(10), ' ') AS l FROM conversations),
+g AS (SELECT conv_id, 'intro' || chr(10) || string_agg(l, chr(10) ORDER BY n) AS whole, {_sql_trim("'intro' || chr(10) || coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (n BETWEEN 2 AND 3), '')")} AS cut FROM c GROUP BY conv_id)
+SELECT conv_id, CASE WHEN length(cut) >= 40 THEN cut ELSE whole END AS cut FROM g""")
 def tx10_extract_range(spark, sf):
     c = windows.ordinal(t(spark, sf, "conversations"), "conv_id", "turn", "n")
     line = F.concat(F.lit("Vs. "), F.col("n").cast("string"), F.lit(" "), F.regexp_replace("text", "\n", " "))
@@ -298,26 +343,41 @@ def tx10_extract_range(spark, sf):
     return doc.select("conv_id", structure.extract_range(F.col("text"), F.lit(2), F.lit(3)).alias("cut"))
 
 
-@query()
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN '3. Preek over X EEN TITEL 2' END AS title, CASE doc_id % 3 WHEN 0 THEN 'de tekst vervolg' WHEN 1 THEN 'de tekst' END AS quote,
+length({_sql_trim(_sql_rules("CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '1. Vraag hoe' || chr(10) ELSE 'Over een preek' || chr(10) || chr(10) END || text", text.DEBRIS))}) AS n_body FROM documents""")
 def tx11_split_sections(spark, sf):
-    doc = F.concat(F.lit("Preek over X\nEEN TITEL\nTekst: de tekst\nvervolg\n\n"), F.col("text"))
-    return _docs(spark, sf, structure.split_sections(doc, "preek").alias("s")).select("doc_id", "s.title", "s.quote", F.length("s.body").alias("n_body"))
+    head = F.lit("3. Preek over X\nEEN TITEL 2\n \nTekst :\nde tekst\n")
+    k = F.col("doc_id") % 3
+    doc = F.when(k == 0, F.concat(head, F.lit("vervolg\n\n"), "text")).when(k == 1, F.concat(head, F.lit("1. Vraag hoe\n"), "text")).otherwise(F.concat(F.lit("Over een preek\n\n"), "text"))
+    return _docs(spark, sf, structure.split_sections(doc).alias("s")).select("doc_id", "s.title", "s.quote", F.length("s.body").alias("n_body"))
+
+
+_MARK = f"(?:[{structure.DELIMITERS}]|{text.SPACE})"
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text || ' a b,c. (d) e;f g' || chr(10) || 'h:' AS t FROM documents),
+f AS (SELECT doc_id, t, 0 AS k, 0 AS u, 0 AS missed, -1 AS pos FROM d
+UNION ALL SELECT doc_id, t, k + 1, CASE WHEN p > 0 THEN greatest(u - 1, 0) + p + 1 ELSE u END, CASE WHEN p > 0 THEN 0 ELSE missed + 1 END, CASE WHEN p > 0 THEN greatest(u - 1, 0) + p ELSE -1 END
+FROM (SELECT *, length(regexp_extract(substr(t, greatest(u - 1, 0) + 1), '(?s)^(.*?{_MARK})' || chr(97 + k) || '{_MARK}', 1)) AS p FROM f WHERE k < 26 AND missed < 3))
+SELECT doc_id, chr(96 + k) AS marker, pos FROM f WHERE pos >= 0""")
 def tx12_marker_tokens(spark, sf):
-    return _docs(spark, sf, F.explode(structure.marker_tokens(F.col("text"))).alias("m")).select("doc_id", "m.marker", "m.pos")
+    marked = F.concat("text", F.lit(" a b,c. (d) e;f g\nh:"))
+    return _docs(spark, sf, F.explode(structure.marker_tokens(marked)).alias("m")).select("doc_id", "m.marker", "m.pos")
 
 
-@query(r"""WITH d AS (SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS rn, count(*) OVER () AS n, concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w) AS ctx FROM conversations WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 10 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+@query(r"""WITH c AS (SELECT conv_id, turn, role, concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w) AS ctx FROM conversations WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 10 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+d AS (SELECT conv_id, turn, ctx || chr(10) || 'Vs. 2 not shown' AS whole, ctx AS cut, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS rn, count(*) OVER () AS n FROM c WHERE role = 'user' OR NOT EXISTS (SELECT 1 FROM c WHERE role = 'user')),
+x AS (SELECT *, CASE WHEN length(cut) >= 40 THEN cut ELSE whole END AS ctx FROM d),
 e AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
-SELECT day, conv_id, turn, CASE WHEN length(ctx) <= 250 THEN ctx ELSE coalesce(nullif(regexp_extract(substr(ctx, 1, 251), '(?s)^(.+) [^ ]*$', 1), ''), substr(ctx, 1, 250)) || '…' END AS card FROM e JOIN d ON rn = dayofyear(day) % n""")
+SELECT day, conv_id, turn, CASE WHEN length(ctx) <= 250 THEN ctx ELSE coalesce(nullif(regexp_extract(substr(ctx, 1, 251), '(?s)^(.+) [^ ]*$', 1), ''), substr(ctx, 1, 250)) || '…' END AS card FROM e JOIN x ON rn = dayofyear(day) % n""")
 def tx13_daily_card(spark, sf):
+    """Non-blank units (F16), of the preferred kind if there are any (U3), one a day (W12) with its neighbours (J11), cut to the asked verses (TX10) and to 250 characters (T2)."""
     c = t(spark, sf, "conversations").where(filters.nonblank(F.col("text"), 10))
     c = joins.context(c, "conv_id", "turn", "text").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
     days = t(spark, sf, "events").select(F.col("ts").cast("date").alias("day")).distinct()
-    card = windows.daily_pick(c, "k", days, "day")
-    return card.select("day", "conv_id", "turn", text.truncate_words(F.col("context"), 250).alias("card"))
+    card = windows.daily_pick(setops.prefer_or_any(c, F.col("role") == "user"), "k", days, "day")
+    cut = structure.extract_range(F.concat("context", F.lit("\nVs. 2 not shown")), F.lit(1), F.lit(1))
+    return card.select("day", "conv_id", "turn", text.truncate_words(cut, 250).alias("card"))
 
 
 @query("SELECT o_custkey AS week, day, o_custkey || '-' || day AS progress_key, book, chapter FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS day, o_orderkey AS book, o_orderpriority AS chapter FROM orders)")
@@ -416,3 +476,10 @@ def fn3_table_function(spark, sf):
     registry.register_table_functions(spark)
     t(spark, sf, "documents").createOrReplaceTempView("corpus_documents")
     return spark.sql("SELECT doc_id, pos, line FROM corpus_documents, LATERAL text_lines(text)")
+
+
+@query(_paragraph_sql("text", "para"))
+def fn3_paragraph_function(spark, sf):
+    registry.register_table_functions(spark)
+    t(spark, sf, "documents").createOrReplaceTempView("corpus_documents")
+    return spark.sql("SELECT doc_id, pos, para FROM corpus_documents, LATERAL text_paragraphs(text)")

@@ -30,6 +30,9 @@ def test_references(spark, aliases):
         "Joh 3:16": ("Johannes", 3, 16, 16), "Psalm 23 vers 1 tot 6": ("Psalmen", 23, 1, 6), "romeinen 8 vers 28 tot 30": ("Romeinen", 8, 28, 30), "Psalm 23:1-3": ("Psalmen", 23, 1, 3),
         "psalm 23": ("Psalmen", 23, 1, 999), "1 Kor 6:19-20": ("1 Korinthiërs", 6, 19, 20), "Joh 3 16 t/m 18": ("Johannes", 3, 16, 18), "Joh 3 16": ("Johannes", 3, 16, 16), "ps23:1-3": ("Psalmen", 23, 1, 3),
         "genade": None, "": None, None: None, "Onbekend 3:16": None, "psa 1:1": ("Psalmen", 1, 1, 1),
+        "Joh. 3:16": ("Johannes", 3, 16, 16), "Joh.3:16": ("Johannes", 3, 16, 16), "joh3.16": ("Johannes", 3, 16, 16), "joh3,16": ("Johannes", 3, 16, 16), "1 Kor. 2:3-4": ("1 Korinthiërs", 2, 3, 4),
+        "Joh  3 : 16 – 18": ("Johannes", 3, 16, 18), "Joh 3 vs. 16 tot en met 18": ("Johannes", 3, 16, 18), "Joh 3 v16 t/m 18": ("Johannes", 3, 16, 18), "Joh 3 16 tot 18": ("Johannes", 3, 16, 18),
+        "psal3:1": None, "\u00a0Joh\u00a03": ("Johannes", 3, 1, 999), "joh 3 16 18": None,
     }
     got = {r.q: r.ref and tuple(r.ref) for r in structure.parse_refs(spark.createDataFrame([(k,) for k in want], "q string"), "q", aliases).collect()}
     assert got == want
@@ -53,11 +56,26 @@ def test_truncate_and_snippet(spark):
 
 
 def test_clean_text(spark):
-    dirty = "A (\n b) ελC  \n\n\n\nBack to Top "
-    assert one(spark, text.clean_text(F.lit(dirty))) == "A (b) ελ C"
+    clean = lambda t: one(spark, text.clean_text(F.lit(t)))
+    assert clean("A (\n b \n) ελC  \n\n\n\nBack to Top ") == "A (b)\n) ελ C"
+    assert clean("A (\n b) c") == "A (\n b) c" and clean(f"(\n{'x' * 61}\n") == f"(\n{'x' * 61}"
+    assert clean("x \U0001f517\ufe0f y Return \n to\ttop of   page  z") == "x  y z"
+    assert clean("Top  of\u00a0page \n\n Kop\nPagina 3 van 10\nrest, Pagina 4\nvan 9 einde") == "Kop\nrest, einde"
+    assert clean(None) is None and clean("") == "" and clean(" \ufeff ") == ""
     assert one(spark, text.fold(F.lit("Écoutez, Ñandú ÜBER"))) == "ecoutez, nandu uber"
 
 
+def test_front_matter_and_paragraph_marks(spark):
+    front = lambda t: one(spark, text.strip_front_matter(F.lit(t)))
+    assert front("Legenda Blauw: a\nb c\nHet begin\nLegenda Blauw: x\nDe rest") == "Het begin\nLegenda Blauw: x\nDe rest"
+    assert front("Titel\nDe Groot Goudriaan\nKampen\nNUR 700\n\nTekst NUR 701") == "Titel\nTekst NUR 701"
+    assert front("Uit het Latijn vertaald door X, NUR 1\nOngewijzigde fotografische herdruk NUR 2\nY") == "Ongewijzigde fotografische herdruk NUR 2\nY"
+    assert front("een Pagina 1 van 2 \U0001f517\ufe0f twee return to top of page") == "een twee"
+    para = lambda t: one(spark, text.clean_paragraph(F.lit(t)))
+    assert para("Pagina 3 van 4 ") == "" and para("a Pagina 3 van 4 b") == "a  b" and para("a Pagina 3 van 4b") == "a Pagina 3 van 4b"
+    assert para("\U0001f517 αb\nReturn to top of page c") == "α b\n c"
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.text(alphabet="aé \n\t(.Ω ", max_size=60))
 def test_cleaning_twice_changes_nothing_more(spark, value):
@@ -126,10 +144,42 @@ def test_structure_of_texts(spark):
     comment = "Inleiding op het geheel van deze verzen\nVs. 1 over een\nvervolg een\nVs. 2-3 over twee en drie\nVs. 4 over vier"
     assert one(spark, structure.extract_range(F.lit(comment), F.lit(2), F.lit(3))) == "Inleiding op het geheel van deze verzen\nVs. 2-3 over twee en drie"
     assert one(spark, structure.extract_range(F.lit("Vs. 1 kort"), F.lit(2), F.lit(3))) == "Vs. 1 kort"
-    s = one(spark, structure.split_sections(F.lit("Preek over genade\nDE GENADE\nTekst: Joh 3\n\nHet begin"), "preek"))
-    assert tuple(s) == ("Preek over genade DE GENADE", "Joh 3", "Het begin")
-    assert [m["marker"] for m in structure.find_markers("x a woord b en c; z")] == ["a", "b", "c"]
-    assert structure.find_markers("abc") == []
+    assert one(spark, structure.extract_range(F.lit("Inleiding die lang genoeg is om te blijven staan\n1. een\n2. twee\n5. vijf\n2. weer twee"), F.lit(2), F.lit(3))) == "Inleiding die lang genoeg is om te blijven staan\n2. twee"
+    assert one(spark, structure.merge_dropcaps(F.array(*[F.lit(x) for x in ("abc", "d", "ef", "X", "y", "z lang", "De", "Hoofd", "a", "b", "c", "d")]))) == fold_dropcaps(["abc", "d", "ef", "X", "y", "z lang", "De", "Hoofd", "a", "b", "c", "d"])
+
+
+def fold_dropcaps(paras):
+    out = []
+    for x in paras:
+        if out and re.fullmatch(r"[^\W\d_]{1,3}", out[-1]) and x[:1].islower():
+            out[-1] += x
+        else:
+            out.append(x)
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "cd", "efg", "hijk", "Xy", "z lang", "", "1"]), max_size=9))
+def test_dropcaps_equal_a_plain_fold(spark, paras):
+    df = spark.createDataFrame([(paras,)], "p array<string>")
+    assert df.select(structure.merge_dropcaps(F.col("p")).alias("x")).first().x == fold_dropcaps(paras)
+
+
+def test_sections(spark):
+    split = lambda t: tuple(one(spark, structure.split_sections(F.lit(t))))
+    assert split("Preek over genade\nDE GENADE, 2 É\nTekst: \nJoh 3\nvers 16\n\nHet begin\n\nslot") == ("Preek over genade DE GENADE, 2 É", "Joh 3 vers 16", "Het begin\n\nslot")
+    assert split("12. Leerrede\nAAN\nDE\nHEER\nEN MEER\nrest") == ("12. Leerrede AAN DE HEER", None, "EN MEER\nrest")
+    assert split("Over een preek\nTekst:\nx") == (None, None, "Over een preek\nTekst:\nx")
+    assert split("t E k s t :\neen\n1. Vraag wat\nrest") == (None, "een", "1. Vraag wat\nrest")
+    assert split("PREEK\n\n\n Tekst:\n\nslot") == ("PREEK", None, "slot") and split("Preekstoel") == (None, None, "Preekstoel") and split("") == (None, None, "")
+
+
+def test_markers():
+    markers = lambda t: [(m["marker"], m["pos"]) for m in structure.find_markers(t)]
+    assert markers("x a woord b en c; z") == [("a", 2), ("b", 10), ("c", 15)]
+    assert markers("abc") == [] and markers("(a) x 'b' 1c2") == [] and markers("a b c") == [("b", 2)] and markers("x a") == []
+    assert markers("x,a.b;c:\u00a0d e") == [("a", 2), ("b", 4), ("c", 6), ("d", 9)]
+    assert markers("w a x d e ") == [("a", 2), ("d", 6), ("e", 8)] and markers("w a x e ") == [("a", 2)]
 
 
 def test_entities(spark):
@@ -204,6 +254,28 @@ def test_presence_stream_equals_batch_fold(spark, sf_dir, synced):
     assert got == want
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_nearest_vectors_of_mixed_lengths(spark, metric):
+    import numpy as np
+
+    from quirelight.functions import vectors
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-3, 4, 3 if i % 3 else 2).astype(float).tolist()) for i in range(300)] + [(300, None), (301, [1.0, None]), (302, [float("nan"), 1.0]), (None, [1.0, 1.0])]
+    asked = [(1000 + i, rng.integers(-3, 4, n).astype(float).tolist()) for i, n in enumerate([2, 3, 3, 2, 5, 3, 1])] + [(2000, None), (2001, [0.0, 0.0])]
+    schema = "vec_id bigint, embedding array<double>"
+    score = {"cosine": lambda a, b: a @ b / max(np.linalg.norm(a), 1e-300) / max(np.linalg.norm(b), 1e-300), "dot": lambda a, b: a @ b, "l2": lambda a, b: -np.sqrt(max(a @ a + b @ b - 2 * a @ b, 0))}[metric]
+    want = {}
+    for q, a in asked:
+        if a is not None:
+            near = [(-round(float(score(np.array(a), np.array(v))), 9), i) for i, v in rows if i is not None and v is not None and len(v) == len(a) and None not in v and v[0] == v[0]]
+            want |= {(q, n): s for n, (s, _) in enumerate(sorted(near)[:4], 1)}
+    for block in (4096, 3):
+        got = vectors.query_vectors(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(asked, schema), 4, metric, block=block).collect()
+        assert {(r.query_id, r["rank"]): -round(r.score, 9) for r in got} == pytest.approx(want, abs=1e-7)
+        assert len(got) == 4 * 6 and all(len({r.vec_id for r in got if r.query_id == q}) == 4 for q in {r.query_id for r in got})
+
+
 def test_stems():
     from quirelight.functions import udfs
 
