@@ -10,15 +10,15 @@ def _values(rows: list[tuple]) -> str:
 
 
 OP2_SQL = rf"""
-WITH known(id, sentence) AS (VALUES {_values([*license_scan.SENTENCES.items()])}),
-rule(nth, rule, licence, ids) AS (VALUES {_values([(i, r, x, "," + ",".join(w) + ",") for i, (r, x, w) in enumerate(license_scan.RULES)])}),
+WITH known(id, sentence) AS (VALUES {_values([*license_scan.SENTENCES.items(), *((i, s) for s, i in license_scan.VARIANTS.items())])}),
+rule(nth, rule, licence, ids) AS (VALUES {_values([(i, r, x, "," + f"(,[^,]+){{0,{license_scan.GAP}}},".join(y.replace(".", "[.]") for y in w) + ",") for i, (r, x, w) in enumerate(license_scan.RULES)])}),
 d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?;:]([ \t\r\n])', chr(10) || '\1', 'g'), '[.!?;:]$', '') AS t FROM documents),
 s AS (SELECT rid, unnest(a) AS sentence, generate_subscripts(a, 1) AS i FROM (SELECT rid, string_split(t, chr(10)) AS a FROM d)),
 hit AS (SELECT rid, i, id FROM (SELECT rid, i, trim(regexp_replace(sentence, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s) JOIN known USING (sentence)),
 seq AS (SELECT rid, count(*) AS n_sentences, string_agg(id, ',' ORDER BY i) AS ids FROM hit GROUP BY rid),
-fit AS (SELECT rid, licence, arg_min(rule, nth) AS rule FROM seq JOIN rule ON contains(',' || seq.ids || ',', rule.ids) GROUP BY 1, 2),
+fit AS (SELECT rid, licence, arg_min(rule, nth) AS rule FROM seq JOIN rule ON regexp_matches(',' || seq.ids || ',', rule.ids) GROUP BY 1, 2),
 lic AS (SELECT rid, string_agg(licence, ',' ORDER BY licence) AS licenses, string_agg(rule, ',' ORDER BY licence) AS rules FROM fit GROUP BY 1)
 SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses, coalesce(rules, '') AS rules
 FROM d LEFT JOIN seq USING (rid) LEFT JOIN lic USING (rid)

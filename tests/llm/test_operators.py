@@ -529,6 +529,73 @@ def test_published_licence_texts_are_found(leader):
         assert scan.matches(scan.sentence_ids(wrapped)) == [found]
 
 
+PUBLISHED = {
+    "ISC": """Copyright (c) 2020, A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "BSD-3-Clause": """1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "GPL-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+}
+
+
+@pytest.mark.parametrize("licence", sorted(PUBLISHED))
+def test_published_licences_in_comments_and_wrapped(licence):
+    scan = license_scan.SentenceRules()
+    for leader in ("", "# ", " * ", "// ", ";; ", "-- "):
+        commented = "\n".join((leader + line).rstrip() for line in PUBLISHED[licence].split("\n"))
+        assert [x for x, _ in scan.matches(scan.sentence_ids(f"code here\n\n{commented}\n\nmore code"))] == [licence], leader
+
+
+def test_licence_rules_allow_bounded_gaps():
+    follows = license_scan.follows
+    assert follows(["a", "x", "y", "b"], ("a", "b")) and not follows(["a", "x", "y", "z", "b"], ("a", "b")) and not follows(["b", "a"], ("a", "b"))
+    assert follows(["a", "b", "a", "x", "x", "b", "c"], ("a", "b", "c")) and not follows([], ("a",))
+    assert len({s for s in license_scan.SENTENCES.values()} | set(license_scan.VARIANTS)) == len(license_scan.SENTENCES) + len(license_scan.VARIANTS)
+    assert {i for _, _, ids in license_scan.RULES for i in ids} <= set(license_scan.SENTENCES)
+
+
 # html
 
 
