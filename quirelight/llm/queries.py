@@ -46,14 +46,25 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"))
 
 
-OP3_SQL = r"""
+# the patterns' regular expressions are worked out here from the lists alone
+_SEP = "([^a-z0-9]|^|$)"
+_BLOCK = [
+    f"{_SEP}({'|'.join(url_filter.UNWANTED)}){_SEP}",
+    f"{_SEP}({'|'.join(url_filter.FIRST)}){_SEP}({'|'.join(url_filter.SECOND)}){_SEP}",
+    f"{_SEP}({'|'.join(p.replace('-', _SEP) for p in url_filter.PAIRS)}){_SEP}",
+    f"^([^/]*[.])?({'|'.join(url_filter.AD_LABELS)})[.].*/",
+    f"/({'|'.join(p.replace('.', '[.]') for p in url_filter.NO_PAGES)})$",
+    f"{_SEP}(affiliate|partner|campaign).*{_SEP}redirect{_SEP}.*{_SEP}(click|offer|landing){_SEP}",
+]
+_ALLOW = f"{_SEP}({'|'.join(w.replace('^', _SEP) for w in url_filter.WANTED)}){_SEP}"
+OP3_SQL = rf"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (
   SELECT page_id, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
          translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
 r AS (
-  SELECT *, CASE
+  SELECT *, host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS whole, CASE
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
@@ -61,8 +72,8 @@ r AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '(^|[^a-z0-9])(adult|porn|xxx|casino|poker|free-bets|betting|cheap-pills|viagra|spam-farm|spam|warez)([^a-z0-9]|$)') THEN 'block'
+    WHEN regexp_matches(whole, '{_ALLOW}') THEN 'allow'
+    WHEN {" OR ".join(f"regexp_matches(whole, '{p}')" for p in _BLOCK)} THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """

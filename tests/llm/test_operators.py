@@ -442,6 +442,47 @@ def test_urls(spark, none):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+URLS = {
+    "http://shop.com/Free_Pills/x": "^free^pills^", "http://ads.site.com/x": "||ads.*/", "http://a.ads.com/": "||ads.*/", "http://myads.com/x": None, "http://site.com/ads.x/": None, "http://x.com/a/wp-login.php": "/wp-login.php|",
+    "http://x.com/wp-login.php.html": None, "http://x.com/casino-royale/film": "@@^casino^royale^", "http://anti-spam.org/spam-filter": "@@^anti^spam^", "http://x.com/partner1/go/redirect/to/offer": "^partner*^redirect^*^offer^",
+    "http://x.com/redirect/partner/offer": None, "http://link.farm.com/": "^link^farm^", "http://x.com/freepills": None, "http://x.com/make_money.fast": "^make^money^fast^", "http://x.net/casino": "^casino^", "https://spam.net/": "^spam^",
+}
+
+
+def random_urls(n, seed=8):
+    rng = np.random.default_rng(seed)
+    words = [*url_filter.UNWANTED, *url_filter.FIRST, *url_filter.SECOND, *url_filter.AD_LABELS, "anti", "filter", "royale", "redirect", "partner2", "offer", "wp", "login", "php", *(f"w{i}" for i in range(400))]
+    word = lambda: words[int(rng.integers(0, len(words)))]
+    return ["http://" + ".".join(word() for _ in range(rng.integers(1, 4))) + f".{rng.choice(['com', 'net', 'org'])}/" + "".join(word() + rng.choice(list("/-_.")) for _ in range(rng.integers(0, 5))) + rng.choice(["", "?q=casino", "#free-pills"]) for _ in range(n)]
+
+
+def test_url_patterns_of_every_form(spark):
+    urls = [*URLS, "http://x.com/" + "a-" * 100_000 + "casino", *random_urls(1500)]
+    df = spark.createDataFrame([(i if i != 3 else None, u, "p") for i, u in enumerate(urls)], "page_id bigint, url string, pattern string")
+    got = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
+    for i, (u, pattern) in enumerate(URLS.items()):
+        assert got[i if i != 3 else None].pattern == pattern, u
+    rules = url_filter.PATTERN_RULES
+    assert len(rules) > 150
+    for i, u in enumerate(urls):
+        whole = "".join(url_filter.host_and_path(u)).lower()
+        fits = sorted((r for r in rules if re.search(r.regex(), whole, re.DOTALL)), key=lambda r: not r.text.startswith("@@"))
+        r = got[i if i != 3 else None]
+        assert r.pattern == (fits[0].text if fits else None)
+        assert r.rule or r.verdict == ("block" if fits and not fits[0].text.startswith("@@") else "allow")
+    assert np.mean([got[i].n_tried for i in range(len(URLS) + 1, len(urls))]) < 8  # of rules and hosts, though most of these words are in some rule
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [(i if i != 3 else None, u) for i, u in enumerate(urls)])
+    want = con.execute(queries.OP3_SQL).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got.values())
+
+
+def test_common_urls_try_few_rules(spark, sf_dir):
+    got = url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).agg({"n_tried": "avg"}).first()[0]
+    assert got < len(url_filter.HOST_RULES) + 0.5
+
+
 def test_index_fetches_every_rule_that_fits(spark, sf_dir):
     rules = [*url_filter.HOST_RULES, *url_filter.PATTERN_RULES, url_filter.Rule("^th*", "block"), url_filter.Rule("*", "block")]
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
