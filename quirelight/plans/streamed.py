@@ -81,6 +81,15 @@ def st8_ttl_hits(spark, sf):
     return feeds.ttl_hits(t(spark, sf, "events"), "user_id", "ts", "event_id", 6 * 3600)
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT event_id, user_id, k, rn, [{'k': k, 't': t}] AS kept, false AS hit FROM e WHERE rn = 1
+UNION ALL SELECT event_id, user_id, k, rn, CASE WHEN hit THEN kept ELSE list_concat(list_filter(kept, lambda x: x.k <> k), [{'k': k, 't': t}])[-2:] END, hit
+FROM (SELECT e.*, r.kept, len(list_filter(r.kept, lambda x: x.k = e.k AND e.t - x.t < 604800000000)) > 0 AS hit FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT k AS event_type, event_id, hit FROM r""")
+def st8_bounded_hits(spark, sf):
+    return feeds.ttl_hits(t(spark, sf, "events"), "event_type", "ts", "event_id", 7 * 24 * 3600, client="user_id", most_keys=2)
+
+
 @query("SELECT user_id, count(*) FILTER (odd) AS n_done, bool_and(odd) AS all_done, bool_or(odd) AS any_done, CAST(floor(count(*) FILTER (odd) * 100 / 7) AS BIGINT) AS percent FROM (SELECT user_id, event_type, count(*) % 2 = 1 AS odd FROM events GROUP BY 1, 2) GROUP BY 1")
 def st9_progress_toggles(spark, sf):
     every = t(spark, sf, "events").select("user_id", "event_type").distinct()

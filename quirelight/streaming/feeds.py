@@ -37,15 +37,16 @@ def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The last row of each key that an update-mode stream gives for what is there now."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     rows = f"{folder}/rows"
-    spark.createDataFrame([], stream.schema).withColumn("__batch", F.lit(0).cast("long")).write.parquet(rows)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{rows}/__batch=-1")
 
     def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("__batch", F.lit(batch).cast("long")).write.mode("append").parquet(rows)
+        df.write.mode("overwrite").parquet(f"{rows}/__batch={batch}")  # a batch that is tried again replaces what it wrote
 
     query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/offsets").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
     w = Window.partitionBy(*keys).orderBy(F.col("__batch").desc())
-    return spark.read.parquet(rows).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__batch")
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
+    return spark.read.schema(schema).parquet(rows).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__batch")
 
 
 def change_feed(changes: DataFrame, event: str = "*", schema: str = "*", table: str = "*", where: Column | None = None) -> DataFrame:
@@ -130,13 +131,25 @@ def ttl_dedup(stream: DataFrame, keys: list[str], ts: str, ttl: str = "300 secon
     return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def ttl_hits(events: DataFrame, key: str, ts: str, order: str, seconds: int = 300) -> DataFrame:
-    """Batch: (key, order, hit) of each request: whether the cache served it. A hit does not refresh the entry's time."""
+def ttl_hits(events: DataFrame, key: str, ts: str, order: str, seconds: int = 300, client: str | None = None, most_keys: int = 50) -> DataFrame:
+    """Batch: (key, order, hit) of each request: whether the cache served it. A hit does not refresh the entry's time.
+
+    client: whose cache it is, which holds most_keys entries and then loses the one that was put in first; without, every key's entry is kept.
+    """
     ttl = seconds * 1_000_000
 
+    def bounded(kept: tuple, k: object, t: int | None) -> tuple[tuple, bool]:
+        own = next((at for name, at in kept if name == k), None)
+        if own is not None and t is not None and t - own < ttl:
+            return kept, True
+        return (*(e for e in kept if e[0] != k), (k, t))[-most_keys:], False
+
     def step(kept: int | None, t: int | None) -> tuple[int | None, bool]:
         hit = kept is not None and t is not None and t - kept < ttl
         return (kept, True) if hit else (t, False)
 
+    if client is not None:
+        rows = events.select(client, key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"))
+        return fold_groups(rows, [client], ["__t", order], [key, "__t"], (), bounded, "hit", T.BooleanType()).select(key, order, "hit")
     rows = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"))
     return fold_groups(rows, [key], ["__t", order], ["__t"], None, step, "hit", T.BooleanType()).select(key, order, "hit")

@@ -276,6 +276,15 @@ def test_nearest_vectors_of_mixed_lengths(spark, metric):
         assert len(got) == 4 * 6 and all(len({r.vec_id for r in got if r.query_id == q}) == 4 for q in {r.query_id for r in got})
 
 
+def test_cache_holds_a_bounded_number_of_keys(spark):
+    rows = [(1, k, i, f"2024-01-01 00:0{t}:00") for i, (k, t) in enumerate([("a", 0), ("b", 0), ("a", 1), ("c", 1), ("a", 2), ("b", 2), ("c", 3), ("a", 8), ("a", 9)])]
+    events = spark.createDataFrame(rows, "u int, k string, i int, ts string")
+    hits = lambda **o: [r.hit for r in feeds.ttl_hits(events, "k", "ts", "i", 300, **o).orderBy("i").collect()]
+    assert hits() == hits(client="u") == [False, False, True, False, True, True, True, False, True]
+    assert hits(client="u", most_keys=2) == [False, False, True, False, False, False, False, False, True]
+    assert hits(client="u", most_keys=1) == [False, False, False, False, False, False, False, False, True]
+
+
 def test_stems():
     from quirelight.functions import udfs
 
