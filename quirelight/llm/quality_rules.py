@@ -12,6 +12,7 @@ and the text are not read.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from functools import cached_property
@@ -25,6 +26,9 @@ from pyspark.sql import types as T
 from .common import per_text
 
 _NOT_COUNTED = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
+_NO_LETTERS = bytes(sorted(set(range(0x80)) - set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz \t\n\x0b\x0c\r")))
+_BULLET = re.compile(rb"(?m)^[ \t]*(?:\xe2\x80\xa2|[*-])[ \t]")
+_ELLIPSIS = re.compile(rb"(?m)(?:\.\.\.|\xe2\x80\xa6)[ \t\x0b-\r]*$")
 _NOT_SYMBOLS = bytes(sorted(set(range(256)) - set(b"#*$%&|<>")))
 #: Rows that the cost and selectivity sample holds on average.
 SAMPLE_ROWS = 2000
@@ -68,6 +72,20 @@ class TextFeatures:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def n_letter_words(self) -> int:
+        """Words with a letter; bytes beyond ASCII count as letters."""
+        return len(self.data.translate(None, _NO_LETTERS).split())
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return len(_BULLET.findall(self.data))
+
+    @cached_property
+    def n_ellipses(self) -> int:
+        """Lines that end in an ellipsis."""
+        return len(_ELLIPSIS.findall(self.data))
+
     @cached_property
     def n_repeat_words(self) -> int:
         n = self.n_words
@@ -98,6 +116,9 @@ RULES: list[Rule] = [
     ("symbols", lambda f: 10 * f.n_symbols > f.n_words),
     ("shouts", lambda f: 10 * f.n_shouts > 3 * f.n_words),
     ("dup_lines", lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
+    ("letters", lambda f: 10 * f.n_letter_words < 8 * f.n_words),
+    ("bullets", lambda f: 10 * f.n_bullets > 9 * f.n_lines),
+    ("ellipses", lambda f: 10 * f.n_ellipses > 3 * f.n_lines),
     ("word_length", lambda f: not 2 * f.n_words <= f.word_chars <= 15 * f.n_words),
 ]
 
@@ -160,17 +181,16 @@ def filter_documents(docs: DataFrame, text: str = "text", rules: list[Rule] = RU
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """Per row: the id, all features, base_failed, kept, and the first rule of the cascade that rejects (null if none)."""
+    """Per row: the id, the features that the base asks for, base_failed and kept. What only other rules need is computed as far as the cascade comes."""
     order = ordered_rules(docs, text, rules)
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts"]
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = dict(BASE_RULES)
 
     def make() -> Callable[[str], tuple]:
         def fn(t: str) -> tuple:
             f = TextFeatures(t)
-            rejected = first_rejection(f, order)
             failed = any(test(f) for test in base.values())
-            return (*(getattr(f, c) for c in counts), failed, rejected is None and not failed)
+            return (*(getattr(f, c) for c in counts), failed, not failed and first_rejection(f, order) is None)
 
         return fn
 

@@ -90,18 +90,21 @@ r AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w1, w2, w3) AS n FROM g WH
 rep AS (
   SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS v(k) WHERE n >= 2 GROUP BY rid),
 l AS (
-  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (regexp_matches(line, '^[ \t]*[•*-][ \t]')) AS n_bullets,
+         count(*) FILTER (regexp_matches(line, '([.][.][.]|…)[\x20\x09\x0B-\x0D]*$')) AS n_ellipses
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 f AS (
   SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-         coalesce(n_lines, 0) AS n_lines, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses,
+         len(list_filter(ws, lambda w: regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts
   FROM d LEFT JOIN rep USING (rid) LEFT JOIN l USING (rid))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_shouts > 3 * n_words
-            OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+            OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 10 * n_letter_words < 8 * n_words OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines) AS kept
 FROM f
 """
 

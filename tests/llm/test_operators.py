@@ -94,6 +94,17 @@ def test_quality_order_changes_no_verdict(spark, sf_dir):
     assert quality_rules.filter_documents(docs).count() == queries.op5_quality_rules(spark, str(sf_dir)).where("kept").count()
 
 
+def test_quality_rules_on_letters_bullets_and_ellipses():
+    first = lambda t: quality_rules.first_rejection(quality_rules.TextFeatures(t), quality_rules.RULES)
+    words = [f"{a}{b}" for a in ("sun", "moon", "über", "stone", "wind", "leaf", "bird") for b in ("light", "side", "less", "like", "ward", "born", "made", "fall", "song")]
+    assert first(" ".join(words)) is None and first(" ".join([*words, *map(str, range(1000, 1015))])) is None
+    assert first(" ".join([*words, *map(str, range(1000, 1020))])) == "letters"
+    lines = ["- " + " ".join(words[i : i + 6]) for i in range(0, 60, 6)]
+    assert first("\n".join(lines)) == "bullets" and first("\n".join([*lines, *words[-3:]])) is None
+    ends = [" ".join(words[i : i + 6]) + x for i, x in zip(range(0, 60, 6), ["...", "… ", "... \r", "...", "", "", "", "", "", ""], strict=True)]
+    assert first("\n".join(ends)) == "ellipses" and first("\n".join(ends[1:] + words[-3:])) is None
+
+
 def test_quality_on_empty_table(none):
     assert quality_rules.score_documents(none).count() == 0 and quality_rules.filter_documents(none).count() == 0
 

@@ -16,6 +16,10 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     def good(t):
         n, chars, symbols, dup, repeat = brute_features(t)
         lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+        letters = sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7f]", w)) for w in re.findall(r"[^\x20\x09-\x0D]+", t))
+        bullets, ellipses = (sum(bool(re.search(p, x)) for x in t.split("\n")) for p in (r"^[ \t]*[•*-][ \t]", r"(\.\.\.|…)[\x20\x09\x0B-\x0D]*$"))
+        if 10 * letters < 8 * n or 10 * bullets > 9 * lines or 10 * ellipses > 3 * lines:
+            return False
         return n >= 50 and 2 * repeat <= n and 10 * symbols <= n and 10 * t.count("!!") <= 3 * n and 10 * dup <= 3 * lines and 2 * n <= chars <= 15 * n
 
     kept = [i for i, r in docs.items() if good(r.text)]
