@@ -43,13 +43,16 @@ class Scratch:
         self.kept.append((table, path))
         return table
 
+    def tables(self) -> list[DataFrame]:
+        return [t for t, _ in self.kept]
+
     def drop(self, *tables: DataFrame) -> None:
         for _, path in [k for k in self.kept if any(k[0] is t for t in tables)]:
             self.remove(path)
         self.kept = [k for k in self.kept if not any(k[0] is t for t in tables)]
 
     def drop_all_but(self, *tables: DataFrame) -> None:
-        self.drop(*[t for t, _ in self.kept if not any(t is x for x in tables)])
+        self.drop(*[t for t in self.tables() if not any(t is x for x in tables)])
 
     def remove(self, path: str) -> None:
         """Delete a folder that a job wrote."""
