@@ -400,6 +400,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def row_classes(rows: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
     """(row, id, class_id, is_first) of each of rows (row, id, t). It reads tables that scratch keeps."""
+    before = scratch.tables()
     signed = scratch.keep(signatures(rows, bands, rows_per_band))
     first = F.min(F.struct("id", "row")).alias("first")
     nodes = scratch.keep(signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("row").alias("node"), first, F.any_value("bands").alias("bands")))
@@ -419,7 +420,7 @@ def row_classes(rows: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     whole = scratch.keep(linked.join(merged(nodes.select("node", "first")), "node").groupBy("root").agg(F.min("first").alias("of_class")))
     named = linked.join(merged(whole), "root").select("node", "of_class")
     classes = scratch.keep(nodes.join(merged(named), "node", "left").select("h1", "h2", F.coalesce("of_class", "first").alias("first")))
-    scratch.drop(nodes, shared, pairs, texts, left, roots, whole)
+    scratch.drop_all_but(signed, classes, *before)
     out = signed.select("row", "id", "h1", "h2").join(merged(classes), ["h1", "h2"], "left")
     return out.select("row", "id", F.coalesce("first.id", "id").alias("class_id"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("is_first"))
 

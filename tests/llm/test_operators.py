@@ -213,11 +213,17 @@ def test_rows_that_share_an_id_lose_no_text(spark):
 
 
 def test_near_duplicates_leave_only_what_the_result_reads(spark):
-    folder = spark.sparkContext.getCheckpointDir()
-    count = lambda: len(list(Path(folder.removeprefix("file:")).glob("tables-*")))
+    shared = [f"s{i}" for i in range(200)]
+    texts = [" ".join([*shared[: 160 - i], *(f"own{i}x{j}" for j in range(20 + i))]) for i in range(12)]  # alike, but not all of them enough: some buckets stay mixed
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(20, texts[0])], "doc_id bigint, text string")
+    count = lambda: len(list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("tables-*")))
+    minhash_dedup.filter_documents(table.limit(1)).count()
     before = count()
-    minhash_dedup.filter_documents(spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id bigint, text string")).count()
+    minhash_dedup.filter_documents(table).count()
     assert count() - before == 2
+    want = brute_classes([(r.doc_id, r.text) for r in table.collect()])
+    assert {r.doc_id: r.class_id for r in minhash_dedup.near_duplicate_classes(table).collect()} == want
+    assert count() - before == 4
 
 
 def test_components_of_forests_that_tasks_hold_apart(spark):
