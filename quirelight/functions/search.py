@@ -59,11 +59,20 @@ def _websearch(toks: Column, query: str) -> Column:
     return reduce(Column.__and__, wanted) if wanted else F.lit(False)
 
 
+def may_match(text: Column, query: str, mode: str = "websearch") -> Column:
+    """False only where condition() can't hold, since the text lacks a word that is asked for: cheaper than tokens, and asked before them."""
+    parts = re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query)
+    if mode == "websearch" and any(bare.lower() == "or" for _, _, bare in parts):
+        return F.lit(True)
+    words = [w for minus, quoted, bare in parts if not (minus and mode == "websearch") for w in _words(quoted or bare)]
+    return reduce(Column.__and__, [F.contains(F.lower(text), F.lit(w)) for w in words], F.lit(True))
+
+
 def text_search(df: DataFrame, text: str, query: str, mode: str = "websearch", lang: str | None = None) -> DataFrame:
     """Rows whose text meets the query. lang: compare word stems of that language; by default, words as they are."""
     toks = tokens(F.col(text))
     if lang is None:
-        return df.where(condition(toks, query, mode))
+        return df.where(may_match(F.col(text), query, mode) & condition(toks, query, mode))
     asked = re.sub(r"[^\W\d_]+", lambda m: m[0] if m[0].lower() == "or" else stem_word(m[0].lower(), lang), query)
     return df.withColumn("__toks", stemmed(toks, lang)).where(condition(F.col("__toks"), asked, mode)).drop("__toks")
 

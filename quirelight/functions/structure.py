@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import SPACE, bound, clean_text, fold, trim_all
+from .text import SPACE, bound, clean_text, flat, fold, trim_all
 
 # The forms of a reference, in the order in which they are tried, after white space is collapsed. Groups: book, chapter, first verse, last verse.
 # The fifth is compact: its book is an alias without blanks. The last is a whole chapter.
@@ -62,8 +62,7 @@ def parse_refs(df: DataFrame, text: str, aliases: DataFrame, out: str = "ref") -
 
     A pattern whose book does not resolve falls through to the next.
     """
-    flat = trim_all(F.regexp_replace(F.col(text), SPACE + "+", " "))
-    texts = df.select(text).distinct().select(text, flat.alias("__flat"))
+    texts = df.select(text).distinct().select(text, flat(F.col(text)).alias("__flat"))
     part = lambda p, i: F.regexp_extract("__flat", p, i)
     cands = []
     for i, p in enumerate(REF_PATTERNS):
@@ -131,11 +130,12 @@ def drop_entity(query: Column, name: Column) -> Column:
 
 def paragraph_array(text: Column) -> Column:
     """Blocks between blank lines; without any, lines; without those, pieces of at most 500 characters if there are 600."""
-    t = trim_all(text)
     some = lambda a: F.filter(F.transform(a, lambda p: trim_all(p)), lambda p: p != "")
-    blocks, lines = some(F.split(t, r"\n[ \t]*\n\s*")), some(F.split(t, "\n"))
-    pieces = some(F.regexp_extract_all(t, F.lit(r"(?s).{249,499}[.!?](?=\s|$)|.{1,500}"), F.lit(0)))
-    return F.when(F.size(blocks) > 1, blocks).when(F.size(lines) > 1, lines).when(F.length(t) >= 600, pieces).otherwise(some(F.array(t)))
+    pieces = lambda t: some(F.regexp_extract_all(t, F.lit(r"(?s).{249,499}[.!?](?=\s|$)|.{1,500}"), F.lit(0)))
+    short = lambda t: F.when(F.length(t) >= 600, pieces(t)).otherwise(some(F.array(t)))
+    several = lambda a, otherwise: bound(a, lambda x: F.when(F.size(x) > 1, x).otherwise(otherwise))
+    lines = lambda t: several(some(F.split(t, "\n")), short(t))
+    return bound(trim_all(text), lambda t: F.when(F.contains(t, F.lit("\n")), several(some(F.split(t, r"\n[ \t]*\n\s*")), lines(t))).otherwise(short(t)))
 
 
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:

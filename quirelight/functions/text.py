@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-#: White space as browsers understand it, as a class of literal characters: Java's \s and RE2's lack some of them.
-SPACE = "[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: White space as browsers understand it, and as a class of literal characters: Java's \\s and RE2's lack some of them.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = f"[{SPACES}]"
 #: Latin letters with marks, and what they are without; composed form.
 _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
@@ -18,7 +19,16 @@ Rule = tuple[str, str]
 
 
 def trim_all(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACES))
+
+
+def is_ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.length(col)
+
+
+def flat(col: Column) -> Column:
+    """col trimmed, with each run of white space as one blank."""
+    return trim_all(bound(col, lambda c: F.when(is_ascii(c), F.regexp_replace(c, r"\s+", " ")).otherwise(F.regexp_replace(c, f"{SPACE}+", " "))))
 
 
 def fold(col: Column) -> Column:
@@ -49,7 +59,7 @@ def snippet(col: Column, needle: str, width: int = 140) -> Column:
         right = F.when(c["more"], F.regexp_replace(left, " [^ ]*$", "")).otherwise(left)
         return F.concat(F.when(c["start"] > 0, "…").otherwise(""), right, F.when(c["more"], "…").otherwise(""))
 
-    return bound(bound(trim_all(F.regexp_replace(col, f"{SPACE}+", " ")), cut), shown)
+    return bound(bound(flat(col), cut), shown)
 
 
 def apply_rules(col: Column, rules: list[Rule]) -> Column:
@@ -64,7 +74,8 @@ def bound(col: Column, fn: Callable[[Column], Column]) -> Column:
 
 def where_has(col: Column, needles: tuple[str, ...], rules: list[Rule]) -> Column:
     """The rules, where the text in lower case has any of the needles, one of which every match of theirs has."""
-    has = lambda c: reduce(Column.__or__, [F.contains(F.lower(c), F.lit(n)) for n in needles])
+    low = lambda c: F.lower(c) if any(n != n.upper() for n in needles) else c
+    has = lambda c: reduce(Column.__or__, [F.contains(low(c), F.lit(n)) for n in needles])
     return bound(col, lambda c: F.when(has(c), apply_rules(c, rules)).otherwise(c))
 
 
@@ -107,7 +118,7 @@ CORRECTIONS: dict[str, Rule] = {
 
 
 def _spaced_scripts(col: Column) -> Column:
-    return bound(col, lambda c: F.when(F.octet_length(c) > F.length(c), apply_rules(c, SCRIPTS)).otherwise(c))
+    return bound(col, lambda c: F.when(is_ascii(c), c).otherwise(apply_rules(c, SCRIPTS)))
 
 
 def clean_text(col: Column) -> Column:

@@ -25,7 +25,7 @@ w AS (SELECT *, CASE WHEN start > 0 THEN regexp_replace(substr(flat, start + 1,
 SELECT source, doc_id, quality, rank, group_size, CASE WHEN start > 0 THEN '…' ELSE '' END || CASE WHEN more THEN regexp_replace(l, ' [^ ]*$', '') ELSE l END || CASE WHEN more THEN '…' ELSE '' END AS snippet FROM w""")
 def keyword_search(spark, sf):
     """Cleaned documents with both words, the first three of each source, with label, number of hits and a snippet."""
-    hit = text.bound(text.clean_text(F.col("text")), lambda c: search.condition(search.tokens(c), "the with", "plain"))
+    hit = text.bound(text.clean_text(F.col("text")), lambda c: search.may_match(c, "the with", "plain") & search.condition(search.tokens(c), "the with", "plain"))
     found = t(spark, sf, "documents").select("doc_id", "source", F.explode(F.array(hit)).alias("hit")).where("hit").drop("hit")  # a generated column is computed once
     found = Scratch(spark).keep(found)  # the one pass over all texts; sizes and ranks come from ids alone
     first = windows.top_n_per_group(found, ["source"], ["doc_id"], 3).drop("source")
