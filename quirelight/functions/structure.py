@@ -62,15 +62,17 @@ def parse_refs(df: DataFrame, text: str, aliases: DataFrame, out: str = "ref") -
 
     A pattern whose book does not resolve falls through to the next.
     """
-    texts = df.select(text).distinct().select(text, flat(F.col(text)).alias("__flat"))
-    part = lambda p, i: F.regexp_extract("__flat", p, i)
-    cands = []
-    for i, p in enumerate(REF_PATTERNS):
-        start = F.lit("1") if i == _CHAPTER else part(p, 3)
-        end = F.lit("999") if i == _CHAPTER else start if i in _NO_LAST else F.coalesce(F.nullif(part(p, 4), F.lit("")), start)
-        ints = [x.try_cast("int").alias(n) for x, n in ((part(p, 2), "chapter"), (start, "start"), (end, "end"))]
-        cands.append(F.when(F.col("__flat").rlike(p), F.struct(F.lit(i).alias("n"), part(p, 1).alias("raw"), *ints)))
-    found = texts.select(text, F.explode(F.filter(F.array(*cands), lambda c: c.isNotNull())).alias("c")).select(text, "c.*", (F.col("c.n") == _COMPACT).alias("exact"))
+    def candidates(t: Column) -> Column:
+        cands = []
+        for i, p in enumerate(REF_PATTERNS):
+            start = F.lit("1") if i == _CHAPTER else F.regexp_extract(t, p, 3)
+            end = F.lit("999") if i == _CHAPTER else start if i in _NO_LAST else F.coalesce(F.nullif(F.regexp_extract(t, p, 4), F.lit("")), start)
+            ints = [x.try_cast("int").alias(n) for x, n in ((F.regexp_extract(t, p, 2), "chapter"), (start, "start"), (end, "end"))]
+            cands.append(F.when(t.rlike(p), F.struct(F.lit(i).alias("n"), F.regexp_extract(t, p, 1).alias("raw"), *ints)))
+        return F.filter(F.array(*cands), lambda c: c.isNotNull())
+
+    texts = df.select(text).distinct().where(F.col(text).rlike("[0-9]"))  # every form has a number
+    found = texts.select(text, F.explode(bound(flat(F.col(text)), candidates)).alias("c")).select(text, "c.*", (F.col("c.n") == _COMPACT).alias("exact"))
     named = found.join(_named(found.select("raw", "exact"), "raw", aliases).withColumnRenamed("name", "book"), ["raw", "exact"])
     best = named.groupBy(F.col(text).alias("__t")).agg(F.min_by(F.struct("book", "chapter", "start", "end"), "n").alias(out))
     return df.join(best, F.col(text).eqNullSafe(F.col("__t")), "left").drop("__t")
