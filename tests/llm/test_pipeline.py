@@ -47,6 +47,17 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         assert corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).count() == table.count()
 
 
+def test_pipeline_on_empty_and_odd_tables(spark, sf_dir, tmp_path):
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    words = [f"{a}{b}" for a in ("sun", "moon", "river", "stone", "wind", "leaf", "bird") for b in ("light", "side", "less", "like", "ward", "born", "made", "fall", "song")]
+    good, other = " ".join(words), " ".join(w + "x" for w in words)
+    odd = spark.createDataFrame([(1, good, None, "s", None), (1, other, "en", None, 3), (2, other, "en", "t", 3), (None, good, "en", "t", 9), (3, None, None, None, None)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    for name, table, items, want in (("none", docs.limit(0), benchmark.limit(0), 0), ("odd", odd, benchmark.limit(0), 3), ("items", docs.limit(0), benchmark, 0)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == want, name
+
+
 def test_secret_stage_changes_secrets_only(spark, sf_dir):
     rows = [(1, "plain text", "en", "s", 10), (2, "token = 'abcdefghijklmnop' end", "en", "s", 30), (3, None, "en", "s", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
