@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import bound
-from .folds import fold_groups
+from .folds import fold_groups, summed_up
 
 
 def dedup_prefer(df: DataFrame, keys: list[str], prefer: Column, order: list) -> DataFrame:
@@ -92,10 +93,63 @@ def _page_step(state: tuple[int, int], size: int, budget: int) -> tuple[tuple[in
     return (used, page), page
 
 
-def pack_pages(df: DataFrame, group: str, order: list[str], size: Column, budget: int = 1800) -> DataFrame:
-    """df with each block's page in its group, greedily filled in order. Blocks of unknown size take no room."""
-    sized = df.withColumn("__size", size.cast("long"))
-    return fold_groups(sized, [group], order, ["__size"], (0, 1), lambda state, n: _page_step(state, n, budget), "page", T.IntegerType()).drop("__size")
+def _packing(sizes: np.ndarray, budget: int) -> tuple:
+    """What blocks of these sizes do to a page that is filled up to some room before them.
+
+    least, used, turns: from `least` on (descending) the first page turn is at one block, after which, at the end, `used` is filled and `turns` pages were turned; with less
+    before them none is turned, and `total` comes on top. empty_used, empty_turns: the same for an empty page, which no block turns.
+    """
+    n, p = len(sizes), np.concatenate(([0], np.cumsum(sizes)))
+    over = np.searchsorted(p, p[:-1] + budget, side="right") - 1  # first block with which a page begun at each block is too full
+    turn = np.maximum(over, np.arange(n) + 1)
+    turn = np.where((turn < n) & (p[np.minimum(turn, n)] == p[:-1]), turn + 1, turn).tolist()  # a page that is still empty isn't turned
+    ends, used, turns = p.tolist(), [0] * (n + 1), [0] * (n + 1)
+    for j in range(n - 1, -1, -1):
+        k = turn[j]
+        used[j], turns[j] = (used[k], turns[k] + 1) if k < n else (ends[n] - ends[j], 0)
+    # the first turn of a page that is filled before: at the first block j with filled + p[j + 1] > budget
+    firsts = [j for j in range(n) if ends[j] <= budget and (j == 0 or ends[j + 1] > ends[j])]
+    first = firsts[: next((i + 1 for i, j in enumerate(firsts) if ends[j + 1] >= budget), len(firsts))]
+    empty = 0
+    while empty < n and not sizes[empty]:
+        empty += 1
+    k = turn[empty] if empty < n else n
+    whole = (used[k], turns[k] + 1) if k < n else (ends[n], 0)
+    return [max(budget - ends[j + 1] + 1, 1) for j in first], [used[j] for j in first], [turns[j] + 1 for j in first], ends[n], *whole
+
+
+def _packed_step(state: tuple[int, int], least: list[int], used: list[int], turns: list[int], total: int, empty_used: int, empty_turns: int) -> tuple[tuple[int, int], dict]:
+    filled, page = state
+    if filled == 0:
+        after = (empty_used, page + empty_turns)
+    else:
+        k = next((k for k, x in enumerate(least) if filled >= x), None)
+        after = (filled + total, page) if k is None else (used[k], page + turns[k])
+    return after, {"filled": filled, "page": page}
+
+
+def pack_pages(df: DataFrame, group: str, order: list[str], size: Column, budget: int = 1800, width: int = 1 << 16) -> DataFrame:
+    """df with each block's page in its group, greedily filled in order. Blocks of unknown size take no room.
+
+    Where the first order column is a whole number, a group is cut into parts of `width` values of it: tasks sum up what each part does to the page before it, these sums
+    are folded in order, and then the parts are filled side by side. So no task gets a group.
+    """
+    sized = df.withColumn("__size", F.greatest(size.cast("long"), F.lit(0)))
+    if df.schema[order[0]].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return fold_groups(sized, [group], order, ["__size"], (0, 1), lambda state, n: _page_step(state, n, budget), "page", T.IntegerType()).drop("__size")
+    parts = sized.withColumn("__part", F.floor(F.col(order[0]) / F.lit(width)))
+    sums = summed_up(parts, [group, "__part"], order, "__size", lambda sizes: _packing(sizes, budget), "least array<long>, used array<long>, turns array<long>, total long, empty_used long, empty_turns long")
+    before = T.StructType([T.StructField("filled", T.LongType()), T.StructField("page", T.LongType())])
+    folded = fold_groups(sums, [group], ["__part"], ["least", "used", "turns", "total", "empty_used", "empty_turns"], (0, 1), _packed_step, "__before", before)
+    known = folded.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), "__before.*")
+    met = parts.join(known.hint("merge"), F.col(group).eqNullSafe(F.col("__g")) & F.col("__part").eqNullSafe(F.col("__p")))
+    met = met.select(*df.columns, "__size", "__part", F.col("filled").alias("__filled"), F.col("page").alias("__page"))
+
+    def step(state: tuple[int, int] | None, n: int, filled: int, page: int) -> tuple[tuple[int, int], int]:
+        return _page_step((filled, page) if state is None else state, n, budget)
+
+    out = fold_groups(met, [group, "__part"], order, ["__size", "__filled", "__page"], None, step, "page", T.IntegerType())
+    return out.select(*df.columns, "page")
 
 
 def pack_paragraphs(df: DataFrame, group: str, order: str, text: str, budget: int = 1800, header: int = 0) -> DataFrame:

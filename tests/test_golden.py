@@ -103,6 +103,25 @@ def test_packing_keeps_order_and_budget(spark, sizes):
         assert sum(members) <= 20 or len(members) == 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 14), min_size=1, max_size=12), st.integers(1, 12), st.integers(0, 20))
+def test_a_part_is_summed_up_as_its_steps_do(sizes, budget, filled):
+    import numpy as np
+
+    state = (filled, 1)
+    for n in sizes:
+        state, _ = windows._page_step(state, n, budget)
+    assert windows._packed_step((filled, 1), *windows._packing(np.array(sizes), budget))[0] == state
+
+
+def test_packing_in_parts_equals_the_plain_fold(spark):
+    rows = [(("a", "b", None)[i % 3], i * 7 % 400, i % 2, None if i % 50 == 0 else i * i % 23) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, i int, pos int, n int").repartition(5)
+    got = {tuple(r) for r in windows.pack_pages(df, "g", ["i", "pos", "n"], F.col("n"), 40, width=16).collect()}
+    want = {tuple(r) for r in windows.pack_pages(df.withColumn("i", F.format_string("%05d", "i")), "g", ["i", "pos", "n"], F.col("n"), 40).withColumn("i", F.col("i").cast("int")).collect()}
+    assert got == want and max(r[4] for r in got) > 50
+
+
 def test_locate_page(spark):
     pages = spark.createDataFrame([("g", 1, "u", 1), ("g", 2, "v", 2), ("g", 3, "v", 3)], "g string, e int, unit string, page int")
     wanted = spark.createDataFrame([(1, "g", 3, None, None), (2, "g", None, "v", 9), (3, "g", None, None, 5), (4, "g", None, None, None)], "request int, g2 string, want_entry int, want_unit string, want_page int").withColumnRenamed("g2", "grp")
