@@ -7,7 +7,7 @@ Runs of lines between the first and the last dense line of a block are the conte
 down, the block that holds nearly all characters of dense lines, as long as one block does. Blocks of several lines beside it, of the same tag and with dense lines too, belong to the region.
 
 From the region all lines stay, short ones and headings too, but for blocks at its edges that have no dense line and are
-links, or stand in no block but the page's; of a page most of whose text stands in no block, the div and section blocks at its edges go. A heading of the first rank that stands before the region, with no dense line between, stays with what follows it.
+links, or stand in no block but the page's; of a page most of whose text stands in no block, the div and section blocks at its edges go. Where the region doesn't begin with a heading, one of the first rank (else of the second) that stands before it, with no dense line between, stays with what follows.
 Tags are a hint only: characters of lines inside article and main count HINT times, the region grows to the article around it, and comes with the articles beside it.
 Menus, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role or name before ratios are
 taken. A name counts if it is one of the known ones or one with a known ending (`share-buttons`, `comment-list`), so that `share-price` and `related-work` stay.
@@ -52,12 +52,13 @@ _CLOSES_P = _BLOCK - frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "ca
 _ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",)}
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr td th figcaption caption summary legend".split())
 _PAGE = frozenset(("html", "body"))
+_RANKS = {"h1": 1, "h2": 2}
 _NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video menu dialog".split())
 _REGION = frozenset(("article", "main"))
 # Names that pages give to what isn't their text, and endings that such names take.
 _NAMES = (
     "ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|menu|nav|navbar|navigation|"
-    "breadcrumb|breadcrumbs|footer|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|"
+    "adsbygoogle|adsense|adbox|adslot|adunit|advertorial|breadcrumb|breadcrumbs|footer|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|"
     "social|related|recommended|comment|comments|commentlist|disqus|reply|replies|respond|widget|toolbar|pagination|pager|masthead|skip-link"
 )
 _ENDINGS = (
@@ -85,7 +86,7 @@ class Line:
     tags: int
     links: int  # characters inside a elements
     block: int
-    is_title: bool
+    rank: int  # 1 and 2 for headings of these ranks, else 0
 
 
 class LineParser(HTMLParser):
@@ -103,7 +104,7 @@ class LineParser(HTMLParser):
         text = " ".join("".join(self.pieces).split())
         self.pieces.clear()
         if text:
-            self.lines.append(Line(text, self.tags, self.links, self.open[-1][2], any(tag == "h1" for tag, _, _ in self.open[-3:])))
+            self.lines.append(Line(text, self.tags, self.links, self.open[-1][2], next((_RANKS[tag] for tag, _, _ in self.open[-3:] if tag in _RANKS), 0)))
             self.tags = 0
         self.links = 0
 
@@ -221,7 +222,7 @@ class Region:
         while self.inside[at]:
             most = max(self.inside[at], key=lambda n: self.mass[n])
             own = self.mass[at] - self.mass[self.inside[at]].sum()
-            least = share if at else PAGE_SHARE
+            least = share if at or self.held[most] < 2 else PAGE_SHARE
             if self.mass[most] < least * self.mass[at] or own > (1 - share) * self.mass[at] or (at and self.held[most] < 2):
                 break
             at = most
@@ -251,16 +252,23 @@ class Region:
             # a block at the region's edge, without a dense line
             keep[k] = not (is_page or self.is_links[n] or (self.blocks[n].is_header and not self.has_title(n)))
         start = int(np.argmax(keep)) if keep.any() else 0
+        title = self.title_before(start) if keep.any() and not self.lines[start].rank else None
+        if title is not None:
+            keep[title:start] |= ~np.array([bool(self.is_links[x.block]) for x in self.lines[title:start]])
+        return keep
+
+    def title_before(self, start: int) -> int | None:
+        """The last heading of the first rank before the region, else of the second, with no dense line between."""
+        found: dict[int, int] = {}
         for k in range(start - 1, -1, -1):
             if self.dense[k]:
                 break
-            if self.lines[k].is_title and not self.is_page_header(self.lines[k].block):
-                keep[k:start] |= ~np.array([bool(self.is_links[x.block]) for x in self.lines[k:start]])
-                break
-        return keep
+            if self.lines[k].rank and not self.is_page_header(self.lines[k].block):
+                found.setdefault(self.lines[k].rank, k)
+        return found.get(1, found.get(2))
 
     def has_title(self, n: int) -> bool:
-        return any(x.is_title and self.is_under(x.block, n) for x in self.lines)
+        return any(x.rank == 1 and self.is_under(x.block, n) for x in self.lines)
 
     def is_under(self, n: int, above: int) -> bool:
         while n > above:

@@ -709,6 +709,21 @@ def test_html_drops_nothing_of_the_article():
     assert html_text.main_text(page).split("\n") == [long, long]
 
 
+def test_html_of_common_layouts():
+    long, short = ("The quick brown fox jumps over the lazy dog and runs away into the forest. " * 3).strip(), "A short line here."
+    layouts = {
+        f'<body><div id="wrapper"><div id="top"><span>Welcome</span></div><div id="main"><div class="post"><h2>Title</h2><div class="meta">By X</div><div class="body"><p>{long}</p><p>{long}</p><pre>code  x</pre></div><div class="tags"><a>t1</a> <a>t2</a></div></div></div><ol class="comment-list"><li>{long}</li></ol></div></body>': ["Title", "By X", long, long, "code x"],
+        f'<body><article><p>{long}</p><ins class="adsbygoogle">ad text</ins><div class="ad-banner">Buy now {long}</div><figure><img><figcaption>Cap</figcaption></figure><p>{short}</p></article><div id="cookie-banner">{long}</div><section id="reader-comments"><p>{long}</p></section></body>': [long, "Cap", short],
+        f"<body><div class=a>{long}</div><div class=a>{short}</div><div class=a>{long}<br>{short}</div></body>": [long, short, f"{long} {short}"],
+        f"<body><div id=w><h1>Site</h1><div id=n><a>x</a><a>y</a></div><div id=c><h1>Title</h1><p>{long}</p><p>{short}</p></div></div></body>": ["Title", long, short],
+        f"<body><div id=page><section><h2>A</h2><p>{long}</p></section><section><h2>B</h2><p>{short}</p></section><section><h2>C</h2><p>{long}</p></section></div></body>": ["A", long, "B", short, "C", long],
+        f'<body><div class="entry"><h1>T</h1><p>{long}</p></div><div id="disqus_thread"><p>{long}</p></div><div class="post-comments"><div class="comment"><p>{long}</p></div></div><div class="newsletter-signup"><p>{long}</p></div></body>': ["T", long],
+        f"<p>{long}<p>{short}<p>{long}": [long, short, long],
+    }
+    for page, want in layouts.items():
+        assert html_text.main_text(page).split("\n") == want
+
+
 def test_html_of_odd_tables(spark):
     schema = "page_id bigint, url string, html string, text string"
     assert html_text.extract_pages(spark.createDataFrame([], schema)).count() == 0
