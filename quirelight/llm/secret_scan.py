@@ -19,7 +19,6 @@ are read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable
 
