@@ -13,7 +13,7 @@ Menus, footers, sidebars, notices, adverts, forms, scripts, styles and reader co
 taken. A name counts if it is one of the known ones or one with a known ending (`share-buttons`, `comment-list`), so that `share-price` and `related-work` stay.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
-one newline. Defined cases: a null or empty page has an empty text, as has a page without content lines;
+one newline. Defined cases: a page whose whole text stands in a form is read as if that were a block; a null or empty page has an empty text, as has a page without content lines;
 unclosed tags end with their parent; equal rows get equal rows; an empty table gives an empty result; only
 the named columns are read.
 """
@@ -92,8 +92,9 @@ class Line:
 class LineParser(HTMLParser):
     """Collects lines and the blocks around them, boilerplate left out. Block 0 is the page."""
 
-    def __init__(self) -> None:
+    def __init__(self, never: frozenset[str] = _NEVER) -> None:
         super().__init__(convert_charrefs=True)
+        self.never, self.has_form = never, False
         self.lines: list[Line] = []
         self.blocks = [Block("", -1, -1, False)]
         self.pieces: list[str] = []
@@ -131,7 +132,8 @@ class LineParser(HTMLParser):
         self.open.append((tag, out, block))
 
     def is_boilerplate(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in _NEVER or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
+        self.has_form |= tag == "form"
+        if tag in self.never or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
             return True
         if tag in _PAGE:
             return False
@@ -283,11 +285,18 @@ class Region:
         return False
 
 
-def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD, share: float = SHARE, hint: float = HINT) -> str:
-    parser = LineParser()
+def parsed(html: str, never: frozenset[str]) -> LineParser:
+    parser = LineParser(never)
     parser.feed(html)
     parser.close()
     parser.flush()
+    return parser
+
+
+def main_text(html: str, sigma: float = SIGMA, threshold: float = THRESHOLD, share: float = SHARE, hint: float = HINT) -> str:
+    parser = parsed(html, _NEVER)
+    if not parser.lines and parser.has_form:
+        parser = parsed(html, _NEVER - {"form"} | {"label"})
     if not parser.lines:
         return ""
     keep = Region(parser.lines, parser.blocks, dense_lines(parser.lines, sigma, threshold), share, hint).kept()

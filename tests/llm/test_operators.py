@@ -720,6 +720,7 @@ def test_html_of_common_layouts():
         f'<body><div class="entry"><h1>T</h1><p>{long}</p></div><div id="disqus_thread"><p>{long}</p></div><div class="post-comments"><div class="comment"><p>{long}</p></div></div><div class="newsletter-signup"><p>{long}</p></div></body>': ["T", long],
         f"<p>{long}<p>{short}<p>{long}": [long, short, long],
     }
+    layouts[f'<body><form id="page"><div><h1>T</h1><p>{long}</p><label>Name</label><button>Go</button></div></form></body>'] = ["T", long]
     for page, want in layouts.items():
         assert html_text.main_text(page).split("\n") == want
 
