@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     decontamination,
+    exact_dedup,
     html_text,
     license_scan,
     minhash_dedup,
@@ -20,7 +21,7 @@ from . import (
     warc,
 )
 from .common import table
-from .oracles import OP2_SQL, OP6_SQL, OP7_SQL, OP8_SQL
+from .oracles import OP2_SQL, OP6_SQL, OP7_SQL, OP8_SQL, OP13_SQL
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +132,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
@@ -214,6 +219,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_source_mixing,
         op10_benchmark_decontamination,
+        op13_exact_dedup,
     )
 }
 SQL: dict[str, str] = {
@@ -225,4 +231,5 @@ SQL: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op9_source_mixing": OP9_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
