@@ -59,6 +59,53 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'r
        CASE WHEN first < page_id THEN first END AS refers_to FROM f
 """
 
+#: CRC-32 by its table of 256 entries, which is made by rule; near words by their deletions: one is a deletion of the other, or both have one at the same place.
+OP11_SQL = r"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) AS r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents WHERE text IS NOT NULL),
+d AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY 1, 2),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id || ':' || run, ''), lambda x:
+    CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(192 | (ord(x) >> 6) AS BIGINT), CAST(128 | (ord(x) & 63) AS BIGINT)] END))),
+    lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM d, crc),
+w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM h GROUP BY 1),
+v AS (SELECT word, n FROM w WHERE n >= 5 AND length(word) >= 6),
+x AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word AS word, b.word AS other FROM x a JOIN v b ON a.cut = b.word
+  UNION SELECT b.word, a.word FROM x a JOIN v b ON a.cut = b.word
+  UNION SELECT a.word, b.word FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-v.n, other)) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = other GROUP BY near.word),
+f AS (
+  SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS cur, 0 AS k FROM f UNION ALL SELECT up.word, f.form, k + 1 FROM up JOIN f ON f.word = up.cur WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(cur, k) AS root FROM up GROUP BY word)
+SELECT word, n, n_near, form, form_n, root FROM f JOIN root USING (word)
+"""
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents WHERE text IS NOT NULL),
+n AS (SELECT rid, doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+s AS (SELECT count(*) AS docs, CAST(coalesce(sum(n), 0) AS BIGINT) AS terms FROM n),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, docs),
+q AS (SELECT qid, item_id, unnest(list_distinct(ws)) AS term FROM (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS ws FROM benchmark WHERE text IS NOT NULL)),
+r AS (
+  SELECT qid, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (rid), s GROUP BY 1, 2, 3, 4)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 10
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256

@@ -15,13 +15,15 @@ from . import (
     minhash_dedup,
     quality_classifier,
     quality_rules,
+    ranked_search,
     secret_scan,
     source_mixing,
+    spelling_variants,
     url_filter,
     warc,
 )
 from .common import table
-from .oracles import OP2_SQL, OP6_SQL, OP7_SQL, OP8_SQL, OP13_SQL
+from .oracles import OP2_SQL, OP6_SQL, OP7_SQL, OP8_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +134,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -219,6 +229,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_source_mixing,
         op10_benchmark_decontamination,
+        op11_spelling_variants,
+        op12_ranked_search,
         op13_exact_dedup,
     )
 }
@@ -231,5 +243,7 @@ SQL: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op9_source_mixing": OP9_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
