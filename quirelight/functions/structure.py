@@ -44,37 +44,41 @@ def alias_keys(aliases: DataFrame) -> DataFrame:
 
 
 def _named(keys: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
-    """(key, exact, name) of the distinct keys that resolve. keys: (key, exact); exact ones must be an alias, not a name or the beginning of one."""
+    """(key, name) of the distinct keys that resolve."""
     wanted = F.lower(trim_all(F.col(key)))
-    ids = keys.distinct().select(key, "exact", F.explode(F.array_distinct(F.array(wanted, F.regexp_replace(wanted, SPACE + "+", "")))).alias("__key"))
-    found = ids.join(alias_keys(aliases).withColumnRenamed("key", "__key"), "__key").withColumn("name", F.when(F.col("exact"), F.col("own")).otherwise(F.col("name"))).where("name is not null")
-    return found.groupBy(key, "exact").agg(F.min_by("name", F.struct("tier", "name")).alias("name"))
+    ids = keys.distinct().select(key, F.explode(F.array_distinct(F.array(wanted, F.regexp_replace(wanted, SPACE + "+", "")))).alias("__key"))
+    found = ids.join(alias_keys(aliases).withColumnRenamed("key", "__key"), "__key").where("name is not null")
+    return found.groupBy(key).agg(F.min_by("name", F.struct("tier", "name")).alias("name"))
 
 
 def resolve_alias(df: DataFrame, key: str, aliases: DataFrame, out: str = "name") -> DataFrame:
     """df with the canonical name of its key, or null. One equi-join: prefixes are rows of the alias table."""
-    found = _named(df.select(key, F.lit(False).alias("exact")), key, aliases).select(F.col(key).alias("__k"), F.col("name").alias(out))
+    found = _named(df.select(key), key, aliases).select(F.col(key).alias("__k"), F.col("name").alias(out))
     return df.join(found, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
 
 
+def reference_candidates(text: str) -> str:
+    """SQL: an array of structs (n, exact, key, chapter, start, end), one or two for each form n that the SQL expression `text` has; a form is matched once and taken apart once."""
+    forms = []
+    for n, pattern in enumerate(REF_PATTERNS):
+        parts = "$2 1 999 $1" if n == _CHAPTER else "$2 $3 $3 $1" if n in _NO_LAST else "$2 $3 $4 $1"  # numbers have no blanks; the book, which may, comes last
+        keys = "transform(array(lower(btrim(g[3]))), k -> array_distinct(array(k, replace(k, ' ', ''))))[0]"
+        row = f"named_struct('n', {n}, 'exact', {n == _COMPACT}, 'key', k, 'chapter', try_cast(g[0] AS INT), 'start', try_cast(g[1] AS INT), 'end', try_cast(coalesce(nullif(g[2], ''), g[1]) AS INT))"
+        taken = f"transform(array(split(regexp_replace(t, r'{pattern}', '{parts}'), ' ', 4)), g -> transform({keys}, k -> {row}))[0]"
+        forms.append(f"CASE WHEN t RLIKE r'{pattern}' THEN {taken} END")
+    return f"transform(array(btrim(regexp_replace({text}, r'{SPACE}+', ' '))), t -> flatten(filter(array({', '.join(forms)}), x -> x IS NOT NULL)))[0]"
+
+
 def parse_refs(df: DataFrame, text: str, aliases: DataFrame, out: str = "ref") -> DataFrame:
     """df with a struct (book, chapter, start, end) of its free-text reference, or null.
 
-    A pattern whose book does not resolve falls through to the next.
+    A pattern whose book does not resolve falls through to the next. Compact references need an alias, not a name or the beginning of one.
     """
-    def candidates(t: Column) -> Column:
-        cands = []
-        for i, p in enumerate(REF_PATTERNS):
-            start = F.lit("1") if i == _CHAPTER else F.regexp_extract(t, p, 3)
-            end = F.lit("999") if i == _CHAPTER else start if i in _NO_LAST else F.coalesce(F.nullif(F.regexp_extract(t, p, 4), F.lit("")), start)
-            ints = [x.try_cast("int").alias(n) for x, n in ((F.regexp_extract(t, p, 2), "chapter"), (start, "start"), (end, "end"))]
-            cands.append(F.when(t.rlike(p), F.struct(F.lit(i).alias("n"), F.regexp_extract(t, p, 1).alias("raw"), *ints)))
-        return F.filter(F.array(*cands), lambda c: c.isNotNull())
-
-    texts = df.select(text).distinct().where(F.col(text).rlike("[0-9]"))  # every form has a number
-    found = texts.select(text, F.explode(bound(flat(F.col(text)), candidates)).alias("c")).select(text, "c.*", (F.col("c.n") == _COMPACT).alias("exact"))
-    named = found.join(_named(found.select("raw", "exact"), "raw", aliases).withColumnRenamed("name", "book"), ["raw", "exact"])
-    best = named.groupBy(F.col(text).alias("__t")).agg(F.min_by(F.struct("book", "chapter", "start", "end"), "n").alias(out))
+    texts = df.select(text).where(F.col(text).rlike("[0-9]")).distinct()  # every form has a number
+    found = texts.select(text, F.explode(F.expr(reference_candidates(f"`{text}`"))).alias("c"))
+    keys = alias_keys(aliases).select(F.col("key").alias("__key"), "tier", "name", "own")
+    named = found.join(keys, F.col("c.key") == F.col("__key")).withColumn("book", F.when(F.col("c.exact"), F.col("own")).otherwise(F.col("name"))).where("book is not null")
+    best = named.groupBy(F.col(text).alias("__t")).agg(F.min_by(F.struct("book", "c.chapter", "c.start", "c.end"), F.struct("c.n", "tier", "book")).alias(out))
     return df.join(best, F.col(text).eqNullSafe(F.col("__t")), "left").drop("__t")
 
 

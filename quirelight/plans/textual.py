@@ -215,14 +215,19 @@ def _aliases(spark, sf):
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN k < 6 THEN 'Boek' || chr(CAST(65 + l_suppkey % 25 AS INTEGER)) END AS book, CASE WHEN k < 6 THEN l_orderkey % 50 + 1 END AS chapter,
 CASE WHEN k = 2 THEN 1 WHEN k < 6 THEN l_linenumber END AS start, CASE WHEN k IN (0, 5) THEN l_linenumber + 2 WHEN k = 2 THEN 999 WHEN k < 6 THEN l_linenumber END AS "end" FROM (SELECT *, l_orderkey % 7 AS k FROM lineitem)""")
 def tx1_parse_refs(spark, sf):
+    li, aliases = _references(spark, sf)
+    return structure.parse_refs(li, "q", aliases).select("l_orderkey", "l_linenumber", "ref.*")
+
+
+def _references(spark, sf):
+    """(l_orderkey, l_linenumber, q: a reference in one of seven forms), and the books' aliases."""
     name = F.concat(F.lit("Boek"), F.char(65 + F.col("n_nationkey")))
     aliases = t(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.lower(name).alias("alias"), name.alias("name"))
     book = F.concat(F.lit("Boek"), F.char(65 + F.col("l_suppkey") % 25))
     c, v, w = ((x).cast("string") for x in (F.col("l_orderkey") % 50 + 1, F.col("l_linenumber"), F.col("l_linenumber") + 2))
     forms = [F.concat(book, F.lit(" "), c, F.lit(":"), v, F.lit("-"), w), F.concat(F.lower(book), F.lit(" "), c, F.lit(" vers "), v), F.concat(book, F.lit("\u00a0 "), c), F.concat(book, F.lit(". "), c, F.lit(":"), v), F.concat(F.lower(book), c, F.lit(","), v)]
     forms += [F.concat(book, F.lit(" "), c, F.lit(" "), v, F.lit(" t/m "), w), F.concat(F.lit("Geen "), c, F.lit(":"), v)]
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.get(F.array(*forms), (F.col("l_orderkey") % 7).cast("int")).alias("q"))
-    return structure.parse_refs(li, "q", aliases).select("l_orderkey", "l_linenumber", "ref.*")
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.get(F.array(*forms), (F.col("l_orderkey") % 7).cast("int")).alias("q")), aliases
 
 
 @query("WITH a AS (SELECT n_nationkey AS ord, lower(substr(n_name, 1, 4)) AS alias, n_name AS name FROM nation), q AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(substr(n_name, 1, 4)) WHEN 2 THEN lower(substr(n_name, 1, 2)) ELSE 'zz' || n_name END AS k FROM part JOIN nation ON n_nationkey = p_partkey % 25) SELECT p_partkey, coalesce((SELECT max(name) FROM a WHERE lower(name) = lower(k)), (SELECT arg_min(name, ord) FROM a WHERE alias = lower(k)), (SELECT arg_min(name, ord) FROM a WHERE starts_with(alias, lower(k)))) AS name FROM q")
@@ -483,3 +488,12 @@ def fn3_paragraph_function(spark, sf):
     registry.register_table_functions(spark)
     t(spark, sf, "documents").createOrReplaceTempView("corpus_documents")
     return spark.sql("SELECT doc_id, pos, para FROM corpus_documents, LATERAL text_paragraphs(text)")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'Boek' || chr(CAST(65 + l_suppkey % 25 AS INTEGER)) AS book, l_orderkey % 50 + 1 AS chapter,
+CASE WHEN k = 2 THEN 1 ELSE l_linenumber END AS start, CASE WHEN k IN (0, 5) THEN l_linenumber + 2 WHEN k = 2 THEN 999 ELSE l_linenumber END AS "end" FROM (SELECT *, l_orderkey % 7 AS k FROM lineitem) WHERE k < 6""")
+def fn3_reference_function(spark, sf):
+    li, aliases = _references(spark, sf)
+    registry.register_references(spark, aliases)
+    li.createOrReplaceTempView("corpus_references")
+    return spark.sql("SELECT l_orderkey, l_linenumber, r.* FROM corpus_references, LATERAL refs(q) AS r")

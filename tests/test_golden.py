@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirelight.functions import search, structure, text
+from quirelight.functions import registry, search, structure, text
 from quirelight.operators import aggregates, filters, joins, ordering, setops, windows
 from quirelight.sources import tables as io
 from quirelight.streaming import feeds
@@ -37,6 +37,23 @@ def test_references(spark, aliases):
     got = {r.q: r.ref and tuple(r.ref) for r in structure.parse_refs(spark.createDataFrame([(k,) for k in want], "q string"), "q", aliases).collect()}
     assert got == want
 
+    # the table function of SQL gives the same
+    registry.register_references(spark, aliases)
+    spark.createDataFrame([(k,) for k in want], "q string").createOrReplaceTempView("asked")
+    rows = spark.sql("SELECT q, book, chapter, start, `end` FROM asked LEFT JOIN LATERAL refs(q)").collect()
+    assert {r.q: r.book and tuple(r)[1:] for r in rows} == want and len(rows) == len(want)
+    assert {r.q for r in spark.sql("SELECT q FROM asked, LATERAL refs(q)").collect()} == {k for k, v in want.items() if v}
+
+
+def test_paragraph_function_equals_paragraphs(spark):
+    nb, long = "\u00a0", "Een zin van enige lengte. " * 60
+    docs = [f"een{nb}\n{nb}\n twee", f"{nb}een\ntwee{nb}\n\n\n drie", long, nb + long + nb, "x", "", "  ", None, "a\n\u2003\nb", "één\ufeff\n\ntwee", "it's 'quoted'\\n", "w" * 1700]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    df.createOrReplaceTempView("some_texts")
+    registry.register_table_functions(spark)
+    got = spark.sql("SELECT doc_id, pos, para FROM some_texts, LATERAL text_paragraphs(text)").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, structure.paragraphs(df, "doc_id", "text").collect())) and len(got) > 15
+
 
 def test_format_and_shift(spark):
     row = lambda c, s, e: spark.createDataFrame([(c, s, e)], "c int, s int, e int")
