@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, setops
-from ..streaming import feeds
-from .registry import query
+from ..streaming import feeds, stateful
+from .registry import SQL, query
 from .registry import table as t
 
 _PRESENCE = {"signup": "join", "click": "join", "error": "leave"}
@@ -61,6 +61,12 @@ def st6_recent_distinct(spark, sf):
     return feeds.recent_distinct(t(spark, sf, "events").select("user_id", "event_type", "ts"), "user_id", "event_type", "ts", 3)
 
 
+@query("SELECT user_id, event_type, ts, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS place FROM (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY 1, 2)) WHERE place <= 3")
+def st6_recent_stream(spark, sf):
+    recent = stateful.recent_stream(feeds.read_stream(spark, sf, "events"), "user_id", "event_type", "ts", 3)
+    return feeds.drain_updates(recent, ["user_id", "place"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("SELECT user_id, event_type FROM events GROUP BY 1, 2 HAVING count(*) % 2 = 1")
 def st7_toggles(spark, sf):
     keys = ["user_id", "event_type"]
@@ -77,6 +83,12 @@ def st8_ttl_dedup(spark, sf):
 r AS (SELECT event_id, user_id, rn, t AS kept, false AS hit FROM e WHERE rn = 1
 UNION ALL SELECT e.event_id, e.user_id, e.rn, CASE WHEN e.t - r.kept < 21600000000 THEN r.kept ELSE e.t END, e.t - r.kept < 21600000000 FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
 SELECT user_id, event_id, hit FROM r""")
+def st8_ttl_stream(spark, sf):
+    """The cache of st8_ttl_hits as a stream; a key's time to live of six hours is over many times in the data."""
+    return feeds.drain(stateful.cache_stream(feeds.read_stream(spark, sf, "events"), "user_id", "ts", "event_id", 6 * 3600))
+
+
+@query(SQL["st8_ttl_stream"])
 def st8_ttl_hits(spark, sf):
     return feeds.ttl_hits(t(spark, sf, "events"), "user_id", "ts", "event_id", 6 * 3600)
 
@@ -86,6 +98,13 @@ r AS (SELECT event_id, user_id, k, rn, [{'k': k, 't': t}] AS kept, false AS hit
 UNION ALL SELECT event_id, user_id, k, rn, CASE WHEN hit THEN kept ELSE list_concat(list_filter(kept, lambda x: x.k <> k), [{'k': k, 't': t}])[-2:] END, hit
 FROM (SELECT e.*, r.kept, len(list_filter(r.kept, lambda x: x.k = e.k AND e.t - x.t < 604800000000)) > 0 AS hit FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
 SELECT k AS event_type, event_id, hit FROM r""")
+def st8_bounded_stream(spark, sf):
+    """The cache of st8_bounded_hits as a stream."""
+    cache = stateful.cache_stream(feeds.read_stream(spark, sf, "events"), "event_type", "ts", "event_id", 7 * 24 * 3600, client="user_id", most_keys=2)
+    return feeds.drain(cache).select("event_type", "event_id", "hit")
+
+
+@query(SQL["st8_bounded_stream"])
 def st8_bounded_hits(spark, sf):
     return feeds.ttl_hits(t(spark, sf, "events"), "event_type", "ts", "event_id", 7 * 24 * 3600, client="user_id", most_keys=2)
 

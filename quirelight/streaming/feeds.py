@@ -1,12 +1,13 @@
 """Structured Streaming jobs: change feed, topics, presence, history, toggles and time-to-live dedup.
 
-Each job has a batch twin with equal results. Streams are read from Parquet folders and drained with
-availableNow into Parquet in the shared checkpoint folder, so nothing passes through the driver.
+Streams are read from Parquet folders and drained with availableNow into Parquet in the shared checkpoint folder, so nothing passes through the
+driver. The history (`recent_distinct`) and the cache (`ttl_hits`) are batch functions; their streaming twins, with equal rows, are in stateful.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,24 +26,38 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """All that an append-mode stream gives for what is there now."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/offsets").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB, which processors of their own need."""
+    name, on_disk = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, on_disk)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All that an append-mode stream gives for what is there now. folder: where it was drained before, and goes on."""
+    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
+    with _state_on_disk(spark):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/offsets").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row of each key that an update-mode stream gives for what is there now."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+def drain_updates(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """The last row of each key that an update-mode stream gives for what is there now. folder: where it was drained before, and goes on."""
+    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
     rows = f"{folder}/rows"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{rows}/__batch=-1")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{rows}/__batch=-1")
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{rows}/__batch={batch}")  # a batch that is tried again replaces what it wrote
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/offsets").foreachBatch(write).trigger(availableNow=True).start()
+    with _state_on_disk(spark):
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/offsets").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
     w = Window.partitionBy(*keys).orderBy(F.col("__batch").desc())
     schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
@@ -116,9 +131,9 @@ def presence_state(stream: DataFrame, key: str, ref: str, action: str, ts: str,
 def recent_distinct(events: DataFrame, user: str, value: str, ts: str, n: int) -> DataFrame:
     """(user, value, ts, place): each user's last n different values, newest first; case does not count."""
     last = events.groupBy(user, F.lower(value).alias("__l")).agg(F.max(F.struct(ts, value)).alias("m"))
-    rows = last.select(user, F.col(f"m.{value}").alias(value), F.col(f"m.{ts}").alias(ts))
-    w = Window.partitionBy(user).orderBy(F.col(ts).desc(), value)
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    rows = last.select(user, F.col(f"m.{value}").alias(value), F.col(f"m.{ts}").alias(ts), "__l")
+    w = Window.partitionBy(user).orderBy(F.col(ts).desc(), "__l")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("__l")
 
 
 def toggle_stream(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -127,7 +142,10 @@ def toggle_stream(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 
 def ttl_dedup(stream: DataFrame, keys: list[str], ts: str, ttl: str = "300 seconds") -> DataFrame:
-    """The stream without rows whose key came within the time to live before; event time."""
+    """The stream with one row of each key until the watermark, which is the time to live behind, has passed that row: native, with state as small as the keys.
+
+    That is not the cache's rule, by which a key is new again at once when its time is over: `stateful.cache_stream` has that.
+    """
     return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
