@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ from .common import ROWS_AT_ONCE, Scratch
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 DROP_ONE_IN = 199  # runs that lose a letter, by their hash
 SHARD_WORDS = 1 << 15
-_HELD_WORDS = 200_000  # different words that a task counts before it passes their counts on
-_SEARCH_AT_ONCE = 2_000
+_HELD_WORDS = 100_000  # different words that a task counts before it passes their counts on
+_SEARCH_AT_ONCE = 500
 
 # Latin-1 bytes: A-Z to a-z, a-z and 0xC0 to 0xFF as they are, and everything else a blank. Code points beyond are '?' in Latin-1, and so blanks.
 _RUNS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
@@ -183,10 +184,8 @@ def search_shard(rows: pa.Table) -> pa.Table:
     backwards = rows["side"][0].as_py() == "left"
     turn = (lambda w: w[::-1]) if backwards else (lambda w: w)
     count = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
-    asks = rows["asks"].to_pylist()
-    all_words = rows["word"].to_pylist()
-    index = FMIndex(sorted({turn(w) for w, a in zip(all_words, asks, strict=True) if not a}))
-    queries = sorted({turn(w) for w, a in zip(all_words, asks, strict=True) if a})
+    asks, held = (rows.filter(pc.equal(rows["asks"], a))["word"].unique().to_pylist() for a in (True, False))
+    index, queries = FMIndex(sorted(map(turn, held))), sorted(map(turn, asks))
     near: dict[str, tuple[int, int, str]] = {}
     for at in range(0, len(queries), _SEARCH_AT_ONCE):
         some = queries[at : at + _SEARCH_AT_ONCE]
@@ -218,7 +217,7 @@ def _shards(words: DataFrame, scratch: Scratch, shard_words: int) -> DataFrame:
     asked = asked.join(hot, ["side", "half"], "left").select("side", "half", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("asks"), "word", "n")
     spread = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * words.count() // shard_words))
     shard = F.when(F.col("parts") > 1, F.concat_ws("-", "half", "part")).otherwise(F.pmod(F.xxhash64("half"), F.lit(spread)).cast("string"))
-    return held.union(asked).select("side", shard.alias("shard"), "asks", "word", "n").distinct()
+    return held.union(asked).select("side", shard.alias("shard"), "asks", "word", "n")  # a word may come to a shard by both of its halves
 
 
 def near_words(words: DataFrame, scratch: Scratch | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
