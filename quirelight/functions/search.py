@@ -1,4 +1,4 @@
-"""Full-text search on token arrays, unstemmed."""
+"""Full-text search on token arrays; search_index has the same on an index."""
 
 from __future__ import annotations
 
@@ -26,22 +26,18 @@ def _phrase(toks: Column, words: list[str]) -> Column:
     return F.contains(F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" ")), F.lit(f" {' '.join(words)} "))
 
 
-def condition(toks: Column, query: str, mode: str = "websearch") -> Column:
-    """A predicate on a token array.
+def clauses(query: str, mode: str = "websearch") -> list[list[tuple[bool, list[str]]]]:
+    """What a query asks for: every group, of which any part (minus: is forbidden, words that follow one another) is enough. Without words, no group.
 
     plain: all words. phrase: the words in a row. websearch: words and "phrases" are all asked for, `or` between
-    two of them asks for either, a minus forbids. A query without words finds nothing.
+    two of them asks for either, a minus forbids.
     """
     if mode not in ("plain", "phrase", "websearch"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode != "websearch":
         words = _words(query)
-        return F.lit(False) if not words else bound(toks, lambda t: _phrase(t, words) if mode == "phrase" else reduce(Column.__and__, [_phrase(t, [w]) for w in words]))
-    return bound(toks, lambda t: _websearch(t, query))
-
-
-def _websearch(toks: Column, query: str) -> Column:
-    wanted: list[Column] = []
+        return [[(False, words)]] if words and mode == "phrase" else [[(False, [w])] for w in words]
+    wanted: list[list[tuple[bool, list[str]]]] = []
     either = False
     for minus, quoted, bare in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
         if bare.lower() == "or" and not minus:
@@ -49,14 +45,21 @@ def _websearch(toks: Column, query: str) -> Column:
             continue
         words = _words(quoted or bare)
         if words:
-            cond = _phrase(toks, words)
-            cond = ~cond if minus else cond
             if either:
-                wanted[-1] = wanted[-1] | cond
+                wanted[-1].append((bool(minus), words))
             else:
-                wanted.append(cond)
+                wanted.append([(bool(minus), words)])
         either = False
-    return reduce(Column.__and__, wanted) if wanted else F.lit(False)
+    return wanted
+
+
+def condition(toks: Column, query: str, mode: str = "websearch") -> Column:
+    """A predicate on a token array: what clauses() asks for. A query without words finds nothing."""
+    asked = clauses(query, mode)
+    if not asked:
+        return F.lit(False)
+    part = lambda t, minus, words: ~_phrase(t, words) if minus else _phrase(t, words)
+    return bound(toks, lambda t: reduce(Column.__and__, [reduce(Column.__or__, [part(t, *p) for p in group]) for group in asked]))
 
 
 def may_match(text: Column, query: str, mode: str = "websearch") -> Column:
@@ -73,7 +76,7 @@ def text_search(df: DataFrame, text: str, query: str, mode: str = "websearch", l
     toks = tokens(F.col(text))
     if lang is None:
         return df.where(may_match(F.col(text), query, mode) & condition(toks, query, mode))
-    asked = re.sub(r"[^\W\d_]+", lambda m: m[0] if m[0].lower() == "or" else stem_word(m[0].lower(), lang), query)
+    asked = re.sub(r"[^\W_]+", lambda m: m[0] if m[0].lower() == "or" else stem_word(m[0].lower(), lang), query)
     return df.withColumn("__toks", stemmed(toks, lang)).where(condition(F.col("__toks"), asked, mode)).drop("__toks")
 
 

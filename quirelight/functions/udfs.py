@@ -10,7 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Inflectional endings by language, longest first. A stem keeps three letters or more.
+from .stemmers import STEMMERS
+
+# Inflectional endings by language code, longest first, for light stemming. A stem keeps three letters or more. STEMMERS has languages by name.
 ENDINGS = {
     "nl": ("heden", "ingen", "eren", "en", "er", "es", "je", "e", "s"),
     "en": ("ingly", "edly", "ings", "ing", "ies", "ed", "ly", "es", "s"),
@@ -27,6 +29,9 @@ def fold_all(texts: pd.Series) -> pd.Series:
 
 
 def stem_word(word: str, lang: str) -> str:
+    """By the stemmer of a language's name ("english", "dutch"), or the light one of a code ("en", "nl", "de", "fr", "es")."""
+    if lang in STEMMERS:
+        return STEMMERS[lang](word)
     for ending in ENDINGS[lang]:
         if word.endswith(ending) and len(word) - len(ending) >= 3:
             return word[: -len(ending)]
@@ -34,9 +39,9 @@ def stem_word(word: str, lang: str) -> str:
 
 
 def stemmed(tokens: Column, lang: str) -> Column:
-    """A token array with each word's longest known ending taken off. Words are stemmed once per batch."""
-    if lang not in ENDINGS:
-        raise ValueError(f"no endings for {lang!r}; there are {sorted(ENDINGS)}")
+    """A token array with each word as its stem. Words are stemmed once per batch."""
+    if lang not in ENDINGS and lang not in STEMMERS:
+        raise ValueError(f"no stemmer for {lang!r}; there are {sorted([*ENDINGS, *STEMMERS])}")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def stems(arrays: pd.Series) -> pd.Series:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import registry, search, structure, text, udfs, vectors
+from ..functions import registry, search, search_index, structure, text, udfs, vectors
 from ..operators import filters, joins, setops, windows
-from .registry import query
+from ..sources.shared import Scratch, shared_folder
+from .registry import SQL, query
 from .registry import table as t
 
 
@@ -292,6 +293,68 @@ def tx6_stemmed_search(spark, sf):
     return search.text_search(_docs(spark, sf, "text"), "text", "Onaning", "plain", lang="en").select("doc_id")
 
 
+# Dutch stems, worked out again in SQL, step by step
+_DUTCH = r"""WITH v AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents),
+a AS (SELECT word, regexp_replace(regexp_replace(regexp_replace(translate(word, 'äëïöüáéíóú', 'aeiouaeiou'), '(^|[aeiouyè])y', '\1Y', 'g'), '([aeiouyè])i([aeiouyè])', '\1I\2', 'g'), '([aeiouyè])i([aeiouyè])', '\1I\2', 'g') AS w FROM v WHERE word <> ''),
+p AS (SELECT *, coalesce(nullif(length(regexp_extract(w, '^.*?[aeiouyè][^aeiouyè]')), 0), length(w)) AS p FROM a),
+r AS (SELECT *, greatest(3, p) AS r1, p + coalesce(nullif(length(regexp_extract(substr(w, p + 1), '^.*?[aeiouyè][^aeiouyè]')), 0), length(w) - p) AS r2 FROM p),
+s1 AS (SELECT *, regexp_extract(w, '(heden|ene|en|se|s)$', 1) AS e, substr(w, 1, length(w) - length(regexp_extract(w, '(heden|ene|en|se|s)$', 1))) AS stem FROM r),
+t1 AS (SELECT word, r1, r2, CASE WHEN e = '' OR length(stem) < r1 THEN w WHEN e = 'heden' THEN stem || 'heid'
+  WHEN e IN ('en', 'ene') THEN CASE WHEN regexp_matches(stem, '[^aeiouyè]$') AND NOT ends_with(stem, 'gem') THEN stem ELSE w END
+  WHEN regexp_matches(stem, '[^aeiouyèj]$') THEN stem ELSE w END AS w, e IN ('en', 'ene') AND length(stem) >= r1 AND regexp_matches(stem, '[^aeiouyè]$') AND NOT ends_with(stem, 'gem') AS en FROM s1),
+u1 AS (SELECT word, r1, r2, CASE WHEN en AND regexp_matches(w, '(kk|dd|tt)$') THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM t1),
+t2 AS (SELECT *, ends_with(w, 'e') AND length(w) - 1 >= r1 AND regexp_matches(w, '[^aeiouyè]e$') AS e_went FROM u1),
+v2 AS (SELECT word, r1, r2, e_went, CASE WHEN e_went AND regexp_matches(w, '(kk|dd|tt)e$') THEN substr(w, 1, length(w) - 2) WHEN e_went THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM t2),
+t3 AS (SELECT *, ends_with(w, 'heid') AND length(w) - 4 >= r2 AND NOT ends_with(w, 'cheid') AS h FROM v2),
+u3 AS (SELECT word, r1, r2, e_went, h, CASE WHEN h THEN substr(w, 1, length(w) - 4) ELSE w END AS w FROM t3),
+w3 AS (SELECT word, r1, r2, e_went, h AND ends_with(w, 'en') AND length(w) - 2 >= r1 AND regexp_matches(w, '[^aeiouyè]en$') AND NOT ends_with(w, 'gemen') AS en, w FROM u3),
+x3 AS (SELECT word, r1, r2, e_went, CASE WHEN en AND regexp_matches(w, '(kk|dd|tt)en$') THEN substr(w, 1, length(w) - 3) WHEN en THEN substr(w, 1, length(w) - 2) ELSE w END AS w FROM w3),
+s4 AS (SELECT *, regexp_extract(w, '(end|ing|ig|lijk|baar|bar)$', 1) AS e, substr(w, 1, length(w) - length(regexp_extract(w, '(end|ing|ig|lijk|baar|bar)$', 1))) AS stem FROM x3),
+t4 AS (SELECT word, r1, CASE WHEN e = '' OR length(stem) < r2 THEN w
+  WHEN e IN ('end', 'ing') THEN CASE WHEN ends_with(stem, 'ig') AND length(stem) - 2 >= r2 AND NOT ends_with(stem, 'eig') THEN substr(stem, 1, length(stem) - 2) WHEN regexp_matches(stem, '(kk|dd|tt)$') THEN substr(stem, 1, length(stem) - 1) ELSE stem END
+  WHEN e = 'ig' THEN CASE WHEN ends_with(stem, 'e') THEN w ELSE stem END
+  WHEN e = 'lijk' THEN CASE WHEN length(stem) - 1 >= r1 AND regexp_matches(stem, '(kk|dd|tt)e$') THEN substr(stem, 1, length(stem) - 2) WHEN length(stem) - 1 >= r1 AND regexp_matches(stem, '[^aeiouyè]e$') THEN substr(stem, 1, length(stem) - 1) ELSE stem END
+  WHEN e = 'baar' OR e_went THEN stem ELSE w END AS w FROM s4),
+stem AS (SELECT word, lower(CASE WHEN regexp_matches(w, '[^aeiouyè](aa|ee|oo|uu)[^aeiouyèI]$') THEN substr(w, 1, length(w) - 2) || right(w, 1) ELSE w END) AS stem FROM t4)
+"""
+_DUTCH_HITS = _DUTCH + "SELECT doc_id FROM documents WHERE list_has_any(" + _W + ", (SELECT list(word) FROM stem WHERE stem = 'onan'))"
+
+
+@query(_DUTCH_HITS)
+def tx6_dutch_search(spark, sf):
+    return search.text_search(_docs(spark, sf, "text"), "text", "Onanen", "plain", lang="dutch").select("doc_id")
+
+
+def _indexed(spark, sf, query, mode="websearch", lang=None):
+    """The documents that an index over all texts finds; the index goes when its hits are written."""
+    scratch, path = Scratch(spark), shared_folder(spark)
+    search_index.write_index(_docs(spark, sf, "text"), "doc_id", "text", path, lang)
+    hits = scratch.keep(search_index.search_index(spark, path, query, mode))
+    scratch.remove(path)
+    return hits.select(F.col("key").alias("doc_id"))
+
+
+@query(SQL["tx6_text_search"])
+def tx6_index_search(spark, sf):
+    return _indexed(spark, sf, 'the with or from -license "of the"')
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_W}, ' ') || ' ', ' in the of ')")
+def tx6_index_phrase(spark, sf):
+    return _indexed(spark, sf, "in the OF", "phrase")
+
+
+@query(f"SELECT doc_id FROM documents WHERE NOT list_contains({_W}, 'the') AND (NOT list_contains({_W}, 'de') OR list_contains({_W}, 'und'))")
+def tx6_index_without(spark, sf):
+    """Only what is forbidden: documents without any of the asked terms are hits too."""
+    return _indexed(spark, sf, "-the -de or und")
+
+
+@query(_DUTCH_HITS)
+def tx6_index_dutch(spark, sf):
+    return _indexed(spark, sf, "Onanen", "plain", "dutch")
+
+
 @query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(" + _W + ") AS term FROM documents) WHERE term <> '' GROUP BY 1")
 def tx6_token_table(spark, sf):
     return search.token_table(_docs(spark, sf, "text"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
