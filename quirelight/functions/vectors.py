@@ -84,20 +84,22 @@ class _Best:
         self.least = np.full(len(ids), -np.inf)  # a score that is lower is none of the k best
         self.query, self.key, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def see(self, keys: np.ndarray, m: np.ndarray) -> None:
+    def see(self, keys: np.ndarray, m: np.ndarray, only: np.ndarray | None = None) -> None:
+        """only: the places of the queries that are to meet these vectors; by default all."""
         at, step = 0, max(64, 2 * self.k)  # the first few give the bounds for the rest
+        only = np.arange(len(self.ids)) if only is None else only
         while at < len(keys):
-            self._see(keys[at : at + step], m[at : at + step])
+            self._see(keys[at : at + step], m[at : at + step], only)
             at, step = at + step, ROWS_AT_ONCE
 
-    def _see(self, keys: np.ndarray, m: np.ndarray) -> None:
-        a = self.asked
+    def _see(self, keys: np.ndarray, m: np.ndarray, only: np.ndarray) -> None:
+        a = self.asked[only]
         if self.metric == "l2":
             score = -np.sqrt(np.maximum((a**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * a @ m.T, 0))
         else:
             score = a @ (_unit(m) if self.metric == "cosine" else m).T
-        q, v = np.nonzero(score >= self.least[:, None])
-        query, key, score = (np.concatenate(x) for x in ((self.query, q), (self.key, keys[v]), (self.score, score[q, v])))
+        q, v = np.nonzero(score >= self.least[only][:, None])
+        query, key, score = (np.concatenate(x) for x in ((self.query, only[q]), (self.key, keys[v]), (self.score, score[q, v])))
         order = np.lexsort((key, -score, query))
         query = query[order]
         first = np.searchsorted(query, query)
@@ -105,7 +107,7 @@ class _Best:
         self.query, self.key, self.score = query[kept], key[order][kept], score[order][kept]
         n = np.bincount(self.query, minlength=len(self.ids))
         full = np.flatnonzero(n >= self.k)
-        self.least[full] = self.score[np.cumsum(n)[full] - 1]
+        self.least[full] = np.maximum(self.least[full], self.score[np.cumsum(n)[full] - 1])
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import registry, search, search_index, structure, text, udfs, vectors
+from ..functions import registry, search, search_index, structure, text, udfs, vector_index, vectors
 from ..operators import filters, joins, setops, windows
 from ..sources.shared import Scratch, shared_folder
 from .registry import SQL, query
@@ -508,6 +508,42 @@ def vx4_query_l2(spark, sf):
     return vectors.query_vectors(v, v.where("vec_id % 50 = 0"), 10, "l2").withColumn("score", F.round("score", 5) + F.lit(0.0))  # no negative zero
 
 
+def _vector_index(spark, sf, metric):
+    path = shared_folder(spark)
+    vector_index.write_vectors(_vectors(spark, sf), path, metric)
+    return path
+
+
+def _by_index(spark, sf, metric, probe=None):
+    path = _vector_index(spark, sf, metric)
+    found = vector_index.query_index(spark, path, _vectors(spark, sf).where("vec_id % 50 = 0"), 10, probe)  # its rows are written
+    Scratch(spark).remove(path)
+    return found
+
+
+@query(SQL["vx4_query_cosine"])
+def vx4_index_cosine(spark, sf):
+    return _by_index(spark, sf, "cosine").withColumn("score", F.round("score", 5))
+
+
+@query(SQL["vx4_query_l2"])
+def vx4_index_l2(spark, sf):
+    return _by_index(spark, sf, "l2").withColumn("score", F.round("score", 5) + F.lit(0.0))
+
+
+@query("SELECT count(*) AS n_queries, 10 * count(*) AS n_true, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def vx4_index_recall(spark, sf):
+    """Whether approximate queries, by as many cells as calibration says, find nine tenths of the exact neighbours."""
+    v, path = _vectors(spark, sf), _vector_index(spark, sf, "cosine")
+    asked = v.where("vec_id % 50 = 0")
+    probe = vector_index.calibrate(spark, path, target=0.99)  # the queries are few, and their recall strays from the measured one
+    found = vector_index.query_index(spark, path, asked, 10, probe).select("query_id", "vec_id", F.lit(True).alias("found"))
+    Scratch(spark).remove(path)
+    exact = vectors.query_vectors(v, asked, 10).select("query_id", "vec_id")
+    met = exact.join(found, ["query_id", "vec_id"], "left")
+    return met.agg(F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_true"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0")
 def vx5_delete_vectors(spark, sf):
     v = _vectors(spark, sf)
