@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,9 +87,11 @@ def complete(prefixes: DataFrame, prefix: str, names: DataFrame, aliases: DataFr
     typed = prefixes.select(prefix).distinct().where(~F.col(prefix).rlike(r"[0-9]+\s*[:.,]\s*[0-9]+|(?i:\s+[0-9]+\s+(?:vers|v)\s)") & (F.length(F.trim(prefix)) > 0))
     keys = names.select("name", "ord", F.lower("name").alias("k"), F.lit(0).alias("kind")).union(aliases.select("name", "ord", F.lower("alias"), F.lit(1)))
     grams = keys.select("name", "ord", "kind", F.explode(F.transform(F.sequence(F.lit(1), F.length("k")), lambda i: F.substring("k", F.lit(1), i))).alias("__k"))
-    hits = typed.join(grams, F.lower(F.trim(prefix)) == F.col("__k")).groupBy(prefix, "name").agg(F.min(F.struct("kind", "ord")).alias("o"))
-    listed = hits.groupBy(prefix).agg(F.slice(F.sort_array(F.collect_list(F.struct("o", "name"))), 1, n).alias("l"))
-    return listed.select(prefix, F.posexplode("l.name").alias("place", "value"))
+    asked = typed.select(prefix, F.lower(F.trim(prefix)).alias("__k"))
+    found = grams.join(asked.select("__k").distinct(), "__k", "left_semi").groupBy("__k", "name").agg(F.min(F.struct("kind", "ord")).alias("o"))
+    # ranks are cut in each task before rows move: at most n a prefix and task
+    best = found.withColumn("nth", F.row_number().over(Window.partitionBy("__k").orderBy("o", "name"))).where(F.col("nth") <= n)
+    return asked.join(best, "__k").select(prefix, (F.col("nth") - 1).alias("place"), F.col("name").alias("value"))
 
 
 def entity_keys(entities: DataFrame) -> DataFrame:

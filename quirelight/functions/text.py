@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,10 +13,6 @@ from pyspark.sql import functions as F
 #: White space as browsers understand it, and as a class of literal characters: Java's \\s and RE2's lack some of them.
 SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-#: Latin letters with marks, and what they are without; composed form.
-_MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
-
 Rule = tuple[str, str]
 
 
@@ -31,9 +29,39 @@ def flat(col: Column) -> Column:
     return trim_all(bound(col, lambda c: F.when(is_ascii(c), F.regexp_replace(c, r"\s+", " ")).otherwise(F.regexp_replace(c, f"{SPACE}+", " "))))
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What letters of the basic plane, in lower case, are when they are taken apart (NFD) and lose the marks U+0300 to U+036F: those that become one letter, and those that become several."""
+    one, several = {}, {}
+    for point in (*range(0xD800), *range(0xE000, 0x10000)):
+        low = chr(point).lower()
+        plain = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", chr(point))).lower()
+        if len(low) == 1 and plain not in ("", low) and not "\uac00" <= low <= "\ud7a3":
+            (one if len(plain) == 1 else several)[low] = plain
+    return one, several
+
+
+_ONE, _SEVERAL = _folds()
+
+
+def _hangul(c: Column) -> Column:
+    """A Hangul syllable as its two or three parts, by the rule of its code point."""
+    n = F.ascii(c) - 0xAC00
+    part = lambda point: F.decode(F.unhex(F.hex(point)), "UTF-16BE")
+    last = F.when(n % 28 > 0, part(F.lit(0x11A7) + n % 28)).otherwise("")
+    return F.concat(part(F.floor(n / 588) + 0x1100), part(F.floor(n % 588 / 28) + 0x1161), last)
+
+
 def fold(col: Column) -> Column:
-    """Lower case without combining marks; Latin letters are taken apart by table."""
-    return F.translate(F.regexp_replace(F.lower(col), "[̀-ͯ]", ""), _MARKED, _PLAIN)
+    """Lower case without combining marks, for all letters of the basic plane: as NFD without U+0300 to U+036F has it.
+
+    Most letters are replaced by a table made from Unicode's own data. Those that become several are looked up letter by letter, in texts that have any.
+    """
+    several = F.map_from_arrays(F.array(*map(F.lit, _SEVERAL)), F.array(*map(F.lit, _SEVERAL.values())))
+    each = lambda c: F.when(c.between("\uac00", "\ud7a3"), _hangul(c)).otherwise(F.coalesce(F.try_element_at(several, c), c))
+    apart = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), each), "")
+    rare = "[\uac00-\ud7a3" + "".join(_SEVERAL) + "]"
+    plain = F.translate(F.regexp_replace(F.lower(col), "[̀-ͯ]", ""), "".join(_ONE), "".join(_ONE.values()))
+    return bound(plain, lambda t: F.when(is_ascii(t) | ~t.rlike(rare), t).otherwise(apart(t)))
 
 
 def truncate_words(col: Column, n: int) -> Column:

@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def count_rows(df: DataFrame, mode: str = "exact", fraction: float = 0.1, seed: int = 1) -> DataFrame:
-    """One row with the count; mode "estimated" counts a sample and scales it up."""
-    if mode == "exact":
-        return df.agg(F.count(F.lit(1)).alias("n"))
-    return df.sample(fraction, seed).agg(F.round(F.count(F.lit(1)) / F.lit(fraction)).cast("long").alias("n"))
+def count_rows(df: DataFrame, mode: str = "exact", fraction: float = 0.05) -> DataFrame:
+    """One row with the count n; mode "estimated" counts a share of the files, as estimated_count() does."""
+    return df.agg(F.count(F.lit(1)).alias("n")) if mode == "exact" else estimated_count(df, fraction).select("n")
+
+
+#: Files that are counted at least, and how many standard errors the bound is wide.
+LEAST_FILES, ERRORS = 20, 4
+
+
+def estimated_count(df: DataFrame, fraction: float = 0.05) -> DataFrame:
+    """One row (n, bound): about how many rows df has, and how far from it the exact count may lie.
+
+    df is filters and projections over files, some of which are drawn by a hash of their names; Spark opens no others. n is the mean of their counts times the number of
+    files, and bound is ERRORS standard errors of it, with the correction for drawing from few. Of LEAST_FILES files or fewer, all are counted: n is exact and bound 0.
+    """
+    files = sorted((re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in df.inputFiles()), key=lambda f: (zlib.crc32(f.encode()), f))
+    m = max(LEAST_FILES, math.ceil(fraction * len(files)))
+    if len(files) <= m:
+        return df.agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("bound"))
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/")  # the two ways to name a file differ in their slashes
+    per = df.where(path.isin(files[:m])).groupBy(path.alias("f")).agg(F.count(F.lit(1)).cast("double").alias("c"))  # a file without hits has no row here
+    mean = F.coalesce(F.sum("c"), F.lit(0.0)) / m
+    spread = F.sqrt(F.greatest((F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0.0)) - m * mean * mean) / (m - 1), F.lit(0.0)))
+    return per.agg(F.round(mean * len(files)).cast("bigint").alias("n"), F.ceil(ERRORS * len(files) * spread * math.sqrt((1 - m / len(files)) / m)).alias("bound"))
 
 
 def count_tables(tables: dict[str, DataFrame]) -> DataFrame:

@@ -31,9 +31,34 @@ def lookup_any(df: DataFrame, dim: DataFrame, value: str, names: list[str], dim_
     return df.join(alias, F.col(value) == F.col("__name"), "left").drop("__name")
 
 
+#: Widths of the position bins of range joins. A range takes the first by which it lies in RANGE_BINS bins or fewer, or the last.
+BIN_WIDTHS, RANGE_BINS = (64, 64 << 7, 64 << 14, 64 << 21), 128
+
+
+def _whole(df: DataFrame, *cols: str) -> bool:
+    return all(df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in cols)
+
+
 def range_join(refs: DataFrame, units: DataFrame, on: list[str], lo: str, hi: str, pos: str) -> DataFrame:
-    """Units whose position lies in a reference's range: an equi-join on the group, with the range as residual predicate."""
-    return refs.join(units, on).where(F.col(pos).between(F.col(lo), F.col(hi)))
+    """Units whose position lies in a reference's range.
+
+    Where positions are whole numbers, units are dealt by group and bin of positions, and a reference goes to the bins of its range, cut to its group's ends: so
+    a hot group is many tasks, and a unit meets the references of its own stretch alone. Other positions are an equi-join on the group, with the range as residual predicate.
+    """
+    if not _whole(refs, lo, hi) or not _whole(units, pos):
+        return refs.join(units, on).where(F.col(pos).between(F.col(lo), F.col(hi)))
+    ends = units.groupBy(*on).agg(F.min(pos).alias("__first"), F.max(pos).alias("__last"))
+    cut = refs.join(ends, on).withColumns({"__lo": F.greatest(lo, "__first"), "__hi": F.least(hi, "__last")}).where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col("__lo") <= F.col("__hi")))
+    width = F.lit(BIN_WIDTHS[-1])
+    for w in BIN_WIDTHS[-2::-1]:
+        width = F.when(F.col("__hi") - F.col("__lo") < w * (RANGE_BINS - 1), F.lit(w)).otherwise(width)
+    cut = cut.withColumn("__width", width)
+    bins = F.sequence(F.floor(F.col("__lo") / F.col("__width")), F.floor(F.col("__hi") / F.col("__width")))
+    placed = cut.withColumn("__bin", F.explode(bins)).drop("__first", "__last", "__lo", "__hi")
+    used = [w for w in BIN_WIDTHS if w == BIN_WIDTHS[0] or cut.where(F.col("__width") == w).limit(1).count()]  # most ranges are short, and units then lie in one set of bins
+    widths = F.explode(F.array(*[F.lit(w) for w in used]))
+    dealt = units.withColumn("__width", widths).withColumn("__bin", F.floor(F.col(pos) / F.col("__width")))
+    return placed.join(dealt, [*on, "__width", "__bin"]).where(F.col(pos).between(F.col(lo), F.col(hi))).drop("__width", "__bin")
 
 
 def range_join_clamped(refs: DataFrame, units: DataFrame, on: list[str], lo: str, hi: str, pos: str) -> DataFrame:
@@ -43,15 +68,29 @@ def range_join_clamped(refs: DataFrame, units: DataFrame, on: list[str], lo: str
     return range_join(clamped.withColumn(hi, F.greatest(F.col(hi), F.col(lo))).drop("__last"), units, on, lo, hi, pos)
 
 
-def interval_overlap(passages: DataFrame, selection: DataFrame, group: str, start: str, end: str, end_group: str, pos: str) -> DataFrame:
+def interval_overlap(passages: DataFrame, selection: DataFrame, group: str, start: str, end: str, end_group: str, pos: str, width: int = 1 << 12) -> DataFrame:
     """Passages that meet the selected positions of their group.
 
-    A passage whose end is missing, in another group, or before its start is its start alone.
+    A passage whose end is missing, in another group, or before its start is its start alone. Where positions are whole numbers, this is a sweep: each passage finds the next
+    selected position at or after its start, within its stretch of `width` positions or as the first of a later stretch, and no task holds a group.
     """
     real = (F.col(end_group) == F.col(group)) & (F.col(end) >= F.col(start))
     p = passages.withColumn("__hi", F.when(real, F.col(end)).otherwise(F.col(start)))
     s = selection.select(F.col(group).alias("__g"), F.col(pos).alias("__p"))
-    return p.join(s, (F.col(group) == F.col("__g")) & F.col("__p").between(F.col(start), F.col("__hi")), "left_semi").drop("__hi")
+    if not _whole(passages, start, end) or not _whole(selection, pos):
+        return p.join(s, (F.col(group) == F.col("__g")) & F.col("__p").between(F.col(start), F.col("__hi")), "left_semi").drop("__hi")
+    stretch = lambda c: F.floor(F.col(c) / F.lit(width))
+    s = s.where("__g is not null and __p is not null").withColumn("__b", stretch("__p"))
+    p = p.where(F.col(group).isNotNull() & F.col(start).isNotNull())
+    every = s.distinct().unionByName(p.withColumns({"__g": F.col(group), "__b": stretch(start)}), allowMissingColumns=True)
+    at = F.coalesce("__p", F.col(start))
+    ahead = F.min("__p").over(Window.partitionBy("__g", "__b").orderBy(at).rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    swept = every.withColumn("__next", ahead).where("__p is null")
+    firsts = s.groupBy("__g", "__b").agg(F.min("__p").alias("__first"))
+    turns = firsts.unionByName(p.select(F.col(group).alias("__g"), stretch(start).alias("__b")).distinct(), allowMissingColumns=True).groupBy("__g", "__b").agg(F.min("__first").alias("__first"))
+    later = turns.select(F.col("__g").alias("__h"), F.col("__b").alias("__c"), F.min("__first").over(Window.partitionBy("__g").orderBy("__b").rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    met = swept.join(later, (F.col("__g") == F.col("__h")) & (F.col("__b") == F.col("__c")))
+    return met.where(F.coalesce("__next", "__later") <= F.col("__hi")).select(*passages.columns)
 
 
 def context(df: DataFrame, group: str, pos: str, text: str, n: int = 1, out: str = "context") -> DataFrame:

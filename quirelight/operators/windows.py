@@ -19,10 +19,27 @@ def dedup_prefer(df: DataFrame, keys: list[str], prefer: Column, order: list) ->
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def neighbours_in_group(df: DataFrame, group: str, order: str) -> DataFrame:
-    """df with the previous and next value of order in the group."""
-    w = Window.partitionBy(group).orderBy(order)
-    return df.withColumns({"prev": F.lag(order).over(w), "next": F.lead(order).over(w)})
+def _whole(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def neighbours_in_group(df: DataFrame, group: str, order: str, width: int = 1 << 16) -> DataFrame:
+    """df with the previous and next value of order in the group.
+
+    Where order is a whole number, groups are cut into stretches of `width` values; only the first and last value of each stretch meet over the whole group.
+    """
+    if not _whole(df, order):
+        w = Window.partitionBy(group).orderBy(order)
+        return df.withColumns({"prev": F.lag(order).over(w), "next": F.lead(order).over(w)})
+    stretch = F.floor(F.col(order) / F.lit(width))
+    w = Window.partitionBy(group, "__b").orderBy(order)
+    inside = df.withColumn("__b", stretch).withColumns({"__prev": F.lag(order).over(w), "__next": F.lead(order).over(w), "__rn": F.row_number().over(w), "__up": F.lead(F.lit(1)).over(w)})
+    ends = df.groupBy(F.col(group).alias("__g"), stretch.alias("__c")).agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    over = Window.partitionBy("__g").orderBy("__c")
+    edges = ends.select("__g", "__c", F.lag("hi").over(over).alias("__before"), F.lead("lo").over(over).alias("__after"))
+    met = inside.join(edges, F.col(group).eqNullSafe(F.col("__g")) & F.col("__b").eqNullSafe(F.col("__c")))
+    prev, following = F.when(F.col("__rn") == 1, F.col("__before")).otherwise(F.col("__prev")), F.when(F.col("__up").isNull(), F.col("__after")).otherwise(F.col("__next"))
+    return met.select(*df.columns, prev.alias("prev"), following.alias("next"))
 
 
 def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int = 3) -> DataFrame:
@@ -52,12 +69,25 @@ def ordinal(df: DataFrame, group: str, order: str, out: str = "ordinal", width:
     return met.withColumn(out, (F.col("__rn") + F.col("__before")).cast("long")).select(*df.columns, out)
 
 
-def runs(df: DataFrame, part: str, order: list[str], key: str) -> DataFrame:
-    """(part, run, key, n, first, last): consecutive rows with the same key; a key may come again in a later run."""
-    w = Window.partitionBy(part).orderBy(*order)
-    change = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    numbered = df.withColumn("__c", change).withColumn("run", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(part, "run", key).agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+def runs(df: DataFrame, part: str, order: list[str], key: str, width: int = 1 << 16) -> DataFrame:
+    """(part, run, key, n, first, last): consecutive rows with the same key; a key may come again in a later run.
+
+    Where order begins with a whole number, parts are cut into stretches of `width` values. A stretch gives its own runs; over a whole part only the stretches' summaries
+    meet (their first and last key, and how many runs), which say where a run goes on into the next stretch, and runs of one number are then summed up.
+    """
+    cut = F.floor(F.col(order[0]) / F.lit(width)) if _whole(df, order[0]) else F.lit(0)
+    rows = df.select(F.col(part).alias("part"), cut.alias("b"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("key"))
+    w = Window.partitionBy("part", "b").orderBy(*[f"o{i}" for i in range(len(order))])
+    change = F.when(F.lag("key").over(w).eqNullSafe(F.col("key")) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    numbered = rows.withColumn("c", change).withColumn("own", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = numbered.groupBy("part", "b", "own", "key").agg(F.count(F.lit(1)).alias("n"), F.min("o0").alias("first"), F.max("o0").alias("last"))
+    sums = own.groupBy(F.col("part").alias("__p"), F.col("b").alias("__b")).agg(F.max("own").alias("runs"), F.min_by(F.struct("key"), "own").alias("head"), F.max_by(F.struct("key"), "own").alias("tail"))
+    over = Window.partitionBy("__p").orderBy("__b")
+    joins = F.coalesce(F.lag("tail").over(over)["key"].eqNullSafe(F.col("head.key")) & F.lag("tail").over(over).isNotNull(), F.lit(False)).cast("int")
+    turns = sums.withColumn("joins", joins).withColumn("before", F.sum(F.col("runs") - F.col("joins")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("runs"))
+    met = own.join(turns.select("__p", "__b", "before"), F.col("part").eqNullSafe(F.col("__p")) & F.col("b").eqNullSafe(F.col("__b")))
+    whole = met.groupBy("part", (F.col("own") + F.col("before")).alias("run"), "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return whole.select(F.col("part").alias(part), "run", F.col("key").alias(key), "n", "first", "last")
 
 
 def page_starts(sizes: Column, budget: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import search, text
@@ -26,9 +27,16 @@ SELECT source, doc_id, quality, rank, group_size, CASE WHEN start > 0 THEN '…'
 def keyword_search(spark, sf):
     """Cleaned documents with both words, the first three of each source, with label, number of hits and a snippet."""
     hit = text.bound(text.clean_text(F.col("text")), lambda c: search.may_match(c, "the with", "plain") & search.condition(search.tokens(c), "the with", "plain"))
-    found = t(spark, sf, "documents").select("doc_id", "source", F.explode(F.array(hit)).alias("hit")).where("hit").drop("hit")  # a generated column is computed once
-    found = Scratch(spark).keep(found)  # the one pass over all texts; sizes and ranks come from ids alone
-    first = windows.top_n_per_group(found, ["source"], ["doc_id"], 3).drop("source")
-    shown = t(spark, sf, "documents").join(first, "doc_id").select("source", "doc_id", "rank", "group_size", text.clean_text(F.col("text")).alias("clean"))
+    hits = lambda df: df.withColumn("hit", F.explode(F.array(hit))).where("hit")  # noqa: E731  a generated column is computed once
+    scratch, docs = Scratch(spark), t(spark, sf, "documents").select("doc_id", "source", "text")
+    found = scratch.keep(hits(docs).select("doc_id", "source"))  # the one pass over all texts; sizes and ranks come from ids alone
+    first = windows.top_n_per_group(found, ["source"], ["doc_id"], 3)
+    wanted = first.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), "group_size").distinct()
+    # ids may repeat or be missing: of the rows that bear a wanted one, the hits are ranked again
+    again = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")))
+    ranked = hits(again).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where(F.col("rank") <= 3)
+    shown = ranked.select("source", "doc_id", "rank", F.col("group_size"), text.clean_text(F.col("text")).alias("clean"))
     labelled = shown.join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return labelled.select("source", "doc_id", "quality", "rank", "group_size", text.snippet(F.col("clean"), "with").alias("snippet"))
+    out = scratch.keep(labelled.select("source", "doc_id", "quality", "rank", "group_size", text.snippet(F.col("clean"), "with").alias("snippet")))
+    scratch.drop(found)
+    return out

@@ -8,6 +8,7 @@ from ..operators import aggregates as a
 from ..operators import joins as j
 from ..operators import setops as u
 from ..operators import windows as w
+from ..sources.shared import Scratch
 from .registry import query
 from .registry import table as t
 
@@ -143,11 +144,23 @@ def a1_count(spark, sf):
     return a.count_rows(t(spark, sf, "orders"))
 
 
-@query()
+@query("SELECT count(*) AS n FROM lineitem")
 def a2_count_estimated(spark, sf):
+    """Exact for tables of a few files, as that of the SQL check is."""
     return a.count_rows(t(spark, sf, "lineitem"), "estimated", 0.05)
 
 
+@query("SELECT true AS within, count(*) > 0 AS some FROM lineitem WHERE l_quantity > 25")
+def a2_count_bounded(spark, sf):
+    """Whether the count lies within the estimate's bound, for a selection dealt over 60 files, of which 20 are counted."""
+    scratch, li = Scratch(spark), t(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
+    dealt = scratch.keep(li.repartition(60, "l_orderkey"))
+    wanted = dealt.where("l_quantity > 25")
+    out = scratch.keep(a.estimated_count(wanted).crossJoin(a.count_rows(wanted).withColumnRenamed("n", "exact")))
+    scratch.drop(dealt)
+    return out.select((F.abs(F.col("n") - F.col("exact")) <= F.col("bound")).alias("within"), (F.col("n") > 0).alias("some"))
+
+
 _EIGHT = ["nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages"]
 
 

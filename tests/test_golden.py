@@ -327,3 +327,15 @@ def test_stems():
     assert [udfs.stem_word(w, "en") for w in ("walking", "walks", "ring", "cities")] == ["walk", "walk", "ring", "cit"]
     with pytest.raises(ValueError):
         udfs.stemmed(F.lit(None), "xx")
+
+
+def test_keyword_search_where_ids_repeat_or_are_missing(spark, tmp_path):
+    from quirelight.plans import corpus_queries
+
+    docs = [(1, "the hit with", "s"), (1, "nothing", "s"), (2, "with the hit", "s"), (None, "the null with", "s"), (None, "nothing", "s"), (3, "the with a", None), (3, "the with b", None), (3, "with", None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_queries.keyword_search(spark, str(tmp_path)).collect()
+    want = [("s", None, None, 1, 3, "the null with"), ("s", 1, None, 2, 3, "the hit with"), ("s", 2, 1, 3, 3, "with the hit")]
+    assert sorted(map(repr, map(tuple, (r for r in got if r.source)))) == sorted(map(repr, want))
+    assert sorted((r.doc_id, r["rank"], r.group_size) for r in got if not r.source) == [(3, 1, 2), (3, 2, 2)] and {r.snippet for r in got if not r.source} == {"the with a", "the with b"}
