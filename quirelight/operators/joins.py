@@ -42,22 +42,25 @@ def _whole(df: DataFrame, *cols: str) -> bool:
 def range_join(refs: DataFrame, units: DataFrame, on: list[str], lo: str, hi: str, pos: str) -> DataFrame:
     """Units whose position lies in a reference's range.
 
-    Where positions are whole numbers, units are dealt by group and bin of positions, and a reference goes to the bins of its range, cut to its group's ends: so
-    a hot group is many tasks, and a unit meets the references of its own stretch alone. Other positions are an equi-join on the group, with the range as residual predicate.
+    Where positions are whole numbers, units are dealt by group and bin of positions, and a reference goes to the bins of its range: so a hot group is many tasks, and a unit
+    meets the references of its own stretch alone. Long ranges, if there are any, are first cut to their group's ends, and take wider bins. Other positions are an
+    equi-join on the group, with the range as residual predicate.
     """
     if not _whole(refs, lo, hi) or not _whole(units, pos):
         return refs.join(units, on).where(F.col(pos).between(F.col(lo), F.col(hi)))
-    ends = units.groupBy(*on).agg(F.min(pos).alias("__first"), F.max(pos).alias("__last"))
-    cut = refs.join(ends, on).withColumns({"__lo": F.greatest(lo, "__first"), "__hi": F.least(hi, "__last")}).where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col("__lo") <= F.col("__hi")))
-    width = F.lit(BIN_WIDTHS[-1])
-    for w in BIN_WIDTHS[-2::-1]:
+    real = refs.where(F.col(lo) <= F.col(hi)).withColumns({"__lo": F.col(lo), "__hi": F.col(hi)})
+    long = F.col("__hi").cast("double") - F.col("__lo").cast("double") >= BIN_WIDTHS[0] * (RANGE_BINS - 1)
+    placed, used = real, BIN_WIDTHS[:1]
+    if real.where(long).limit(1).count():
+        ends = units.groupBy(*on).agg(F.min(pos).alias("__first"), F.max(pos).alias("__last"))
+        cut = real.join(ends, on).withColumns({"__lo": F.greatest("__lo", "__first"), "__hi": F.least("__hi", "__last")}).where("__lo <= __hi").drop("__first", "__last")
+        placed, used = real.where(~long).unionByName(cut.where(F.col(lo).isNotNull() & (F.col(hi).cast("double") - F.col(lo).cast("double") >= BIN_WIDTHS[0] * (RANGE_BINS - 1)))), BIN_WIDTHS
+    width = F.lit(used[-1])
+    for w in used[-2::-1]:
         width = F.when(F.col("__hi") - F.col("__lo") < w * (RANGE_BINS - 1), F.lit(w)).otherwise(width)
-    cut = cut.withColumn("__width", width)
     bins = F.sequence(F.floor(F.col("__lo") / F.col("__width")), F.floor(F.col("__hi") / F.col("__width")))
-    placed = cut.withColumn("__bin", F.explode(bins)).drop("__first", "__last", "__lo", "__hi")
-    used = [w for w in BIN_WIDTHS if w == BIN_WIDTHS[0] or cut.where(F.col("__width") == w).limit(1).count()]  # most ranges are short, and units then lie in one set of bins
-    widths = F.explode(F.array(*[F.lit(w) for w in used]))
-    dealt = units.withColumn("__width", widths).withColumn("__bin", F.floor(F.col(pos) / F.col("__width")))
+    placed = placed.withColumn("__width", width).withColumn("__bin", F.explode(bins)).drop("__lo", "__hi")
+    dealt = units.withColumn("__width", F.explode(F.array(*[F.lit(w) for w in used])) if len(used) > 1 else F.lit(used[0])).withColumn("__bin", F.floor(F.col(pos) / F.col("__width")))
     return placed.join(dealt, [*on, "__width", "__bin"]).where(F.col(pos).between(F.col(lo), F.col(hi))).drop("__width", "__bin")
 
 
