@@ -21,6 +21,7 @@ the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -100,6 +101,8 @@ class LineParser(HTMLParser):
         self.pieces: list[str] = []
         self.tags = self.links = 0
         self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, inside boilerplate, block
+        self.count: Counter = Counter()  # of open tags, so that a tag that isn't open is never looked for
+        self.links_at: list[int] = []  # where links stand among the open tags
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
@@ -122,6 +125,8 @@ class LineParser(HTMLParser):
                 self.close_through(_ITEM[tag], stop=frozenset(("ul", "ol", "dl", "table", "menu")))
         if tag in _VOID:
             return
+        if tag == "a":  # links hold no links
+            self.close_through(("a",), stop=_BLOCK)
         _, out, block = self.open[-1]
         named = dict(attrs)
         out = out or self.is_boilerplate(tag, named)
@@ -129,7 +134,17 @@ class LineParser(HTMLParser):
             article = self.blocks[block].article
             self.blocks.append(Block(tag, block, len(self.blocks) if article < 0 and tag in _REGION else article, self.is_header(tag, named)))
             block = len(self.blocks) - 1
+        if tag == "a" and named.get("href") is not None:
+            self.links_at.append(len(self.open))
         self.open.append((tag, out, block))
+        self.count[tag] += 1
+
+    def close_from(self, k: int) -> None:
+        """Open tags from the k-th on are closed."""
+        self.count.subtract(tag for tag, _, _ in self.open[k:])
+        del self.open[k:]
+        while self.links_at and self.links_at[-1] >= k:
+            self.links_at.pop()
 
     def is_boilerplate(self, tag: str, attrs: dict[str, str | None]) -> bool:
         self.has_form |= tag == "form"
@@ -145,9 +160,11 @@ class LineParser(HTMLParser):
         return tag == "header" or any(re.fullmatch(r"(?:site|page|top)?[-_]?header", x) for x in names_of(attrs))
 
     def close_through(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in tags:
-                del self.open[k:]
+                self.close_from(k)
                 return
             if self.open[k][0] in stop:
                 return
@@ -156,15 +173,17 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag in _BLOCK:
             self.flush()
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                self.close_from(k)
                 return
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1][1]:
             self.pieces.append(data)
-            if any(tag == "a" for tag, _, _ in self.open[-3:]):
+            if self.links_at:
                 self.links += len(data.strip())
 
 
