@@ -140,7 +140,7 @@ def _version_block(version: int) -> bytes:
 
 
 def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> None:
-    """One ARC record per row, files of the two versions by turns."""
+    """One ARC record per row, files of the two versions by turns. Page ids are whole numbers, or null."""
 
     def files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         task = TaskContext.get().partitionId()
@@ -176,8 +176,9 @@ def payload_digest(payload: bytes) -> str:
 
 
 def arc_records(members: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by name, body) of each record after the version block. A member may hold several records."""
+    """(header fields by name, body) of each record after the version block, which only a file's first record can be. A member may hold several records."""
     fields: list[str] = FIELDS[1].split()
+    is_first = True
     for data in members:
         at = 0
         while at < len(data):
@@ -191,11 +192,12 @@ def arc_records(members: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byte
             if len(body) < n:
                 raise ValueError(f"ARC record of {n} declared bytes ends after {len(body)}")
             at += n
-            if line.startswith("filedesc:"):
+            if is_first and line.startswith("filedesc:"):
                 fields = body.split(b"\n")[1].decode().split()
             else:
                 values = line.rsplit(" ", len(fields) - 1)
                 yield dict(zip(fields, values, strict=True)), body
+            is_first = False
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
