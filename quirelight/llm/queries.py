@@ -149,7 +149,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 per AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM d GROUP BY source),
 tot AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, count(*) AS n FROM per WHERE tokens > 0),
 live AS (SELECT list(tokens / total ORDER BY tokens) AS p FROM per, tot WHERE tokens > 0),

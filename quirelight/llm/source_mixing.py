@@ -9,8 +9,8 @@ times the whole budget. It is realised as passes over the source: every document
 tokens) times, and the rest from a permutation of the source's blocks, within the block that the rest
 ends in from a permutation of its documents, as long as the tokens fit.
 
-Blocks hold about block_docs documents of one source, chosen by hash, so a source with a third of
-all rows is many blocks. Sums over a source's blocks go in two steps, over 4,096 ranges of blocks and over the blocks of a range, so that
+Blocks hold about block_docs documents of one source, chosen by a hash of id and text, so a source with a third of
+all rows is many blocks, and so are rows that share one id; more than block_docs rows that are alike in all are told apart by a number of their own. Sums over a source's blocks go in two steps, over 4,096 ranges of blocks and over the blocks of a range, so that
 only a block's documents, a range's blocks and a source's ranges are ever ordered together.
 The bisection runs as aggregates over the per-source table, five halvings to a job; no source list
 comes to the driver.
@@ -41,9 +41,17 @@ def token_count(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def order_key(doc_id: str) -> Column:
-    """The permutation's key: 32 hex digits of a hash of the seed and the id."""
-    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def order_key(doc_id: str, text: str) -> Column:
+    """The permutation's key: 32 hex digits of a hash of the seed, the id and the text, so that rows that share an id, or have none, lie in all blocks."""
+    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+
+def _spread(d: DataFrame, most: int) -> DataFrame:
+    """d, where rows that are alike in source, id and text, if they are more than `most`, have a key for each; which of them is used is then open, and they are alike."""
+    alike = d.groupBy(F.col("src").alias("hs"), F.col("key").alias("hk")).agg(F.count(F.lit(1)).alias("alike")).where(F.col("alike") > most)
+    met = d.join(alike, d["src"].eqNullSafe(F.col("hs")) & (d["key"] == F.col("hk")), "left")
+    own = F.when(F.col("alike").isNotNull(), F.md5(F.concat("key", F.col("row").cast("string")))).otherwise(F.col("key"))
+    return met.withColumn("key", own).select("src", "id", "n_tokens", "key", "th")
 
 
 def _number(key: Column, start: int) -> Column:
@@ -105,8 +113,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     budget_x: the mixture's tokens as a multiple of the corpus' own.
     """
-    key = order_key(doc_id)
-    d = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("src"), token_count(text).alias("n_tokens"), key.alias("key"), F.xxhash64(text).alias("th"))
+    key = order_key(doc_id, text)
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("src"), token_count(text).alias("n_tokens"), key.alias("key"), F.xxhash64(text).alias("th"))
     d = checkpointed(d)
     per = checkpointed(d.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     live = per.where("tokens > 0")
@@ -118,6 +126,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     budget = F.floor(F.col("source_weight") * F.lit(int(total * budget_x))).cast("long")
     plan = plan.withColumn("budget", budget)
     plan = plan.select("src", "source_weight", "n_blocks", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("passes"), F.when(F.col("tokens") > 0, F.pmod("budget", "tokens")).otherwise(0).cast("long").alias("rest"))
+    d = _spread(d, block_docs)
     x = d.join(plan, d["src"].eqNullSafe(plan["src"])).select(d["src"], "id", "n_tokens", "key", "th", "source_weight", "passes", "rest", F.pmod(_number(F.col("key"), 1), F.col("n_blocks")).alias("block"))
     x = x.withColumn("block_key", F.md5(F.concat(F.lit(SEED + ":b"), F.col("block").cast("string"))))
 
