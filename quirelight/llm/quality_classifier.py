@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_text
+from .common import Scratch, per_text
 
 WIDTH, FILTERS = 5, 12
 CHUNK, STEP = 512, 256
 #: The bound on what is learned from, in rows of each label.
+SAMPLE_BYTES = 64 << 20  # of the sampled rows' texts
 SAMPLE_PER_LABEL = 1500
 STEPS, BATCH_DOCS, RATE, SEED = 800, 32, 0.01, 11
 PAD = 256
@@ -143,13 +144,28 @@ def sampled(one: DataFrame, per_label: int) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", per_label: int = SAMPLE_PER_LABEL) -> ByteNetwork | float:
-    """The network, or a constant score where there are fewer than two labels. labels: the rows to learn from."""
+def within(sizes: list[tuple[object, int, int]], most_bytes: int) -> list:
+    """Ids of the (id, y, bytes), in their order, as long as those of a label come to half of most_bytes at most; of each label one at least."""
+    kept, used = [], {0: 0, 1: 0}
+    for i, y, n in sizes:
+        used[y] += n
+        if used[y] <= most_bytes // 2 or used[y] == n:
+            kept.append(i)
+    return kept
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> ByteNetwork | float:
+    """The network, or a constant score where there are fewer than two labels. labels: the rows to learn from; most_bytes of their texts come to the driver."""
     one = labelled_ids(labels, doc_id, label)
     prior = one.agg(F.avg("y")).first()[0]
     sample = sampled(one, per_label)
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id")  # at most 2 * per_label rows
-    rows = picked.groupBy("id", "y").agg(F.min(F.coalesce("t", F.lit(""))).alias("t")).select("id", "y", F.encode("t", "utf-8").alias("raw")).orderBy("id").toPandas()
+    scratch = Scratch(docs.sparkSession)
+    held = scratch.keep(picked.groupBy("id", "y").agg(F.min(F.coalesce("t", F.lit(""))).alias("t")).select("id", "y", F.encode("t", "utf-8").alias("raw")))
+    sizes = held.orderBy(F.xxhash64("id"), "id").select("id", "y", F.octet_length("raw").alias("n")).collect()
+    chosen = within([tuple(r) for r in sizes], most_bytes)
+    rows = held.where(F.col("id").isin(chosen)).orderBy("id").toPandas()
+    scratch.drop(held)
     kinds = sorted(set(rows["y"]))
     if len(kinds) < 2:
         return float(kinds[0]) if kinds else 0.5
