@@ -63,12 +63,12 @@ def condition(toks: Column, query: str, mode: str = "websearch") -> Column:
 
 
 def may_match(text: Column, query: str, mode: str = "websearch") -> Column:
-    """False only where condition() can't hold, since the text lacks a word that is asked for: cheaper than tokens, and asked before them."""
-    parts = re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query)
-    if mode == "websearch" and any(bare.lower() == "or" for _, _, bare in parts):
+    """False only where condition() can't hold, since the text lacks words that are asked for: cheaper than tokens, and asked before them."""
+    groups = [[words for _, words in group] for group in clauses(query, mode) if not any(minus for minus, _ in group)]
+    if not groups:
         return F.lit(True)
-    words = [w for minus, quoted, bare in parts if not (minus and mode == "websearch") for w in _words(quoted or bare)]
-    return reduce(Column.__and__, [F.contains(F.lower(text), F.lit(w)) for w in words], F.lit(True))
+    has = lambda low, words: reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in words])
+    return bound(F.lower(text), lambda low: reduce(Column.__and__, [reduce(Column.__or__, [has(low, words) for words in group]) for group in groups]))
 
 
 def text_search(df: DataFrame, text: str, query: str, mode: str = "websearch", lang: str | None = None) -> DataFrame:

@@ -49,7 +49,28 @@ def _sql_trim(col: str) -> str:
     return f"regexp_replace({col}, '^{text.SPACE}+|{text.SPACE}+$', '', 'g')"
 
 
-@query(f"SELECT doc_id, {_sql_trim(_sql_rules(f"text || '{_DIRT}'", text.DEBRIS))} AS clean FROM documents")
+# The SQL's own rules, written out again, so that a wrong rule of the library shows
+_WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SQL_LINKS = [(r"\x{1F517}\x{FE0F}?", "")]
+_SQL_PAGES = [(rf"(?im)(^|{_WS})pagina{_WS}+\d+{_WS}+van{_WS}+\d+{_WS}*", "$1")]
+_SQL_SCRIPTS = [(r"([\x{590}-\x{5FF}\x{370}-\x{3FF}])([a-zA-Z])", "$1 $2"), (r"([a-zA-Z])([\x{590}-\x{5FF}\x{370}-\x{3FF}])", "$1 $2")]
+_SQL_DEBRIS = [
+    *_SQL_LINKS,
+    *[(f"(?i){f'{_WS}+'.join(words.split())}{_WS}*", "") for words in ("return to top of page", "back to top", "top of page")],
+    *_SQL_PAGES,
+    (rf"\({_WS}*\n{_WS}*([^()\n]{{1,60}}?){_WS}*\n", "($1)\n"),
+    *_SQL_SCRIPTS,
+    (r"[ \t]+\n", "\n"),
+    (r"\n\n\n+", "\n\n"),
+]
+_SQL_TOP = [(f"(?i){f'{_WS}+'.join('return to top of page'.split())}", "")]
+
+
+def _sql_trimmed(col: str) -> str:
+    return f"regexp_replace({col}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_sql_trimmed(_sql_rules(f"text || '{_DIRT}'", _SQL_DEBRIS))} AS clean FROM documents")
 def t4_clean_text(spark, sf):
     return _docs(spark, sf, text.clean_text(F.concat("text", F.lit(_DIRT))).alias("clean"))
 
@@ -57,7 +78,11 @@ def t4_clean_text(spark, sf):
 _FRONT = "Legenda  Blauw: a, b\nc d\nDe titel\nUit het Latijn vertaald\ndoor X, NUR 700\n\nPagina 1 van 9 \U0001f517\ufe0f "
 
 
-@query(f"""SELECT doc_id, {_sql_trim(_sql_rules(f"regexp_replace(regexp_replace('{_FRONT}' || text, '(?m)^{text.LEGEND}(\n[A-Z][a-z])', '\\1'), '(?im)^{text.COLOPHONS}', '')", text.PAGE_MARKS + text.FRONT_LINKS + text.FRONT_TOPS))} AS body FROM documents""")
+_SQL_COLOPHON = r"(?im)^(?:DE GROOT GOUDRIAAN(?s:.*?)NUR \d+|Ongewijzigde fotografische herdruk(?s:.*?)NUR \d+|Uit het Latijn vertaald(?s:.*?)NUR \d+)\n*"
+_SQL_FRONT = f"regexp_replace(regexp_replace('{_FRONT}' || text, '(?m)^Legenda{_WS}+Blauw(?s:.*?)(\n[A-Z][a-z])', '\\1'), '{_SQL_COLOPHON}', '')"
+
+
+@query(f"SELECT doc_id, {_sql_trimmed(_sql_rules(_SQL_FRONT, [*_SQL_PAGES, (f'{_SQL_LINKS[0][0]}{_WS}*', ''), *_SQL_TOP]))} AS body FROM documents")
 def t5_strip_front_matter(spark, sf):
     return _docs(spark, sf, text.strip_front_matter(F.concat(F.lit(_FRONT), "text")).alias("body"))
 
@@ -65,7 +90,10 @@ def t5_strip_front_matter(spark, sf):
 _MARKED_PARAGRAPH = "' Pagina 3 van 4 αb \U0001f517\ufe0f Return to top of page' || text"
 
 
-@query(f"""SELECT doc_id, {_sql_trim(_sql_rules(_MARKED_PARAGRAPH, [*text.LINK_MARK, *text.FRONT_TOPS, (text.PARAGRAPH_MARKS[1][0].replace("(?=", "("), "$1$2"), *text.SCRIPTS]))} AS para FROM documents""")
+_SQL_PARAGRAPH = [*_SQL_LINKS, *_SQL_TOP, (rf"(?i)(^|{_WS})pagina{_WS}+\d+{_WS}+van{_WS}+\d+({_WS}|$)", "$1$2"), *_SQL_SCRIPTS]
+
+
+@query(f"SELECT doc_id, {_sql_trimmed(_sql_rules(_MARKED_PARAGRAPH, _SQL_PARAGRAPH))} AS para FROM documents")
 def t6_clean_paragraph(spark, sf):
     return _docs(spark, sf, text.clean_paragraph(F.concat(F.lit(" Pagina 3 van 4 αb \U0001f517\ufe0f Return to top of page"), "text")).alias("para"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import fold_groups
-from ..sources.shared import shared_folder
+from ..sources.shared import Scratch, shared_folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +40,18 @@ def _state_on_disk(spark: SparkSession) -> Iterator[None]:
 
 def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """All that an append-mode stream gives for what is there now. folder: where it was drained before, and goes on."""
-    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
+    spark, once, folder = stream.sparkSession, folder is None, folder or shared_folder(stream.sparkSession)
     with _state_on_disk(spark):
         query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/offsets").option("path", f"{folder}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
+    if once:
+        Scratch(spark).remove(f"{folder}/offsets")
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def drain_updates(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
     """The last row of each key that an update-mode stream gives for what is there now. folder: where it was drained before, and goes on."""
-    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
+    spark, once, folder = stream.sparkSession, folder is None, folder or shared_folder(stream.sparkSession)
     rows = f"{folder}/rows"
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{rows}/__batch=-1")
 
@@ -59,6 +61,8 @@ def drain_updates(stream: DataFrame, keys: list[str], folder: str | None = None)
     with _state_on_disk(spark):
         query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/offsets").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
+    if once:
+        Scratch(spark).remove(f"{folder}/offsets")
     w = Window.partitionBy(*keys).orderBy(F.col("__batch").desc())
     schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
     return spark.read.schema(schema).parquet(rows).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__batch")
