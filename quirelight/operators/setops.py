@@ -7,16 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
+
 
 def search_all(kinds: dict[str, tuple[DataFrame, str, str, int]], needle: str) -> DataFrame:
-    """(kind, id, total, rank): for each kind (relation, id, text column, cap) its first hits and the number of all."""
-    parts = []
+    """(kind, id, total, rank): for each kind (relation, id, text column, cap) its first hits and the number of all. Texts are searched once; the hits' ids are written, and counted and ranked."""
+    parts, scratch = [], Scratch(next(iter(kinds.values()))[0].sparkSession)
     for kind, (df, row_id, text, cap) in kinds.items():
-        hits = df.where(F.contains(F.lower(F.col(text)), F.lit(needle.lower()))).select(F.lit(kind).alias("kind"), F.col(row_id).cast("string").alias("id"), F.col(row_id).alias("__order"))
+        hits = scratch.keep(df.where(F.contains(F.lower(F.col(text)), F.lit(needle.lower()))).select(F.lit(kind).alias("kind"), F.col(row_id).cast("string").alias("id"), F.col(row_id).alias("__order")))
         total = hits.agg(F.count(F.lit(1)).alias("total"))
         first = hits.orderBy("__order").limit(cap)
         parts.append(first.join(F.broadcast(total)).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("__order"))).drop("__order"))  # total is one row, first at most cap
-    return reduce(DataFrame.unionByName, parts)
+    out = scratch.keep(reduce(DataFrame.unionByName, parts))
+    scratch.drop_all_but(out)
+    return out
 
 
 def leading_kind(totals: DataFrame, order: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
