@@ -70,3 +70,13 @@ def test_sampled_texts_keep_within_their_bytes(spark):
 def test_extraction_of_both_page_kinds_is_unchanged_by_repeats():
     page = "<body><article><h1>T</h1><p>" + "Words of it. " * 40 + "</p></article></body>"
     assert html_text.main_text(page) == html_text.main_text(page.replace("</p>", "</p></i></b>"))
+
+
+def test_long_text_full_of_benchmark_passages(spark):
+    from quirelight.llm import decontamination
+
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, f"{item} " * 20_000), (2, "clean words only " * 50), (3, None)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(5, item), (6, f"{item} thirteen")], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.mark_documents(d, b).collect()}
+    assert got == {1: (240_000, 240_000, ["5", "6"]), 2: (150, 0, []), 3: (0, 0, [])}
