@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROWS_AT_ONCE, Scratch
+from .common import Scratch
 
 WINDOW, SHINGLE = 10, 3
 #: Bits of a Bloom filter at most (32 MB).
 MOST_BITS = 1 << 28
 #: Counts that a task holds before it hands them on.
+_ROWS_OUT = 4096  # rows of a batch that a task gives on
 _COUNTED = 1_000_000
 
 _ALNUM = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -149,50 +150,57 @@ def corpus_counts(texts: DataFrame, bloom: Bloom, lengths: list[int]) -> DataFra
     return texts.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-_CANDIDATES = "row long, n_words long, found array<struct<h: long, at: long, start: long, words: array<string>>>"
+_CANDIDATES = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.string()))])
 
 
 def candidates(rows: DataFrame, bloom: Bloom, lengths: list[int], window: int) -> DataFrame:
-    """(row, n_words, found: shingles that the filter lets through, with place, and start and words of what is around) of each of rows (row, t)."""
-    around = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.string()))]))
+    """Of each of rows (row, t): one (row, n_words), and one (row, h, at, start, words) for each shingle that the filter lets through: its place, and start and words of what is around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
+        shingles, held = Shingles(), []
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _CANDIDATES.types, strict=True)], schema=_CANDIDATES)
+            held.clear()
+            return out
+
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch, n_words, found = whole.slice(at, ROWS_AT_ONCE), [], []
-                for t in batch.column(1):
-                    words = words_of(t.as_py() or "")
-                    hashes, own = shingles.word_hashes(words), []
-                    for q in lengths:
-                        h = shingles.of(hashes, q)
-                        for p in np.flatnonzero(bloom.has(h)).tolist():
-                            start = max(0, p - window + 1)
-                            own.append({"h": int(h[p]), "at": p, "start": start, "words": [w.decode("utf-8", "replace") for w in words[start : p + window]]})
-                    n_words.append(len(words))
-                    found.append(own)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(found, around)], names=["row", "n_words", "found"])
-
-    return rows.select("row", "t").mapInArrow(run, _CANDIDATES)
+            for row, t in zip(whole.column(0).to_pylist(), whole.column(1), strict=True):
+                words = words_of(t.as_py() or "")
+                hashes = shingles.word_hashes(words)
+                held.append((row, len(words), None, None, None, None))
+                for q in lengths:
+                    h = shingles.of(hashes, q)
+                    for p in np.flatnonzero(bloom.has(h)).tolist():
+                        start = max(0, p - window + 1)
+                        held.append((row, None, int(h[p]), p, start, [w.decode("utf-8", "replace") for w in words[start : p + window]]))
+                        if len(held) >= _ROWS_OUT:
+                            yield batch_of()
+                if len(held) >= _ROWS_OUT:
+                    yield batch_of()
+        if held:
+            yield batch_of()
+
+    return rows.select("row", "t").mapInArrow(run, "row long, n_words long, h long, at long, start long, words array<string>")
 
 
 def hits(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(row, n_words) of rows (row, t); distinct (row, wid, s, e) of the windows that occur in them; and (wid, item)."""
     all_windows = scratch.keep(windows_of(items, item_id, item_text, window).distinct())
     windows = scratch.keep(all_windows.select("w").distinct().select(F.monotonically_increasing_id().alias("wid"), "w"))
-    of_item = scratch.keep(all_windows.join(windows.hint("merge"), "w").select("wid", "item"))
+    of_item = scratch.keep(all_windows.join(windows, "w").select("wid", "item"))
     shingles = scratch.keep(window_shingles(windows))
     lengths = [r.q for r in shingles.select("q").distinct().orderBy("q").collect()]  # at most SHINGLE numbers
     counts = scratch.keep(corpus_counts(rows, Bloom(shingles.select("h")), lengths))
-    rarest = shingles.join(counts.hint("merge"), "h").groupBy("wid").agg(F.min(F.struct("n", "h", "place")).alias("rarest"), F.count(F.lit(1)).alias("known"))
-    whole = rarest.join(windows.hint("merge"), "wid").where(F.col("known") == F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
+    rarest = shingles.join(counts, "h").groupBy("wid").agg(F.min(F.struct("n", "h", "place")).alias("rarest"), F.count(F.lit(1)).alias("known"))
+    whole = rarest.join(windows, "wid").where(F.col("known") == F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))
     prefixes = scratch.keep(whole.select("rarest.h", "rarest.place", "wid", "w"))
     met = scratch.keep(candidates(rows, Bloom(prefixes.select("h")), lengths, window))
-    found = met.select("row", F.inline("found")).join(prefixes.hint("merge"), "h").withColumn("s", F.col("at") - F.col("place"))
+    found = met.where("h is not null").join(prefixes, "h").withColumn("s", F.col("at") - F.col("place"))
     same = found.where("s >= start").where(F.slice("words", (F.col("s") - F.col("start") + 1).cast("int"), F.size("w")) == F.col("w"))
     out = scratch.keep(same.select("row", "wid", "s", (F.col("s") + F.size("w")).alias("e")).distinct())
     scratch.drop(all_windows, windows, shingles, counts, prefixes)
-    return met.select("row", "n_words"), out, of_item
+    return met.where("n_words is not null").select("row", "n_words"), out, of_item
 
 
 def filter_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -225,7 +233,7 @@ def mark_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
         return pd.DataFrame(out, columns=["n_hit", "spans"])
 
     placed = found.groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("places")).select("row", merged("places").alias("m")).select("row", "m.*")
-    named = found.select("row", "wid").distinct().join(of_item.hint("merge"), "wid").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = found.select("row", "wid").distinct().join(of_item, "wid").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     marks = scratch.keep(placed.join(named.hint("merge"), "row"))
     out = rows.select("row", "id").join(counted.hint("merge"), "row").join(marks.hint("merge"), "row", "left")
     none = F.array().cast(T.ArrayType(T.StringType()))
