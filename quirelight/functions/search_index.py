@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .search import clauses, tokens
-from .udfs import stem_word, stemmed
+from .udfs import WORDS_AT_ONCE, pieces, stem_word, stemmed
 
 BUCKETS = 64
 
@@ -32,20 +32,24 @@ def postings(df: DataFrame, key: str, text: str, lang: str | None = None) -> Dat
     schema = T.StructType([T.StructField("term", T.StringType()), rows.schema["key"], T.StructField("positions", T.ArrayType(T.IntegerType()))])
     arrow = to_arrow_schema(schema)
 
+    def laid_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((place, code, row))
+        row, code, place = row[order], code[order], place[order]
+        first = np.flatnonzero(np.r_[len(row) > 0, (np.diff(row) != 0) | (np.diff(code) != 0)]) if len(row) else np.zeros(0, np.int64)
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place, pa.int32()))
+        columns = [words.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(row[first])), positions]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            words = lists.flatten().dictionary_encode()
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            code = words.indices.to_numpy(zero_copy_only=False)
-            order = np.lexsort((place, code, row))
-            row, code, place = row[order], code[order], place[order]
-            first = np.flatnonzero(np.r_[len(row) > 0, (np.diff(row) != 0) | (np.diff(code) != 0)]) if len(row) else np.zeros(0, np.int64)
-            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(place, pa.int32()))
-            columns = [words.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(row[first])), positions]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            for lo, hi in pieces(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), WORDS_AT_ONCE):
+                yield laid_out(batch.slice(lo, hi - lo))
 
     return rows.mapInArrow(run, schema)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 
 from .stemmers import STEMMERS
 
+#: Words that a task lays out at a time.
+WORDS_AT_ONCE = 250_000
 # Inflectional endings by language code, longest first, for light stemming. A stem keeps three letters or more. STEMMERS has languages by name.
 ENDINGS = {
     "nl": ("heden", "ingen", "eren", "en", "er", "es", "je", "e", "s"),
@@ -38,6 +42,13 @@ def stem_word(word: str, lang: str) -> str:
     return word
 
 
+def pieces(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of rows that hold about `most` words together, so that a task's memory doesn't follow the rows of a batch. A row is never cut."""
+    before = np.cumsum(lengths, dtype=np.int64) - lengths
+    cuts = (np.flatnonzero(np.diff(before // most)) + 1).tolist()
+    return zip([0, *cuts], [*cuts, len(lengths)], strict=True) if len(lengths) else iter(())
+
+
 def stemmed(tokens: Column, lang: str) -> Column:
     """A token array with each word as its stem. Words are stemmed once per batch."""
     if lang not in ENDINGS and lang not in STEMMERS:

@@ -3,11 +3,14 @@
 import contextlib
 import io
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quirelight.functions import search, search_index
+from quirelight.functions import search, search_index, udfs
 from quirelight.functions.stemmers import dutch, english
 
 QUERIES = [
@@ -76,3 +79,31 @@ def test_stemmers_have_their_golden_words():
         "gerechtigheden": "gerecht", "gemeenten": "gemeent", "mogelijkheid": "mogelijk", "zonden": "zond", "": "",
     }
     assert {w: dutch(w) for w in want} == want
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_postings_of_a_large_batch_take_little_memory(spark, texts, monkeypatch):
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, fn, schema: fn)
+    run = search_index.postings(texts, "id", "text")
+    words = pa.array([f"w{n % 999}" for n in range(2_000_000)])
+    lists = pa.ListArray.from_arrays(pa.array(range(0, 2_000_001, 1000), pa.int32()), words)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), lists], names=["key", "toks"])
+    n, peak = peak_mb(lambda: sum(out.num_rows for out in run(iter([batch]))))
+    assert n == 2000 * 999 and peak < 40  # all words of the batch at once: some 100 MB
+
+
+@pytest.mark.parametrize("lang", [None, "dutch"])
+def test_pieces_make_no_difference(spark, texts, tmp_path, monkeypatch, lang):
+    monkeypatch.setattr(search_index, "WORDS_AT_ONCE", 3)
+    test_index_finds_what_the_scan_finds(spark, texts, tmp_path, lang)
+    lengths = [0, 2, 2, 9, 0, 1, 1]
+    cut = list(udfs.pieces(np.array(lengths), 3))
+    assert cut == [(0, 3), (3, 4), (4, 7)] and list(udfs.pieces(np.zeros(0, np.int64), 3)) == []
