@@ -1,11 +1,12 @@
 """Streams whose state is their own: the result cache and the recent history, each with the same rows as its batch twin in feeds.
 
-State lies in the state store's maps and lists, per client or user, and is bounded: most_keys cache entries and the requests that still wait for their
-time, or n history entries. A batch that is tried again starts from the state before it, so that nothing counts twice.
+State lies in the state store's values and lists, per client or user, and is bounded: most_keys cache entries and the requests that still wait for their
+time, or n history entries. The cache's are packed, many to a value, since each value is a message of its own between Python and the store. A batch that is tried again starts from the state before it, so that nothing counts twice.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,56 +15,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+WAITING_AT_ONCE = 10_000
+
 
 class _Cache(StatefulProcessor):
     """One client's cache. Requests wait until the watermark has reached their time, and are then served in the order of time."""
 
-    def __init__(self, schema: T.StructType, out: T.StructType, ttl: int, most_keys: int):
-        self.waiting_schema, self.out, self.ttl, self.most_keys = schema, out, ttl, most_keys
+    def __init__(self, out: T.StructType, ttl: int, most_keys: int):
+        self.out, self.ttl, self.most_keys = out, ttl, most_keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        name = T.StructField("name", self.waiting_schema["name"].dataType)
-        self.kept = handle.getMapState("kept", T.StructType([T.StructField("turn", T.LongType())]), T.StructType([name, T.StructField("t", T.LongType())]))
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        packed = T.StructType([T.StructField("packed", T.BinaryType())])
+        self.kept = handle.getValueState("kept", packed)  # [(name, t)] in the order in which they were put
+        self.waiting = handle.getListState("waiting", packed)  # each value has up to WAITING_AT_ONCE requests
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = [r for pdf in rows for r in zip(pdf["t"].tolist(), _plain(pdf["order"]), _plain(pdf["name"]), strict=True)]
-        return self._serve(key, [*map(tuple, self.waiting.get()), *new] if self.waiting.exists() else new, timerValues)
+        return self._serve(key, new, timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        return self._serve(key, list(map(tuple, self.waiting.get())) if self.waiting.exists() else [], timerValues)
+        return self._serve(key, [], timerValues)
 
-    def _serve(self, key: tuple, requests: list[tuple], timers: object) -> Iterator[pd.DataFrame]:
+    def _serve(self, key: tuple, new: list[tuple], timers: object) -> Iterator[pd.DataFrame]:
         now = timers.getCurrentWatermarkInMs() * 1000
+        before = [r for (packed,) in self.waiting.get() for r in pickle.loads(packed)]
+        requests = [*before, *new]
         later = [r for r in requests if r[0] > now]
         due = sorted((r for r in requests if r[0] <= now), key=lambda r: (r[0], r[1] is not None, r[1] if r[1] is not None else 0))
         if later:
-            self.waiting.put(later)
+            self.waiting.put([(pickle.dumps(later[at : at + WAITING_AT_ONCE]),) for at in range(0, len(later), WAITING_AT_ONCE)])
             self.handle.registerTimer(-(-min(r[0] for r in later) // 1000))
-        elif self.waiting.exists():
+        elif before:
             self.waiting.clear()
         if due:
             yield self._answers(key, due)
 
     def _answers(self, key: tuple, due: list[tuple]) -> pd.DataFrame:
-        before = {turn[0]: (name, t) for turn, (name, t) in self.kept.iterator()} if self.kept.exists() else {}
-        entries = {name: (turn, t) for turn, (name, t) in sorted(before.items())}  # in the order in which they were put
-        turn, hits = max(before, default=0), []
+        held = self.kept.get()
+        entries, hits = dict(pickle.loads(held[0])) if held else {}, []
         for t, _, name in due:
-            hit = name in entries and t - entries[name][1] < self.ttl
+            hit = name in entries and t - entries[name] < self.ttl
             hits.append(hit)
             if not hit:
-                turn += 1
                 entries.pop(name, None)
-                entries[name] = (turn, t)
+                entries[name] = t
                 if len(entries) > self.most_keys:
                     del entries[next(iter(entries))]
-        after = {turn: (name, t) for name, (turn, t) in entries.items()}
-        for turn in before.keys() - after.keys():
-            self.kept.removeKey((turn,))
-        for turn in after.keys() - before.keys():
-            self.kept.updateValue((turn,), after[turn])
+        if not all(hits):
+            self.kept.update((pickle.dumps(list(entries.items())),))
         columns = [[key[0]] * len(due), [r[2] for r in due], [r[1] for r in due], hits]
         return pd.DataFrame({f.name: pd.Series(c, dtype=object) for f, c in zip(self.out, columns, strict=True)})
 
@@ -73,6 +73,8 @@ class _Cache(StatefulProcessor):
 
 def _plain(column: pd.Series) -> list:
     """Python values; None for missing ones, which pandas may hold as NaN."""
+    if not column.hasnans:
+        return column.tolist()
     kept = column.astype(object)
     return kept.where(column.notna(), None).tolist()
 
@@ -87,10 +89,10 @@ def cache_stream(stream: DataFrame, key: str, ts: str, order: str, seconds: int
     kinds = stream.schema
     upper = F.timestamp_millis(F.ceil(F.unix_micros(F.col(ts)) / 1000).cast("long"))  # watermarks are whole milliseconds, and so reach the newest request
     rows = stream.select(F.col(client or key).alias("client"), F.col(key).alias("name"), F.col(order).alias("order"), upper.alias("ts"), F.unix_micros(F.col(ts)).alias("t"))
-    waiting = T.StructType([T.StructField("t", T.LongType()), T.StructField("order", kinds[order].dataType), T.StructField("name", kinds[key].dataType)])
-    out = T.StructType([T.StructField("client", kinds[client or key].dataType), waiting["name"], waiting["order"], T.StructField("hit", T.BooleanType())])
+    named = zip(("client", "name", "order"), (client or key, key, order), strict=True)
+    out = T.StructType([*[T.StructField(n, kinds[c].dataType) for n, c in named], T.StructField("hit", T.BooleanType())])
     timed = rows.where("ts is not null").withWatermark("ts", delay).groupBy("client")
-    served = timed.transformWithStateInPandas(_Cache(waiting, out, seconds * 1_000_000, most_keys if client else 1), out, "append", "EventTime")
+    served = timed.transformWithStateInPandas(_Cache(out, seconds * 1_000_000, most_keys if client else 1), out, "append", "EventTime")
     both = served.union(rows.where("ts is null").select("client", "name", "order", F.lit(False).alias("hit")))
     return both.select(*([F.col("client").alias(client)] if client else []), F.col("name").alias(key), F.col("order").alias(order), "hit")
 

@@ -2,9 +2,12 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirelight.streaming import feeds, stateful
 
@@ -88,3 +91,43 @@ def test_history_stream_equals_the_batch_after_each_batch(spark, tmp_path):
         want = feeds.recent_distinct(spark.createDataFrame(rows[:n], SCHEMA), "client", "k", "ts", 4)
         columns = ["client", "k", F.col("ts").cast("string").alias("ts"), "place"]
         assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+
+
+class Store:
+    """A state store that counts the values put into it."""
+
+    def __init__(self):
+        self.values, self.put_values = {}, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        def update(value):
+            self.values[name] = value
+            self.put_values += 1
+
+        return SimpleNamespace(get=lambda: self.values.get(name), update=update)
+
+    def getListState(self, name, schema):  # noqa: N802
+        def put(values):
+            self.values[name] = values
+            self.put_values += len(values)
+
+        return SimpleNamespace(exists=lambda: name in self.values, get=lambda: iter(self.values.get(name, [])), put=put, clear=lambda: self.values.pop(name))
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timer = at
+
+
+def test_waiting_requests_are_packed(monkeypatch):
+    monkeypatch.setattr(stateful, "WAITING_AT_ONCE", 400)
+    out = T.StructType([T.StructField(n, T.LongType()) for n in ("client", "name", "order", "hit")])
+    cache, store = stateful._Cache(out, 5_000_000, 3), Store()
+    cache.init(store)
+    rows = pd.DataFrame({"t": [n * 1_000_000 for n in range(1000)], "order": range(1000), "name": [n % 2 for n in range(1000)]})
+    now = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert list(cache.handleInputRows((1,), iter([rows]), now(-1))) == [] and store.put_values == 3 and store.timer == 0
+    (some,) = cache.handleExpiredTimer((1,), now(499_000), None)
+    (rest,) = cache.handleExpiredTimer((1,), now(10**9), None)
+    assert (len(some), len(rest)) == (500, 500) and list(store.values) == ["kept"] and store.put_values == 3 + 2 + 2
+    assert [*some["hit"], *rest["hit"]] == [n % 6 > 1 for n in range(1000)]
