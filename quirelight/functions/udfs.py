@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,19 +52,26 @@ def pieces(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def stemmed(tokens: Column, lang: str) -> Column:
-    """A token array with each word as its stem. Words are stemmed once per batch."""
+    """A token array with each word as its stem. Words are stemmed once per batch, and stay in Arrow otherwise."""
     if lang not in ENDINGS and lang not in STEMMERS:
         raise ValueError(f"no stemmer for {lang!r}; there are {sorted([*ENDINGS, *STEMMERS])}")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stems(arrays: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def stems(arrays: pa.Array) -> pa.Array:
         known: dict[str, str] = {}
 
-        def of(word: str) -> str:
-            if word not in known:
+        def of(word: str | None) -> str | None:
+            if word is not None and word not in known:
                 known[word] = stem_word(word, lang)
-            return known[word]
+            return known.get(word)
 
-        return arrays.map(lambda a: [of(w) for w in a], na_action="ignore")
+        def piece(part: pa.Array) -> pa.Array:
+            words = part.flatten().dictionary_encode()
+            values = pa.array([of(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+            lengths = pc.fill_null(part.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), values, mask=part.is_null())
+
+        lengths = pc.fill_null(arrays.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        return pa.concat_arrays([piece(arrays.slice(lo, hi - lo)) for lo, hi in pieces(lengths, WORDS_AT_ONCE)]) if len(arrays) else pa.array([], pa.list_(pa.string()))
 
     return stems(tokens)

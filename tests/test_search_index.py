@@ -102,8 +102,21 @@ def test_postings_of_a_large_batch_take_little_memory(spark, texts, monkeypatch)
 
 @pytest.mark.parametrize("lang", [None, "dutch"])
 def test_pieces_make_no_difference(spark, texts, tmp_path, monkeypatch, lang):
-    monkeypatch.setattr(search_index, "WORDS_AT_ONCE", 3)
+    for module in (search_index, udfs):
+        monkeypatch.setattr(module, "WORDS_AT_ONCE", 3)
     test_index_finds_what_the_scan_finds(spark, texts, tmp_path, lang)
     lengths = [0, 2, 2, 9, 0, 1, 1]
     cut = list(udfs.pieces(np.array(lengths), 3))
     assert cut == [(0, 3), (3, 4), (4, 7)] and list(udfs.pieces(np.zeros(0, np.int64), 3)) == []
+
+
+def test_stems_make_no_python_string_for_each_word(monkeypatch):
+    made = []
+    monkeypatch.setattr(udfs.F, "arrow_udf", lambda kind: lambda fn: made.append(fn) or (lambda tokens: tokens))
+    udfs.stemmed(None, "english")
+    words = pa.array([f"{'bcdfghj'[n % 7]}oping" for n in range(600_000)])
+    arrays = pa.ListArray.from_arrays(pa.array(range(0, 600_001, 600), pa.int32()), words)
+    out, peak = peak_mb(lambda: made[0](arrays))
+    assert out.flatten().slice(0, 2).to_pylist() == ["bope", "cope"] and len(out) == 1000 and peak < 10
+    odd = pa.array([["x"], None, [], ["hoping", None, "x"]], pa.list_(pa.string()))
+    assert made[0](odd).to_pylist() == [["x"], None, [], ["hope", None, "x"]] and made[0](odd.slice(1, 3)).to_pylist() == [None, [], ["hope", None, "x"]] and made[0](odd.slice(0, 0)).to_pylist() == []
