@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch
-from .vectors import METRICS, QUERY_BLOCK, _Best, _by_length, _ranked, _unit
+from .vectors import METRICS, QUERY_BLOCK, ROWS_AT_ONCE, _Best, _by_length, _ranked, _unit
 
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 4096, 12
 _SLACK = 1e-6  # bounds are compared with scores that are rounded, in proportion to the query's length
@@ -135,15 +135,16 @@ def _scan(spark: SparkSession, path: str, blocks: dict[int, tuple[np.ndarray, _C
                 n, at = place[int(cell[lo])]
                 _, cells, chosen, _ = blocks[n]
                 only = np.flatnonzero(chosen[:, at])
-                part = batch.slice(lo, hi - lo)
-                keys = part.column(0).to_numpy()
-                m = part.column(2).flatten().to_numpy().reshape(len(keys), n)
-                if at < cells.distance.shape[1] and cells.metric != "dot":  # rows that lie too far in or out are not compared
-                    gap = np.abs(cells.distance[only, at][:, None] - part.column(1).to_numpy()[None])
-                    reach = -gap if cells.metric == "l2" else 1 - gap**2 / 2
-                    some = (reach + cells.slack[only] >= best[n].least[only][:, None]).any(0)
-                    keys, m = keys[some], m[some]
-                best[n].see(keys, m, only)
+                for start in range(lo, hi, ROWS_AT_ONCE):  # a matrix of queries by rows at a time, however many rows a cell has
+                    part = batch.slice(start, min(ROWS_AT_ONCE, hi - start))
+                    keys = part.column(0).to_numpy()
+                    m = part.column(2).flatten().to_numpy().reshape(len(keys), n)
+                    if at < cells.distance.shape[1] and cells.metric != "dot":  # rows that lie too far in or out are not compared
+                        gap = np.abs(cells.distance[only, at][:, None] - part.column(1).to_numpy()[None])
+                        reach = -gap if cells.metric == "l2" else 1 - gap**2 / 2
+                        some = (reach + cells.slack[only] >= best[n].least[only][:, None]).any(0)
+                        keys, m = keys[some], m[some]
+                    best[n].see(keys, m, only)
         for b in best.values():
             yield pa.RecordBatch.from_arrays([pa.array(b.ids[b.query]), pa.array(b.key), pa.array(b.score)], names=["query_id", "key", "score"])
 

@@ -1,6 +1,9 @@
 """The vector index against brute force, and how much of it a query meets."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirelight.functions import vector_index, vectors
@@ -78,3 +81,23 @@ def test_lengths_that_the_sample_lacks_are_found(spark, tmp_path, monkeypatch):
     vector_index.write_vectors(df, f"{tmp_path}/i", "l2")
     asked = df.where("vec_id >= 1000 or vec_id % 50 = 0")
     assert rows(vector_index.query_index(spark, f"{tmp_path}/i", asked, 3)) == rows(vectors.query_vectors(df, asked, 3, "l2"))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_large_cells_meet_the_queries_a_slice_at_a_time(spark, tmp_path, monkeypatch, metric):
+    index = frame(spark, clusters(300, 1))
+    vector_index.write_vectors(index, f"{tmp_path}/i", metric, cells=1)
+    known = spark.read.parquet(f"{tmp_path}/i/cells").collect()
+    asked = clusters(1000, 1, seed=1)
+    cells = vector_index._Cells(known, asked, metric)
+    blocks = {16: (np.arange(1000), cells, np.ones((1000, 1), bool), np.full(1000, -np.inf))}
+    monkeypatch.setattr(type(index), "mapInArrow", lambda self, fn, schema: fn)
+    run = vector_index._scan(spark, f"{tmp_path}/i", blocks, 5)
+    m = clusters(10_000, 1, seed=2)
+    v = pa.ListArray.from_arrays(pa.array(range(0, 160_001, 16), pa.int32()), pa.array(m.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000), pa.int64()), pa.array(np.zeros(10_000)), v, pa.array(np.full(10_000, known[0].cell, np.int32))], names=["key", "dist", "v", "cell"])
+    tracemalloc.start()
+    n = sum(out.num_rows for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert n == 5000 and peak < 70  # 80 MB for each matrix of all queries by all rows
