@@ -92,7 +92,18 @@ def snippet(col: Column, needle: str, width: int = 140) -> Column:
 
 def apply_rules(col: Column, rules: list[Rule]) -> Column:
     """Ordered (pattern, replacement) rules, one after another."""
-    return reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), rules, col)
+    return reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), map(_looking_back, rules), col)
+
+
+def _looking_back(rule: Rule) -> Rule:
+    """A rule `(^|[^...])words(...)` that puts the first group back, as one that finds its words first and then looks at what is before them: the same results, and most characters are tried once.
+
+    What the match before has taken is no start, as in the rule itself; the first group stays, empty.
+    """
+    m = re.fullmatch(r"\(\^\|(\[\^[^]\[\\&^]+\])\)((?:\[[^]\[\\&^]+\]|[A-Za-z ])+)([^\\]*)", rule[0])
+    if not m or re.match(r"[*+?{|]", m[3]) or "|" in re.sub(r"\([^()]*\)", "", m[3]) or not re.match(r"\$1(?![0-9])", rule[1]) or "$1" in rule[1][2:]:
+        return rule
+    return rf"(?={m[2]})(?:^|(?<={m[1]})(?!\G))(){m[2]}{m[3]}", rule[1]
 
 
 def bound(col: Column, fn: Callable[[Column], Column]) -> Column:

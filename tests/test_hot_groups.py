@@ -128,3 +128,15 @@ def test_fold_is_that_of_python_on_the_basic_plane(spark):
 def test_fold_of_texts(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.fold(F.col("t")).alias("a"), udfs.fold_all("t").alias("b"))
     assert all(r.a == r.b for r in df.collect())
+
+
+def test_rules_that_look_back_change_the_same_texts(spark):
+    rules = [("(^|[^A-Za-zÀ-ÿ])[Rr]e([^A-Za-zÀ-ÿ]|$)", "$1RE$2"), ("(^|[^A-Za-zÀ-ÿ])of ([A-Za-zÀ-ÿ])", "$1OF-$2"), ("(^|[^a])[ab]b(c|$)", "$1X$2")]
+    rng = random.Random(5)
+    df = spark.createDataFrame([("".join(rng.choices(["re", "Re", "of ", " ", "é", "\n", "😀", "a", "b", "c", "1"], k=rng.randrange(12))),) for _ in range(4000)] + [(None,)], "t string")
+    for rule in rules:
+        assert text._looking_back(rule) != rule
+        got = df.select("t", text.apply_rules(F.col("t"), [rule]).alias("a"), F.regexp_replace("t", F.lit(rule[0]), F.lit(rule[1])).alias("b"))
+        assert got.where("not a <=> b").collect() == [] and got.where("a <> t").count() > 30
+    for kept in [("([0-9]+)[.]([0-9]+)", "$1:$2"), ("(^|[^a])b+", "$1x"), ("(^|[^a])b|c", "$1x"), ("(^|[^a])b", "x"), ("(^|[^a])b", "$1$1"), ("(^|[^a])b(c)\\1", "$1x")]:
+        assert text._looking_back(kept) == kept
