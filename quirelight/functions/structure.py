@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import SPACE, bound, clean_text, flat, fold, trim_all
+from .text import SPACE, bound, clean_text, flat, fold, is_ascii, trim_all
 
 # The forms of a reference, in the order in which they are tried, after white space is collapsed. Groups: book, chapter, first verse, last verse.
 # The fifth is compact: its book is an alias without blanks. The last is a whole chapter.
@@ -96,38 +96,50 @@ def complete(prefixes: DataFrame, prefix: str, names: DataFrame, aliases: DataFr
 
 def entity_keys(entities: DataFrame) -> DataFrame:
     """(key, ord, id, name) of entities (id, name, ord): folded full name, last word of three letters or more, last two words; the first entity wins a key."""
-    w = F.filter(F.split(fold(F.col("name")), r"\s+"), lambda x: x != "")
-    last = F.element_at(F.concat(F.array(F.lit("")), F.filter(w, lambda x: F.length(x) >= 3)), -1)
-    two = F.when(F.size(w) >= 2, F.concat_ws(" ", F.try_element_at(w, F.lit(-2)), F.try_element_at(w, F.lit(-1))))
-    keys = entities.select("id", "name", "ord", F.explode(F.array(F.array_join(w, " "), last, two)).alias("key")).where("key is not null and length(key) >= 3")
+    folded = entities.select("id", "name", "ord", F.filter(F.split(fold(F.col("name")), r"\s+"), lambda x: x != "").alias("w"))  # once: its keys name it five times
+    last = F.element_at(F.concat(F.array(F.lit("")), F.filter("w", lambda x: F.length(x) >= 3)), -1)
+    two = F.when(F.size("w") >= 2, F.concat_ws(" ", F.try_element_at("w", F.lit(-2)), F.try_element_at("w", F.lit(-1))))
+    keys = folded.select("id", "name", "ord", F.explode(F.array(F.array_join("w", " "), last, two)).alias("key")).where("key is not null and length(key) >= 3")
     return keys.groupBy("key").agg(F.min(F.struct("ord", "id", "name")).alias("e")).select("key", "e.*")
 
 
 def extract_entities(queries: DataFrame, query_id: str, text: str, entities: DataFrame) -> DataFrame:
-    """(query_id, ids, names, rest): entities mentioned, two-word keys before single words, each word used once; and the words left."""
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda x: x != "")
-    q = queries.select(query_id, words.alias("w"), F.transform(words, lambda x: fold(x)).alias("f"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("f") - 2, F.lit(0))), lambda i: F.struct(F.lit(-2).alias("n"), i.alias("pos"), F.concat_ws(" ", F.get("f", i), F.get("f", i + 1)).alias("key")))
-    ones = F.transform("f", lambda x, i: F.struct(F.lit(-1).alias("n"), i.alias("pos"), x.alias("key")))
-    grams = q.where(F.size("f") > 0).select(query_id, F.explode(F.concat(F.when(F.size("f") >= 2, pairs).otherwise(F.filter(pairs, lambda x: F.lit(False))), ones)).alias("g")).select(query_id, "g.*")
-    hits = grams.where(F.length("key") >= 3).join(entity_keys(entities), "key").groupBy(query_id).agg(F.sort_array(F.collect_list(F.struct("n", "pos", "id", "name"))).alias("h"))
-    span = lambda h: F.sequence(h["pos"], h["pos"] - h["n"] - 1)
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("names"))
-
-    def step(a: Column, h: Column) -> Column:
-        free = ~F.arrays_overlap(a["used"], span(h)) | (F.size(a["used"]) == 0)
-        new = ~F.array_contains(a["ids"], h["id"].cast("string"))
-        return F.struct(
-            F.when(free, F.concat(a["used"], span(h))).otherwise(a["used"]).alias("used"),
-            F.when(free & new, F.concat(a["ids"], F.array(h["id"].cast("string")))).otherwise(a["ids"]).alias("ids"),
-            F.when(free & new, F.concat(a["names"], F.array(h["name"]))).otherwise(a["names"]).alias("names"),
-        )
-
-    picked = hits.select(F.col(query_id).alias("__q"), F.aggregate("h", start, step).alias("p"))
-    out = q.join(picked, F.col(query_id) == F.col("__q"), "left")
-    empty = F.array().cast("array<string>")
-    rest = F.filter("w", lambda x, i: ~F.coalesce(F.array_contains(F.col("p.used"), i), F.lit(False)))
-    return out.select(query_id, F.coalesce("p.ids", empty).alias("ids"), F.coalesce("p.names", empty).alias("names"), F.array_join(rest, " ").alias("rest"))
+    """(query_id, ids, names, rest): entities mentioned, two-word keys before single words, each word used once; and the words left. query_id must tell rows apart.
+
+    Of a run of pairs that overlap, every other one is taken, from the first; a single word is taken where no taken pair has it. Both are seen from the last pair before, so that time follows the number of hits.
+    """
+    words = lambda t: F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    folded = lambda x: F.when(is_ascii(x), F.lower(x)).otherwise(fold(x))
+    f = F.when(is_ascii(F.col(text)), words(F.lower(text))).otherwise(F.transform(words(F.col(text)), folded))
+    nexts = F.arrays_zip(F.col("f").alias("one"), F.slice("f", F.lit(2), F.size("f")).alias("next"))
+    # outer: no filter is inferred that would lay the words out twice
+    each = queries.select(query_id, f.alias("f")).select(query_id, F.posexplode_outer(nexts).alias("pos", "f"))
+    two = F.when(F.col("f.next").isNotNull(), F.concat_ws(" ", "f.one", "f.next"))
+    grams = each.select(query_id, "pos", F.explode(F.array(F.struct(F.lit(-2).alias("n"), two.alias("key")), F.struct(F.lit(-1).alias("n"), F.col("f.one").alias("key")))).alias("g")).select(query_id, "pos", "g.*")
+    hits = grams.where(F.length("key") >= 3).join(entity_keys(entities), "key").select(query_id, "pos", "n", "id", "name")
+
+    at, is_pair = F.col("pos"), F.col("n") == -2
+    order = Window.partitionBy(query_id).orderBy("pos", "n")
+    last = lambda c, to: F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, to))
+    before = last(F.when(is_pair, at), -1)
+    begun = hits.withColumn("start", F.when(is_pair & (before.isNull() | (before < at - 1)), at))
+    seen = begun.withColumn("start", last(F.col("start"), 0)).withColumn("pair", last(F.when(is_pair, at), 0))
+    took = (F.col("pair") - F.col("start")) % 2 == 0  # of the last pair; if it isn't taken, the one before it is, and has its first word
+    covered = (F.col("pair") == at) | ((F.col("pair") == at - 1) & took)
+    taken = seen.where(F.when(is_pair, took).otherwise(~F.coalesce(covered, F.lit(False))))
+    first = F.row_number().over(Window.partitionBy(query_id, "id").orderBy("n", "pos", "name")) == 1
+    found = F.when(F.col("first") & F.col("id").isNotNull(), F.struct("n", "pos", F.col("id").cast("string").alias("id"), "name"))
+    picked = taken.withColumn("first", first).groupBy(F.col(query_id).alias("__q")).agg(
+        F.sort_array(F.collect_list(found)).alias("h"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence(at, at - F.col("n") - 1))))).alias("used")
+    )
+
+    out = queries.select(query_id, text).join(picked, F.col(query_id) == F.col("__q"), "left")
+    used = F.coalesce("used", F.array().cast("array<int>"))
+    past = lambda j: F.coalesce(F.get(used, j - 1), F.lit(-1)) + 1
+    between = lambda w: lambda j: F.slice(w, past(j) + 1, F.greatest(F.coalesce(F.get(used, j), F.size(w)) - past(j), F.lit(0)))
+    rest = bound(words(F.col(text)), lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.size(used)), between(w))))
+    some = lambda field: F.coalesce(F.transform("h", lambda x: x[field]), F.array().cast("array<string>"))
+    return out.select(query_id, some("id").alias("ids"), some("name").alias("names"), F.array_join(rest, " ").alias("rest"))
 
 
 def drop_entity(query: Column, name: Column) -> Column:

@@ -1,6 +1,9 @@
 """Small cases with results worked out by hand."""
 
+import random
 import re
+import time
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -226,6 +229,42 @@ def test_entities(spark):
     assert one(spark, structure.drop_entity(F.lit("hoop Calvijn genade"), F.lit("calvijn"))) == "hoop genade"
 
 
+def plain_entities(text, keys):
+    """What extract_entities says, word by word. keys: key to (id, name)."""
+    words = text.split()
+    low = ["".join(c for c in unicodedata.normalize("NFD", w) if not "\u0300" <= c <= "\u036f").lower() for w in words]
+    used, ids, names = set(), [], []
+    for n in (2, 1):
+        for i in range(len(low) - n + 1):
+            e = keys.get(" ".join(low[i : i + n]))
+            if e and not used & set(range(i, i + n)):
+                used |= set(range(i, i + n))
+                if str(e[0]) not in ids:
+                    ids.append(str(e[0]))
+                    names.append(e[1])
+    return ids, names, " ".join(w for i, w in enumerate(words) if i not in used)
+
+
+def test_entities_in_runs_of_pairs(spark):
+    e = spark.createDataFrame([(1, "aaa bbb", 0), (2, "bbb aaa", 1), (3, "aaa aaa", 2), (4, "één ccc", 3), (1, "ddd", 4), (5, "xx aaa", 5)], "id int, name string, ord int")
+    keys = {r.key: (r.id, r.name) for r in structure.entity_keys(e).collect()}
+    rng = random.Random(3)
+    odd = ["", " \n ", "aaa", "aaa aaa aaa", "\u0301 aaa \u0301 bbb", "aaa \u0301 bbb", "\tEen CCC ", "ÉÉN ccc ddd bbb", "een één ccc", "İ aaa ΑΣ ddd", "ddd aaa bbb aaa"]
+    texts = odd + [" ".join(rng.choices(["aaa", "BBB", "Ccc", "één", "een", "ddd", "xx", "\u0301", "—"], k=rng.randrange(40))) for _ in range(150)]
+    q = spark.createDataFrame([*enumerate(texts), (-1, None)], "q int, t string")
+    got = {r.q: (r.ids, r.names, r.rest) for r in structure.extract_entities(q, "q", "t", e).collect()}
+    assert got.pop(-1) == ([], [], None)
+    assert got == {i: plain_entities(t, keys) for i, t in enumerate(texts)}
+
+
+def test_entities_of_a_text_with_many_hits_take_time_in_proportion(spark):
+    e = spark.createDataFrame([(1, "Matthew Henry", 0), (2, "Calvijn", 1)], "id int, name string, ord int")
+    q = spark.createDataFrame([(1, "matthew henry calvijn hoop " * 50_000)], "q int, t string")
+    began = time.monotonic()
+    assert [tuple(r) for r in structure.extract_entities(q, "q", "t", e).collect()] == [(1, ["1", "2"], ["Matthew Henry", "Calvijn"], " ".join(["hoop"] * 50_000))]
+    assert time.monotonic() - began < 60  # each hit against all words used so far: not done in 80 s
+
+
 def test_search_modes(spark):
     def hit(query, mode="websearch"):
         return one(spark, search.condition(search.tokens(F.lit("De genade van God, is groot")), query, mode))
